@@ -63,7 +63,7 @@ SEEDS: list[Seed] = [
     Seed("CRY007", "run.php", "$x = eval ($code);", "$x = evaluate($code);"),
     Seed("CRY008", "run.py", "exec(source)", "executor(source)"),
     Seed("CRY009", "load.py", "obj = pickle.loads(blob)", "obj = json.loads(blob)"),
-    Seed("DAT001", "trace.go", "Log(user, API_KEY)", "Log(user, id)"),
+    Seed("DAT001", "trace.go", "Log(user, API_KEY, 'Ex4mple0leak')", "Log(user, id)"),
     Seed("DAT001", "print.sh", "print('x', token)  # riskloom-ignore", "print('x', name)"),
     Seed("DAT002", "tb.py", "text = traceback.format_exc()", "log.exception('failed')"),
     Seed("DAT003", "tb.js", 'body = { "traceback" : t }', 'body = { "message" : t }'),

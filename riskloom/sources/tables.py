@@ -53,8 +53,8 @@ def parse_ignore_files(files: DataFrame, name: str = IGNORE_FILE) -> DataFrame:
     Blank lines and comments are skipped. A name with a dot that does not end in a slash
     is a file, everything else a directory.
     """
-    entry = F.explode(split_lines(normalize_newlines(F.col("content"))))
-    entries = files.filter(F.col("path") == name).select("scan_id", strip(entry).alias("entry"))
+    lines = F.transform(split_lines(normalize_newlines(F.col("content"))), strip)
+    entries = files.filter(F.col("path") == name).select("scan_id", F.explode(lines).alias("entry"))
     last = F.regexp_extract(F.regexp_replace("entry", "/+$", ""), "[^/]*$", 0)
     is_file = last.contains(".") & (last != ".") & ~F.col("entry").endswith("/")
     return (
