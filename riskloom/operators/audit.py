@@ -23,17 +23,20 @@ def leak_audit(findings: DataFrame, secrets: DataFrame) -> DataFrame:
         )
     )
     where = ["scan_id", "rule_id", "file_path", "line_number", "pos"]
-    texts = findings.select(*where, fields.alias("f")).select(*where, "f.*").filter(F.length("text") >= n)
+    texts = findings.select(*where, fields.alias("f")).select(*where, "f.*")
+    # Messages and fixes repeat in every finding of a rule, so each text is searched once.
+    single = texts.select("field", "text").filter(F.length("text") >= n).distinct()
     windows = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda start: F.substring(F.col("text"), start, F.lit(n)))
     )
-    return (
-        texts.withColumn("_key", F.explode(windows))
+    leaking = (
+        single.withColumn("_key", F.explode(windows))
         .join(keyed, "_key")
         .filter(F.col("text").contains(F.col("secret")))
-        .select(*where, "field", "secret")
+        .select("field", "text", "secret")
         .distinct()
     )
+    return texts.join(leaking, ["field", "text"]).select(*where, "field", "secret")
 
 
 def determinism_audit(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 The whole scan is one narrow projection followed by one explode of hits: no shuffle, no
 Python, one read of the source. Per file it works in three steps that shrink the work:
 
-1. every distinct guard literal of the rules that the path lets in is looked up once in
-   the whole text, which leaves the few rules that can hit this file at all;
+1. every distinct guard literal of the rules that the path lets in is looked up once,
+   which leaves the few rules that can hit this file at all; guards that come with a code
+   symbol are looked up only in the lines that hold any such symbol, so prose costs little;
 2. lines are tested against the guards of those rules only;
 3. the regexes of a rule run on the lines that hold one of its guards.
 
@@ -41,6 +42,9 @@ from ..rules.git import ACCEPTED_ENTRIES
 # A line that holds this text is not reported by the rules that honour it.
 IGNORE_MARKER = "riskloom-ignore"
 
+# Symbols that code has and prose mostly lacks. A text without one cannot hold a guard with it.
+_SYMBOLS = "()[]{}<=>:_\"'@-/*+$"
+
 HIT = "array<struct<rule:int,line_number:int,snippet:string,message:string>>"
 _LINE_HIT = "struct<snippet:string,message:string>"
 
@@ -278,21 +282,29 @@ def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, c
     """All hits of one file as an array, see :data:`HIT`."""
     detectors = _detectors(rules, ordinals)
     gates = list(dict.fromkeys(d.gate for d in detectors))
-    # Distinct guards with the gates under which anyone asks for them.
-    guards: dict[tuple[str, bool], int] = {}
+    symbols = sorted({char for d in detectors for char in d.rule.needs} | set(_SYMBOLS))
+    symbol_bit = {char: 1 << (len(gates) + number) for number, char in enumerate(symbols)}
+
+    def bits(chars: str) -> int:
+        return sum(symbol_bit[char] for char in set(chars) if char in symbol_bit)
+
+    # Distinct guards with the gates under which anyone asks for them, the symbols they hold
+    # themselves, and the symbols of which their rules need one.
+    guards: dict[tuple[str, bool], dict] = {}
     for d in detectors:
         for text in d.guards:
-            key = (text, d.rule.ignore_case)
-            guards[key] = guards.get(key, 0) | (1 << gates.index(d.gate))
-    guard_ids = {key: number for number, key in enumerate(guards)}
+            fresh = {"id": len(guards), "text": text, "gates": 0, "holds": bits(text), "needs": bits(d.rule.needs)}
+            row = guards.setdefault((text, d.rule.ignore_case), fresh)
+            row["gates"] |= 1 << gates.index(d.gate)
+            row["needs"] = row["needs"] | bits(d.rule.needs) if row["needs"] and d.rule.needs else 0
 
-    def guard_table(ignore_case: bool) -> Column:
+    def guard_table(ignore_case: bool, symbolic: bool) -> Column | None:
         rows = [
-            {"id": guard_ids[key], "text": key[0], "gates": mask}
-            for key, mask in guards.items()
-            if key[1] is ignore_case
+            row
+            for (_, folded), row in guards.items()
+            if folded is ignore_case and bool(row["holds"] | row["needs"]) is symbolic
         ]
-        return literal_table(rows, "array<struct<id:int,text:string,gates:bigint>>")
+        return literal_table(rows, "array<struct<id:int,text:string,gates:bigint,holds:bigint,needs:bigint>>") if rows else None
 
     detector_table = literal_table(
         [
@@ -300,35 +312,65 @@ def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, c
                 "id": number,
                 "rule": d.ordinal,
                 "gate": 1 << gates.index(d.gate),
-                "guard_ids": [guard_ids[text, d.rule.ignore_case] for text in d.guards],
+                "needs": bits(d.rule.needs),
+                "guard_ids": [guards[text, d.rule.ignore_case]["id"] for text in d.guards],
                 "guards": list(d.guards),
                 "fold": d.rule.ignore_case,
                 "by_line": d.scope == "line",
             }
             for number, d in enumerate(detectors)
         ],
-        "array<struct<id:int,rule:int,gate:bigint,guard_ids:array<int>,guards:array<string>,fold:boolean,by_line:boolean>>",
+        "array<struct<id:int,rule:int,gate:bigint,needs:bigint,guard_ids:array<int>,guards:array<string>,"
+        "fold:boolean,by_line:boolean>>",
     )
 
-    gate_mask = reduce(
-        lambda left, right: left.bitwiseOR(right),
-        [F.when(paths.gate(key, path), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")) for bit, key in enumerate(gates)],
-    )
+    def flags(tests: list[tuple[Column, int]]) -> Column:
+        zero = F.lit(0).cast("long")
+        return reduce(
+            lambda left, right: left.bitwiseOR(right),
+            [F.when(test, F.lit(bit).cast("long")).otherwise(zero) for test, bit in tests],
+            zero,
+        )
+
+    def features(text: Column) -> Column:
+        """One bit per path gate that is open and per symbol that the text holds."""
+        open_gates = [(paths.gate(key, path), 1 << bit) for bit, key in enumerate(gates)]
+        return flags(open_gates + [(text.contains(char), bit) for char, bit in symbol_bit.items()])
+
+    def meets(row: Column, mask: Column) -> Column:
+        return (row["needs"] == 0) | (row["needs"].bitwiseAND(mask) != 0)
 
     def present(text: Column, table: Column, mask: Column) -> Column:
-        held = F.filter(table, lambda g: (g["gates"].bitwiseAND(mask) != 0) & F.contains(text, g["text"]))
+        held = F.filter(
+            table,
+            lambda g: (g["gates"].bitwiseAND(mask) != 0)
+            & (g["holds"].bitwiseAND(mask) == g["holds"])
+            & meets(g, mask)
+            & F.contains(text, g["text"]),
+        )
         return F.transform(held, lambda g: g["id"])
 
-    def candidates(text: Column, mask: Column) -> Column:
-        held = F.concat(
-            present(text, guard_table(False), mask),
-            let(fold_case(text), lambda folded: present(folded, guard_table(True), mask)),
-        )
+    def fold_present(text: Column, table: Column, mask: Column, asked: int) -> Column:
+        looked_up = let(fold_case(text), lambda low: present(low, table, mask))
+        return F.when(mask.bitwiseAND(F.lit(asked).cast("long")) != 0, looked_up).otherwise(F.array().cast("array<int>"))
+
+    def candidates(text: Column, code: Column, mask: Column) -> Column:
+        """Rules that can hit. ``code`` is the lines of the text that hold any symbol."""
+        found = []
+        for symbolic, part in ((True, code), (False, text)):
+            table, folded_table = guard_table(False, symbolic), guard_table(True, symbolic)
+            if table is not None:
+                found.append(present(part, table, mask))
+            if folded_table is not None:
+                asked = sum({1 << gates.index(d.gate) for d in detectors if d.rule.ignore_case and d.guards})
+                found.append(fold_present(part, folded_table, mask, asked))
+        held = F.concat(*found) if found else F.array().cast("array<int>")
         return let(
             held,
             lambda ids: F.filter(
                 detector_table,
                 lambda d: (d["gate"].bitwiseAND(mask) != 0)
+                & meets(d, mask)
                 & ((F.size(d["guard_ids"]) == 0) | F.arrays_overlap(d["guard_ids"], ids)),
             ),
         )
@@ -381,30 +423,32 @@ def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, c
         ]
         return F.concat(*parts) if parts else F.array().cast(HIT)
 
-    def scan(text: Column, able: Column) -> Column:
-        def over(lines: Column) -> Column:
-            by_line = let(
-                F.filter(able, lambda d: d["by_line"]),
-                lambda line_able: F.when(
-                    F.size(line_able) > 0,
-                    F.flatten(F.transform(lines, lambda line, index: line_hits(line, index, line_able))),
-                ).otherwise(F.array().cast(HIT)),
-            )
-            return F.concat(by_line, file_hits(text, lines, able))
-
-        return let(split_lines(text), over)
-
-    none = F.array().cast(HIT)
-    return let(
-        normalize_newlines(content),
-        lambda text: let(
-            gate_mask,
-            lambda mask: let(
-                candidates(text, mask),
-                lambda able: F.when(F.size(able) > 0, scan(text, able)).otherwise(none),
+    def scan(text: Column, lines: Column, able: Column) -> Column:
+        by_line = let(
+            F.filter(able, lambda d: d["by_line"]),
+            lambda line_able: F.when(
+                F.size(line_able) > 0,
+                F.flatten(F.transform(lines, lambda line, index: line_hits(line, index, line_able))),
+            ).otherwise(F.array().cast(HIT)),
+        )
+        return F.concat(by_line, file_hits(text, lines, able))
+
+    def over(text: Column, lines: Column) -> Column:
+        any_symbol = "[" + "".join("\\" + char for char in symbols) + "]"
+        code = F.array_join(F.filter(lines, lambda line: line.rlike(any_symbol.replace("\\_", "_"))), "\n")
+        none = F.array().cast(HIT)
+        return let(
+            code,
+            lambda part: let(
+                features(part),
+                lambda mask: let(
+                    candidates(text, part, mask),
+                    lambda able: F.when(F.size(able) > 0, scan(text, lines, able)).otherwise(none),
+                ),
             ),
-        ),
-    )
+        )
+
+    return let(normalize_newlines(content), lambda text: let(split_lines(text), lambda lines: over(text, lines)))
 
 
 @lru_cache(maxsize=64)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import join_per_scan
 from .score import label_column
 
 
@@ -53,20 +54,18 @@ def diff_consecutive(scans: DataFrame, findings: DataFrame, project: str = "proj
     A fingerprint counts once for its own scan and once, as the past, for the next one.
     """
     near = _neighbours(scans, project)
-    held = distinct_fingerprints(findings).join(near.select("scan_id", "next_scan"), "scan_id")
-    sides = held.select(
-        "fingerprint",
-        F.inline(
-            F.array(
-                F.struct(F.col("scan_id"), F.lit(True).alias("_now"), F.lit(False).alias("_before")),
-                F.struct(F.col("next_scan").alias("scan_id"), F.lit(False).alias("_now"), F.lit(True).alias("_before")),
-            )
-        ),
-    ).filter(F.col("scan_id").isNotNull())
-    merged = sides.groupBy("scan_id", "fingerprint").agg(F.max("_now").alias("_now"), F.max("_before").alias("_before"))
-    return merged.join(near.select("scan_id", "previous_scan"), "scan_id").select(
-        "scan_id", "previous_scan", "fingerprint", _status(F.col("_now"), F.col("_before")).alias("status")
+    held = join_per_scan(distinct_fingerprints(findings), near, ("fingerprint",))
+    now, before = F.lit(True).alias("_now"), F.lit(True).alias("_before")
+    own = F.struct("scan_id", "previous_scan", now, F.lit(False).alias("_before"))
+    past = F.struct(
+        F.col("next_scan").alias("scan_id"), F.col("scan_id").alias("previous_scan"), F.lit(False).alias("_now"), before
     )
+    sides = held.select("fingerprint", F.inline(F.array(own, past))).filter(F.col("scan_id").isNotNull())
+    merged = sides.groupBy("scan_id", "previous_scan", "fingerprint").agg(
+        F.max("_now").alias("_now"), F.max("_before").alias("_before")
+    )
+    status = _status(F.col("_now"), F.col("_before"))
+    return merged.select("scan_id", "previous_scan", "fingerprint", status.alias("status"))
 
 
 def diff_counts(changes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,18 @@ def broadcast_if_small(side: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
 
 
-def join_per_scan(facts: DataFrame, per_scan: DataFrame, salts: int = 32, how: str = "inner") -> DataFrame:
-    """Join findings with one row per scan when one scan may hold most findings.
+def salt(*columns: str, salts: int = 32) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+
+
+def join_per_scan(
+    facts: DataFrame, per_scan: DataFrame, spread_by: tuple[str, ...], salts: int = 32, how: str = "inner"
+) -> DataFrame:
+    """Join rows of scans with one row per scan when one scan may hold most rows.
 
     Rows of a scan spread over ``salts`` keys and the scan's row is repeated for each, so no
     task gets a whole scan.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64("fingerprint", "line_number", "pos"), F.lit(salts)).cast("int"))
+    salted = facts.withColumn("_salt", salt(*spread_by, salts=salts))
     spread = per_scan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, ["scan_id", "_salt"], how).drop("_salt")

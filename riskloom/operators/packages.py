@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import normalize_package
 from ..functions.text import java_regex, strip
 from ..rules.dependencies import ALIASES, DENYLIST
+from .joins import broadcast_if_small
 
 NAME = r"^([A-Za-z][A-Za-z0-9_\-\.]*)\s*(?:[=<>!~]|$)"
 
@@ -30,9 +31,9 @@ def requirement_names(lines: DataFrame) -> DataFrame:
 
 
 def skip_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    return names.join(aliases, names["package_norm"] == aliases["alias"], "left_anti")
+    return names.join(broadcast_if_small(aliases), names["package_norm"] == aliases["alias"], "left_anti")
 
 
 def denied(names: DataFrame, denylist: DataFrame) -> DataFrame:
-    """Names on the list. A list of any length works; Catalyst picks the join by its size."""
-    return names.join(denylist, names["package_norm"] == denylist["typo_norm"]).drop("typo_norm")
+    """Names on the list. A short list is broadcast, a long one joins by shuffle."""
+    return names.join(broadcast_if_small(denylist), names["package_norm"] == denylist["typo_norm"]).drop("typo_norm")

@@ -61,7 +61,7 @@ def _body(findings: DataFrame, text: Column) -> DataFrame:
     """Finding fragments with a comma in front of all but the first of a scan."""
     first = findings.groupBy("scan_id").agg(F.min(order_key()).alias("_first"))
     comma = F.when(order_key() == F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    joined = join_per_scan(findings, first)
+    joined = join_per_scan(findings, first, ("fingerprint", "line_number", "pos"))
     return joined.select(
         "scan_id", F.lit(BODY).alias("part"), order_key().alias("order"), F.concat(comma, text).alias("fragment")
     )

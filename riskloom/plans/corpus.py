@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_table
-from ..sources.tables import as_corpus
+from ..sources.tables import as_corpus, spread
 from .seeds import NEAR_MISS_EVERY, SEEDS
 
 PROJECT = "corpus"
@@ -16,16 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores if it is small."""
+    return spread(table(spark, sf_dir, name), *TEXT_KEYS[name])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as plain text files, one scan per source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return as_corpus(docs, path=path, content=F.col("text"), scan_id=F.col("source"), keep=["doc_id"])
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as HTML files, one scan per host."""
-    df = table(spark, sf_dir, "pages")
+    df = texts(spark, sf_dir, "pages")
     path = F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".html"))
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
     return as_corpus(df, path=path, content=F.col("html"), scan_id=host, keep=["page_id"])
@@ -33,7 +41,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as text files, one scan per role."""
-    df = table(spark, sf_dir, "conversations")
+    df = texts(spark, sf_dir, "conversations")
     path = F.concat_ws("/", F.lit("talk"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".txt")))
     return as_corpus(df, path=path, content=F.col("text"), scan_id=F.col("role"))
 
@@ -45,7 +53,7 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     miss in some runs, so findings appear, stay and go. The seed is looked up in a literal
     array, so the corpus is one narrow projection of the documents.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     seeds = literal_table(
         [{"name": s.name, "positive": s.positive, "negative": s.negative} for s in SEEDS],
         "array<struct<name:string,positive:string,negative:string>>",

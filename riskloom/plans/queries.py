@@ -82,6 +82,12 @@ def seeded(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, Data
     return files, corpus.seeded_scans(files), detect(files, **options)
 
 
+def kept(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`seeded`, with findings written once for queries that use them several times."""
+    files, scans, findings = seeded(spark, sf_dir, **options)
+    return files, scans, state.materialize(findings, "findings")
+
+
 SCANS = (
     "scans AS (SELECT 'corpus' AS project, scan_id, 'app' AS target, '' AS profile, count(*) AS files_scanned, "
     "max(run_no) AS run_no, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(max(run_no) AS INTEGER)) AS saved_at "
@@ -646,7 +652,7 @@ def trend_caption(spark, sf_dir):
 def load_history(spark, sf_dir):
     # Saved twice, as two appends, then read back.
     folder = state.new_folder(spark, "history")
-    _, scans, findings = seeded(spark, sf_dir)
+    _, scans, findings = kept(spark, sf_dir)
     early = F.col("saved_at") < F.to_timestamp(F.lit("2024-01-01 05:00:00"))
     for part in (scans.filter(early), scans.filter(~early)):
         state.save_scans(part, findings.join(part.select("scan_id"), "scan_id", "left_semi"), folder)
@@ -676,7 +682,7 @@ def suppressions_of(findings: DataFrame) -> DataFrame:
     "WHEN c.status = 'new' THEN 'new' ELSE 'existing' END AS status FROM findings f LEFT JOIN suppressions s USING (fingerprint) "
     "LEFT JOIN changes c ON c.scan_id = f.scan_id AND c.fingerprint = f.fingerprint", more=f"{HISTORY}, {MARKED_SQL}"))
 def suppressed_status(spark, sf_dir):
-    _, scans, findings = seeded(spark, sf_dir)
+    _, scans, findings = kept(spark, sf_dir)
     changes = history.diff_consecutive(scans, findings)
     marked = suppress.with_status(findings, changes, suppressions_of(findings))
     return marked.select("scan_id", "fingerprint", "line_number", "status")
@@ -686,14 +692,14 @@ def suppressed_status(spark, sf_dir):
     "SELECT s.scan_id, count(m.fingerprint) AS n_suppressed FROM scans s LEFT JOIN findings f ON f.scan_id = s.scan_id "
     "LEFT JOIN suppressions m ON m.fingerprint = f.fingerprint GROUP BY s.scan_id", more=f"{SCANS}, {MARKED_SQL}"))
 def suppressed_count(spark, sf_dir):
-    _, scans, findings = seeded(spark, sf_dir)
+    _, scans, findings = kept(spark, sf_dir)
     return suppress.suppressed_count(scans, findings, suppressions_of(findings))
 
 
 @query("is_suppressed", over_findings(
     f"SELECT {columns(SHORT)} FROM findings WHERE fingerprint IN (SELECT fingerprint FROM suppressions)", more=MARKED_SQL))
 def is_suppressed(spark, sf_dir):
-    findings = seeded(spark, sf_dir)[2]
+    findings = kept(spark, sf_dir)[2]
     return suppress.suppressed(findings, suppressions_of(findings)).select(*SHORT)
 
 
@@ -703,7 +709,7 @@ def is_suppressed(spark, sf_dir):
     "SELECT fingerprint, min(scan_id) AS reason, 'bob' AS reviewer, '2024-03-01' AS date FROM findings "
     "WHERE rule_id = 'CRY007' AND fingerprint NOT IN (SELECT fingerprint FROM suppressions) GROUP BY fingerprint", more=MARKED_SQL))
 def add_suppression(spark, sf_dir):
-    findings = seeded(spark, sf_dir)[2]
+    findings = kept(spark, sf_dir)[2]
     new = findings.filter("rule_id = 'CRY007'").select(
         "fingerprint", F.col("scan_id").alias("reason"), F.lit("bob").alias("reviewer"), F.to_date(F.lit("2024-03-01")).alias("date")
     )
@@ -714,7 +720,7 @@ def add_suppression(spark, sf_dir):
     "SELECT fingerprint FROM suppressions WHERE fingerprint NOT IN (SELECT fingerprint FROM findings WHERE scan_id = 'run0')",
     more=MARKED_SQL))
 def remove_suppression(spark, sf_dir):
-    findings = seeded(spark, sf_dir)[2]
+    findings = kept(spark, sf_dir)[2]
     gone = findings.filter("scan_id = 'run0'").select("fingerprint").distinct()
     return suppress.remove_suppressions(suppressions_of(findings), gone).select("fingerprint")
 
@@ -723,7 +729,7 @@ def remove_suppression(spark, sf_dir):
     "SELECT DISTINCT fingerprint, fingerprint IN (SELECT fingerprint FROM suppressions) AS removed FROM findings "
     "WHERE scan_id = 'run0'", more=MARKED_SQL))
 def remove_suppression_report(spark, sf_dir):
-    findings = seeded(spark, sf_dir)[2]
+    findings = kept(spark, sf_dir)[2]
     return suppress.removed_any(suppressions_of(findings), findings.filter("scan_id = 'run0'"))
 
 
@@ -809,7 +815,7 @@ def gate(spark, sf_dir):
     "LEFT JOIN findings f ON f.scan_id = s.scan_id LEFT JOIN changes c ON c.scan_id = f.scan_id AND c.fingerprint = f.fingerprint "
     "GROUP BY s.scan_id")
 def gate_new_only(spark, sf_dir):
-    _, scans, findings = seeded(spark, sf_dir, rule_ids=("CRY007", "AUTH001"))
+    _, scans, findings = kept(spark, sf_dir, rule_ids=("CRY007", "AUTH001"))
     return policy.gate_new_only(scans, findings)
 
 
@@ -854,7 +860,7 @@ def mask_query(name: str, masks: tuple[str, ...]) -> None:
     def run(spark, sf_dir):
         def side(table: str, key: Column) -> DataFrame:
             text = redact.redact_text(F.col("text"), masks)
-            rows = corpus.table(spark, sf_dir, table).select(key.alias("id"), "text", text.alias("masked"))
+            rows = corpus.texts(spark, sf_dir, table).select(key.alias("id"), "text", text.alias("masked"))
             return rows.select(
                 F.lit(table).alias("origin"), "id", F.md5(F.col("masked").cast("binary")).alias("masked_hash"),
                 (F.col("masked") != F.col("text")).alias("changed"),
@@ -997,7 +1003,7 @@ VERSION = report.__version__
     "rule_ordinal) = 1 THEN '' ELSE ',' END || " + FINDING_JSON + " AS fragment FROM findings UNION ALL "
     f"SELECT scan_id, 2 AS part, '],\"summary\":' || {SUMMARY_JSON} || '}}' AS fragment FROM scored", more=TREND))
 def report_json(spark, sf_dir):
-    _, scans, findings = seeded(spark, sf_dir)
+    _, scans, findings = kept(spark, sf_dir)
     return report.report_json(scans, findings).select("scan_id", "part", "fragment")
 
 
@@ -1006,7 +1012,7 @@ def report_json(spark, sf_dir):
     "snippet, owasp_id AS owasp, owasp_llm_id AS owasp_llm, cwe_id AS cwe, fingerprint, confidence FROM findings"))
 def report_sarif(spark, sf_dir):
     # The result fragments, read back as JSON.
-    _, scans, findings = seeded(spark, sf_dir)
+    _, scans, findings = kept(spark, sf_dir)
     body = report.report_sarif(scans, findings).filter(F.col("part") == report.BODY)
     text = F.regexp_replace("fragment", "^,", "")
 
@@ -1027,7 +1033,7 @@ def report_sarif(spark, sf_dir):
     "SELECT s.scan_id, CAST(score AS VARCHAR) AS score, CAST(files_scanned AS VARCHAR) AS files_scanned, "
     "CAST(count(DISTINCT f.rule_id) AS INTEGER) AS n_rules, min(f.rule_id) AS first_rule FROM scored s LEFT JOIN findings f USING (scan_id) GROUP BY ALL", more=TREND))
 def sarif_heads(spark, sf_dir):
-    _, scans, findings = seeded(spark, sf_dir)
+    _, scans, findings = kept(spark, sf_dir)
     parts = report.report_sarif(scans, findings).filter(F.col("part") == report.HEAD)
     run = "$.runs[0]."
     whole = F.concat("fragment", F.lit("]}]}"))
@@ -1075,7 +1081,7 @@ SECRET_WORDS = "secrets AS (SELECT DISTINCT unnest(regexp_extract_all(content, '
 def leak_audit(spark, sf_dir):
     files = corpus.seeded(spark, sf_dir)
     words = F.explode(F.regexp_extract_all("content", F.lit("(?:[A-Za-z0-9_]|-)*Ex4mple(?:[A-Za-z0-9_]|-)*"), F.lit(0)))
-    leaks = audit.leak_audit(detect(files), files.select(words.alias("secret")))
+    leaks = audit.leak_audit(state.materialize(detect(files), "findings"), files.select(words.alias("secret")))
     return leaks.select("scan_id", "rule_id", "file_path", "line_number", "secret", "field").distinct()
 
 

@@ -15,7 +15,7 @@ RULES = [
             r'(?:password|passwd|pwd)\s*(?:==|!=)\s*["\'][^"\']+["\']',
             r'["\'][^"\']+["\']\s*(?:==|!=)\s*(?:password|passwd|pwd)\b',
         ),
-        guards=("password", "passwd", "pwd"), redactor="quoted",
+        needs="=", guards=("password", "passwd", "pwd"), redactor="quoted",
     ),
     RuleSpec(
         "AUTH002", "JWT with hardcoded secret", "CRITICAL",
@@ -26,7 +26,7 @@ RULES = [
             r'jwt\.(?:encode|decode|sign|verify)\s*\([^)]*["\'][a-zA-Z0-9_\-]{8,}["\']',
             r'(?:JWT_SECRET|jwt_secret|JWT_SECRET_KEY)\s*=\s*["\'][^"\']{3,}["\']',
         ),
-        guards=("jwt.", "JWT_SECRET", "jwt_secret"), redactor="word_in_match",
+        needs="(=", guards=("jwt.", "JWT_SECRET", "jwt_secret"), redactor="word_in_match",
     ),
     RuleSpec(
         "AUTH003", "Insecure cookie/session configuration", "HIGH",
@@ -39,7 +39,7 @@ RULES = [
             r'httpOnly\s*:\s*false',
             r'cookie\(.*secure\s*:\s*false',
         ),
-        guards=("SESSION_COOKIE_", "httpOnly", "cookie("),
+        needs="=:", guards=("SESSION_COOKIE_", "httpOnly", "cookie("),
     ),
     RuleSpec(
         "AUTH004", "Disabled CSRF protection", "HIGH",
@@ -52,7 +52,7 @@ RULES = [
             r'csrf\s*:\s*false',
             r'CSRF_ENABLED\s*=\s*False',
         ),
-        guards=("csrf", "CSRF_ENABLED"),
+        needs="@=:", guards=("csrf", "CSRF_ENABLED"),
     ),
     RuleSpec(
         "AUTH005", "Hardcoded auth credentials", "CRITICAL",
@@ -63,7 +63,7 @@ RULES = [
             r'auth\s*=\s*\(\s*["\'][^"\']+["\']\s*,\s*["\'][^"\']+["\']\s*\)',
             r'["\']Authorization["\']\s*:\s*["\']Basic\s+[A-Za-z0-9+/=]+["\']',
         ),
-        guards=("auth", "Authorization"), redactor="quoted_in_match",
+        needs="=:", guards=("auth", "Authorization"), redactor="quoted_in_match",
     ),
     RuleSpec(
         "AUTH006", "Default/weak permission configuration", "MEDIUM",

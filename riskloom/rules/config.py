@@ -12,14 +12,14 @@ RULES = [
         "Debug mode is on and shows internals to every visitor.",
         "Drive the debug flag from the environment and default it to off.",
         GUIDE, "A05:2021", None, "CWE-489", "high", extensions=(".py",),
-        patterns=(r"DEBUG\s*=\s*True",), guards=("DEBUG",),
+        patterns=(r"DEBUG\s*=\s*True",), needs="=", guards=("DEBUG",),
     ),
     RuleSpec(
         "CFG002", "Node development mode", "MEDIUM",
         "The Node environment is fixed to development.",
         "Set the environment at deployment, not in the source.",
         GUIDE, "A05:2021", None, "CWE-489", "medium", extensions=JS,
-        patterns=(r"NODE_ENV.*development", r"""['"]development['"]"""), guards=("development",),
+        patterns=(r"NODE_ENV.*development", r"""['"]development['"]"""), needs="_\"'", guards=("development",),
     ),
     RuleSpec(
         "CFG003", "CORS wildcard origin", "HIGH",
@@ -27,7 +27,7 @@ RULES = [
         "List the origins that are allowed.",
         GUIDE, "A05:2021", None, "CWE-942", "high",
         patterns=(r"Access-Control-Allow-Origin.*\*", r"""origin:\s*['"]?\*""", r"cors\(\s*\)"),
-        guards=("Access-Control-Allow-Origin", "origin:", "cors("),
+        needs="*:(", guards=("Access-Control-Allow-Origin", "origin:", "cors("),
     ),
     RuleSpec(
         "CFG004", "Verbose error configuration", "MEDIUM",
@@ -39,13 +39,13 @@ RULES = [
             r"TRAP_HTTP_EXCEPTIONS\s*=\s*True",
             r"app\.config\[.DEBUG.\]\s*=\s*True",
         ),
-        guards=("PROPAGATE_EXCEPTIONS", "TRAP_HTTP_EXCEPTIONS", "app.config["),
+        needs="=", guards=("PROPAGATE_EXCEPTIONS", "TRAP_HTTP_EXCEPTIONS", "app.config["),
     ),
     RuleSpec(
         "CFG005", "ALLOWED_HOSTS wildcard", "HIGH",
         "Every host name is accepted, so the host header is not checked.",
         "List the host names this service answers to.",
         GUIDE, "A05:2021", None, "CWE-644", "high", extensions=(".py",),
-        patterns=(r"ALLOWED_HOSTS\s*=\s*\[.*\*.*\]",), guards=("ALLOWED_HOSTS",),
+        patterns=(r"ALLOWED_HOSTS\s*=\s*\[.*\*.*\]",), needs="=", guards=("ALLOWED_HOSTS",),
     ),
 ]

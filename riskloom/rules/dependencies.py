@@ -89,7 +89,7 @@ RULES = [
         ),
         # Patterns that veto a stripped line: an upper bound, a comment.
         vetoes=(r",\s*<[\d]", r"^#"),
-        guards=(">=", "~="), kind="stripped_lines", honours_marker=False, redactor="stripped",
+        needs="=", guards=(">=", "~="), kind="stripped_lines", honours_marker=False, redactor="stripped",
     ),
     RuleSpec(
         "DEP104", "Unpinned install_requires in setup.py", "LOW",
@@ -101,7 +101,7 @@ RULES = [
             r'(?:install_requires|extras_require)\s*[=:]\s*[\[\{][^\]\}]*[\]\}]',
             r'["\']([A-Za-z][A-Za-z0-9_\-\.]+)["\']\s*[,\]]',
         ),
-        guards=("install_requires", "extras_require"), honours_marker=False, redactor="stripped",
+        needs="=:", guards=("install_requires", "extras_require"), honours_marker=False, redactor="stripped",
     ),
     RuleSpec(
         "DEP105", "Known typosquatted or hallucinated package", "HIGH",

@@ -22,7 +22,7 @@ RULES = [
             r'(?:route|app\.get|app\.post|router\.get|router\.post|path)\s*\(\s*["\']\/(?:admin|debug|phpmyadmin|swagger|graphql|actuator)["\']',
             r"urlpatterns.*(?:admin|debug)/",
         ),
-        guards=("/admin", "/debug", "/phpmyadmin", "/swagger", "/graphql", "/actuator", "urlpatterns"),
+        needs="(/", guards=("/admin", "/debug", "/phpmyadmin", "/swagger", "/graphql", "/actuator", "urlpatterns"),
     ),
     RuleSpec(
         "DEP003", "Build secrets in Dockerfile", "CRITICAL",
@@ -42,7 +42,7 @@ RULES = [
             r'\.listen\s*\(\s*(?:\d+\s*,\s*)?["\']0\.0\.0\.0["\']',
             r'app\.run\s*\(.*host\s*=\s*["\']0\.0\.0\.0["\']',
         ),
-        guards=("0.0.0.0",),
+        needs="=:(", guards=("0.0.0.0",),
     ),
     RuleSpec(
         "DEP005", "Exposed source maps", "MEDIUM",
@@ -55,7 +55,7 @@ RULES = [
             r"productionSourceMap\s*:\s*true",
             r"GENERATE_SOURCEMAP\s*=\s*true",
         ),
-        guards=("sourceMappingURL", "devtool", "productionSourceMap", "GENERATE_SOURCEMAP"),
+        needs="=:", guards=("sourceMappingURL", "devtool", "productionSourceMap", "GENERATE_SOURCEMAP"),
     ),
     RuleSpec(
         "DEP006", "Insecure security headers configuration", "MEDIUM",

@@ -17,7 +17,7 @@ RULES = [
             r"\b(password|passwd|secret|token|api_key|apikey|"
             r"auth_token|private_key|access_key|secret_key)\b",
         ),
-        guards=("password", "passwd", "secret", "token", "api_key", "apikey", "private_key", "access_key"),
+        needs="(", guards=("password", "passwd", "secret", "token", "api_key", "apikey", "private_key", "access_key"),
         ignore_case=True, honours_marker=False,
     ),
     RuleSpec(
@@ -25,7 +25,7 @@ RULES = [
         "A formatted stack trace may reach the client.",
         "Log traces on the server and answer with a short message.",
         GUIDE, "A04:2021", None, "CWE-209", "medium", extensions=(".py",),
-        patterns=(r"traceback\.(format_exc|print_exc|format_exception)\(",), guards=("traceback.",),
+        patterns=(r"traceback\.(format_exc|print_exc|format_exception)\(",), needs="(", guards=("traceback.",),
     ),
     RuleSpec(
         "DAT003", "Verbose error in response", "MEDIUM",
@@ -40,6 +40,6 @@ RULES = [
         "Remove the message or log through a masking logger.",
         GUIDE, "A04:2021", None, "CWE-532", "medium", extensions=JS,
         patterns=(r"console\.log\(.*\b(password|token|secret|api_key|apikey|key|credential)\b",),
-        guards=("console.log(",),
+        needs="(", guards=("console.log(",),
     ),
 ]

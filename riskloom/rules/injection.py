@@ -21,7 +21,7 @@ RULES = [
             r'execute\s*\(\s*["\'].*["\']?\s*\+',
             r'=\s*f["\'](?:SELECT|INSERT|UPDATE|DELETE|DROP)\s+',
         ),
-        guards=("execute", "query", "SELECT", "INSERT", "UPDATE", "DELETE", "DROP", ".raw"),
+        needs="(+=", guards=("execute", "query", "SELECT", "INSERT", "UPDATE", "DELETE", "DROP", ".raw"),
     ),
     RuleSpec(
         "INJ002", "NoSQL injection", "HIGH",
@@ -32,7 +32,7 @@ RULES = [
             r'\$(?:where|regex|gt|lt|ne|in|nin|or|and|not)\b.*(?:request|req|params|body|input)',
             r'(?:find|findOne|aggregate|updateOne|deleteOne)\s*\(.*(?:request|req|params|body)\b',
         ),
-        guards=("$", "find", "aggregate", "updateOne", "deleteOne"),
+        needs="$(", guards=("$", "find", "aggregate", "updateOne", "deleteOne"),
     ),
     RuleSpec(
         "INJ003", "Command injection", "CRITICAL",
@@ -45,7 +45,7 @@ RULES = [
             r'child_process\.exec\s*\(',
             r'child_process\.execSync\s*\(',
         ),
-        guards=("os.system", "subprocess.", "child_process.exec"),
+        needs="(", guards=("os.system", "subprocess.", "child_process.exec"),
     ),
     RuleSpec(
         "INJ004", "Path traversal", "HIGH",
@@ -58,7 +58,7 @@ RULES = [
             r'send_file\s*\(.*(?:request|req|params|input)\b',
             r'res\.sendFile\s*\(.*(?:req\.|params)',
         ),
-        guards=("open", "os.path.join", "send_file", "res.sendFile"),
+        needs="(", guards=("open", "os.path.join", "send_file", "res.sendFile"),
     ),
     RuleSpec(
         "INJ005", "Cross-site scripting (XSS)", "HIGH",
@@ -85,13 +85,13 @@ RULES = [
             r'Jinja2.*from_string',
             r'eval\s*\(.*(?:request|req|params|body|input)\b',
         ),
-        guards=("render_template_string", "Template", "Jinja2", "eval"),
+        needs="(_", guards=("render_template_string", "Template", "Jinja2", "eval"),
     ),
     RuleSpec(
         "INJ007", "Unsafe YAML loading", "HIGH",
         "The full YAML loader can build any object the text asks for.",
         "Use the safe loader.",
         GUIDE, "A08:2021", None, "CWE-502", "medium", extensions=(".py",),
-        patterns=(r'yaml\.unsafe_load\s*\(', r'yaml\.load\s*\('), guards=("yaml.",),
+        patterns=(r'yaml\.unsafe_load\s*\(', r'yaml\.load\s*\('), needs="(", guards=("yaml.",),
     ),
 ]

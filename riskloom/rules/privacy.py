@@ -18,7 +18,7 @@ RULES = [
             r'console\.(?:log|warn|error|info)\s*\(.*\b(?:email|phone|ssn|password|dob|creditCard|cardNumber|socialSecurity)\b',
             r'(?:logger\.\w+|logging\.\w+|print)\s*\(\s*f["\'].*\{.*(?:email|phone|ssn|password|dob|credit_card)\b',
         ),
-        guards=("logger.", "logging.", "print", "console."), redactor="pii",
+        needs="(", guards=("logger.", "logging.", "print", "console."), redactor="pii",
     ),
     RuleSpec(
         "PRI002", "Hardcoded SSN pattern", "CRITICAL",
@@ -30,7 +30,7 @@ RULES = [
             r'\bssn\s*=\s*["\'][0-9]{3}-[0-9]{2}-[0-9]{4}["\']',
             r'(?:social_security|ssn_number)\s*=\s*["\'][0-9]{3}-[0-9]{2}-[0-9]{4}["\']',
         ),
-        guards=("-",), honours_marker=False, vetoes=("000-00-0000",), redactor="ssn",
+        needs="\"'", guards=("-",), honours_marker=False, vetoes=("000-00-0000",), redactor="ssn",
     ),
     RuleSpec(
         "PRI003", "Health data (PHI) in logs", "HIGH",
@@ -41,7 +41,7 @@ RULES = [
             r'(?:logger\.\w+|logging\.\w+|print)\s*\(.*\b(?:diagnosis|medication|prescription|condition|treatment|patient_data|medical_record|health_record|icd_code|procedure_code)\b',
             r'console\.(?:log|warn|error|info)\s*\(.*\b(?:diagnosis|medication|prescription|condition|treatment|patientData|medicalRecord|healthRecord)\b',
         ),
-        guards=("logger.", "logging.", "print", "console."),
+        needs="(", guards=("logger.", "logging.", "print", "console."),
     ),
     RuleSpec(
         "PRI004", "Hardcoded email address", "LOW",
@@ -52,7 +52,7 @@ RULES = [
             r'["\'][A-Za-z0-9._%+\-]{2,}@(?!example\.|test\.|localhost)[A-Za-z0-9.\-]{3,}\.[A-Za-z]{2,}["\']',
             r'\bemail\s*=\s*["\'][A-Za-z0-9._%+\-]{2,}@(?!example\.|test\.|localhost)[A-Za-z0-9.\-]{3,}\.[A-Za-z]{2,}["\']',
         ),
-        guards=("@",), redactor="email",
+        needs="\"'", guards=("@",), redactor="email",
     ),
     RuleSpec(
         "PRI005", "Unencrypted PII storage", "HIGH",
@@ -65,6 +65,6 @@ RULES = [
             r'(?:f|fh|file)\.write\s*\(.*\b(?:ssn|credit_card|passport_number|social_security)\b',
             r'\b(?:ssn_data|pii_data|credit_card_data|patient_records)\b.*\.to_(?:csv|json|excel)\s*\(',
         ),
-        guards=("csv.writer", "writer.writerow", "json.dump", ".write", ".to_"),
+        needs="(", guards=("csv.writer", "writer.writerow", "json.dump", ".write", ".to_"),
     ),
 ]

@@ -9,8 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import severity_rank
+from ..operators.joins import broadcast_if_small, salt
 
 SUPPRESSION_SCHEMA = "array<struct<fingerprint:string,reason:string,reviewer:string,date:string>>"
 PROFILE_SCHEMA = (
@@ -64,17 +66,29 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several steps use, and read it back.
+
+    Findings are far smaller than the corpus they come from, so writing them once is cheaper
+    than scanning the corpus again for each use.
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 # ---- history ----------------------------------------------------------------------------
 
 
 def save_scans(scans: DataFrame, findings: DataFrame, path: str, mode: str = "append") -> None:
-    """Append scans and their findings to a history folder.
+    """Append scans and their findings to a history folder, one sub-folder per scan.
 
-    Scans are one row each. Findings are hash-partitioned by scan and fingerprint before the
-    write, so a scan with most of the findings still spreads over many files.
+    The salt lets many tasks write a scan with most of the findings and keeps the number of
+    files of small scans down.
     """
     scans.write.mode(mode).parquet(f"{path}/scans")
-    findings.repartition("scan_id", "fingerprint").write.mode(mode).parquet(f"{path}/findings")
+    spread = findings.repartition("scan_id", salt("fingerprint", "line_number"))
+    spread.write.mode(mode).partitionBy("scan_id").parquet(f"{path}/findings")
 
 
 def load_history(spark: SparkSession, path: str, newest: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -82,11 +96,14 @@ def load_history(spark: SparkSession, path: str, newest: int | None = None) -> t
     from ..operators.history import latest_scans
 
     scans = spark.read.parquet(f"{path}/scans")
-    findings = spark.read.parquet(f"{path}/findings")
+    # Folder names may look like numbers; scan ids are strings all the same.
+    found = spark.read.parquet(f"{path}/findings").schema
+    found["scan_id"].dataType = T.StringType()
+    findings = spark.read.schema(found).parquet(f"{path}/findings")
     if newest is None:
         return scans, findings
     scans = latest_scans(scans, newest)
-    return scans, findings.join(scans.select("scan_id"), "scan_id", "left_semi")
+    return scans, findings.join(broadcast_if_small(scans.select("scan_id")), "scan_id", "left_semi")
 
 
 # ---- suppressions -----------------------------------------------------------------------

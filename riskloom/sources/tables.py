@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import normalize_newlines, split_lines, strip
+from ..operators.joins import broadcast_if_small, join_per_scan
 
 IGNORE_FILE = ".riskloomignore"
 
@@ -71,20 +72,23 @@ def parse_ignore_files(files: DataFrame, name: str = IGNORE_FILE) -> DataFrame:
 def apply_ignores(files: DataFrame, ignores: DataFrame) -> DataFrame:
     """Drop files that an ignore file names, or that lie in a directory it names.
 
-    Both are equality joins on one path part at a time, so no list is gathered per scan and
-    Catalyst may broadcast the ignores only where their measured size allows it.
+    An ignore file is a file like others, so the size limit bounds the names of a scan. With
+    that one row per scan the corpus is joined without moving file contents, unless the
+    ignores of all scans together are too many to broadcast.
     """
-    file_names = ignores.filter("kind = 'file'").select("scan_id", F.col("name").alias("_name"))
-    dir_names = ignores.filter("kind = 'dir'").select("scan_id", F.col("name").alias("_dir"))
-    named = files.withColumn("_name", F.element_at(F.split("path", "/"), -1))
-    kept = named.join(file_names, ["scan_id", "_name"], "left_anti").drop("_name")
-    below = (
-        kept.select("scan_id", "path", F.explode(paths.parent_dirs(F.col("path"))).alias("_dir"))
-        .join(dir_names, ["scan_id", "_dir"], "left_semi")
-        .select("scan_id", "path")
-        .distinct()
+    per_scan = ignores.groupBy("scan_id").agg(
+        F.collect_set(F.when(F.col("kind") == "dir", F.col("name"))).alias("_dirs"),
+        F.collect_set(F.when(F.col("kind") == "file", F.col("name"))).alias("_names"),
     )
-    return kept.join(below, ["scan_id", "path"], "left_anti").select(*files.columns)
+    small = broadcast_if_small(per_scan)
+    if small is per_scan:
+        joined = join_per_scan(files, per_scan, ("path",), how="left")
+    else:
+        joined = files.join(small, "scan_id", "left")
+    none = F.array().cast("array<string>")
+    below = F.arrays_overlap(paths.parent_dirs(F.col("path")), F.coalesce("_dirs", none))
+    named = F.array_contains(F.coalesce("_names", none), F.element_at(F.split("path", "/"), -1))
+    return joined.filter(~below & ~named).select(*files.columns)
 
 
 def apply_corpus_filters(
@@ -103,5 +107,18 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input at least one task per core; for frames read straight from files.
+
+    A table of a few splits would leave most cores idle. Larger ones already have more splits
+    than cores and stay as they are, so no large corpus is shuffled. Asking a plain scan for
+    its splits runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(2 * cores, *keys)
+
+
 def files_scanned(files: DataFrame) -> DataFrame:
     return files.groupBy("scan_id").agg(F.count("*").alias("files_scanned"))
