@@ -68,8 +68,8 @@ IMPORT_REGEX = r"^(?:import|from)\s+(" + "|".join(name.replace("-", r"\-") for n
 class _Detector:
     """One matcher of a rule with the path gate and guards that let it run."""
 
-    def __init__(self, ordinal: int, rule: RuleSpec, scope: str, gate: tuple, guards: tuple[str, ...], build: Callable):
-        self.ordinal, self.rule, self.scope, self.gate = ordinal, rule, scope, gate
+    def __init__(self, number: int, rule: RuleSpec, scope: str, gate: tuple, guards: tuple[str, ...], build: Callable):
+        self.number, self.rule, self.scope, self.gate = number, rule, scope, gate
         self.guards, self.build = guards, build
 
 
@@ -142,22 +142,22 @@ def _match_denied_import(rule: RuleSpec, line: Column, marker: str) -> Column:
 # ---- file matchers: (content, lines) -> array of hits -----------------------------------
 
 
-def _file_hit(ordinal: int, line_number: Column, snippet: Column, message: Column | None = None) -> Column:
+def _file_hit(number: int, line_number: Column, snippet: Column, message: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
-        F.lit(ordinal).alias("rule"),
+        F.lit(number).alias("rule"),
         line_number.cast("int").alias("line_number"),
         snippet.alias("snippet"),
         (none if message is None else message).alias("message"),
     )
 
 
-def _one_file_hit(ordinal: int, condition: Column, snippet: Column) -> Column:
+def _one_file_hit(number: int, condition: Column, snippet: Column) -> Column:
     """One finding on line 1 when a condition on the whole file holds."""
-    return F.when(condition, F.array(_file_hit(ordinal, F.lit(1), snippet))).otherwise(F.array().cast(HIT))
+    return F.when(condition, F.array(_file_hit(number, F.lit(1), snippet))).otherwise(F.array().cast(HIT))
 
 
-def _missing_in_window(ordinal: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
+def _missing_in_window(number: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
     """Call lines with no limit from two lines before to nine lines after."""
     call, limit = rule.patterns
 
@@ -166,25 +166,25 @@ def _missing_in_window(ordinal: int, rule: RuleSpec, content: Column, lines: Col
         window = F.slice(lines, first + 1, index + 10 - first)
         return F.when(
             matches(line, call, True) & ~matches(F.array_join(window, "\n"), limit, True),
-            _file_hit(ordinal, index + 1, strip(line)),
+            _file_hit(number, index + 1, strip(line)),
         )
 
     return F.array_compact(F.transform(lines, unbounded))
 
 
-def _missing_entry(ordinal: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
+def _missing_entry(number: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
     accepted = F.array(*[F.lit(entry) for entry in ACCEPTED_ENTRIES[rule.rule_id]])
     head = F.when(content == "", F.lit(EMPTY_FILE_SNIPPET)).otherwise(F.substring(content, 1, 80))
-    return _one_file_hit(ordinal, ~F.arrays_overlap(F.transform(lines, strip), accepted), head)
+    return _one_file_hit(number, ~F.arrays_overlap(F.transform(lines, strip), accepted), head)
 
 
-def _missing_user(ordinal: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
+def _missing_user(number: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
     # Multi-line mode in which only a line feed ends a line.
-    return _one_file_hit(ordinal, ~content.rlike("(?mdU)" + rule.patterns[0]), F.lit(NO_USER_SNIPPET))
+    return _one_file_hit(number, ~content.rlike("(?mdU)" + rule.patterns[0]), F.lit(NO_USER_SNIPPET))
 
 
-def _env_file(ordinal: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
-    return _one_file_hit(ordinal, content.contains("="), F.lit(ENV_FILE_SNIPPET))
+def _env_file(number: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
+    return _one_file_hit(number, content.contains("="), F.lit(ENV_FILE_SNIPPET))
 
 
 def _count_newlines(text: Column) -> Column:
@@ -226,7 +226,7 @@ def _located(text: Column, pattern: str) -> Column:
     return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), with_offsets)
 
 
-def _block_items(ordinal: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
+def _block_items(number: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
     """Bare quoted names inside a dependency block that may span lines."""
     block_regex, name_regex = rule.patterns
 
@@ -241,7 +241,7 @@ def _block_items(ordinal: int, rule: RuleSpec, content: Column, lines: Column) -
             name = F.regexp_extract(found["hit"], java_regex(name_regex), 1)
             line = block_line + _count_newlines(F.substring(text, F.lit(1), start))
             message = F.format_string(UNBOUNDED_MESSAGE, name)
-            return F.when(~bounded, _file_hit(ordinal, line, strip(found["hit"]), message))
+            return F.when(~bounded, _file_hit(number, line, strip(found["hit"]), message))
 
         return F.array_compact(F.transform(_located(block["hit"], name_regex), item))
 
@@ -258,29 +258,28 @@ _FILE_KINDS = {
 }
 
 
-def _detectors(rules: tuple[RuleSpec, ...], ordinals: dict[str, int]) -> list[_Detector]:
+def _detectors(rules: tuple[RuleSpec, ...]) -> list[_Detector]:
     found = []
-    for rule in rules:
-        ordinal = ordinals[rule.rule_id]
+    for number, rule in enumerate(rules):
         key = paths.gate_key(rule)
         if rule.kind == "denylist":
-            found.append(_Detector(ordinal, rule, "line", ("denylist_requirements", ()), (), _match_denied_requirement))
+            found.append(_Detector(number, rule, "line", ("denylist_requirements", ()), (), _match_denied_requirement))
             found.append(
-                _Detector(ordinal, rule, "line", ("denylist_imports", ()), ("import", "from"), _match_denied_import)
+                _Detector(number, rule, "line", ("denylist_imports", ()), ("import", "from"), _match_denied_import)
             )
         elif rule.kind in _LINE_KINDS:
-            found.append(_Detector(ordinal, rule, "line", key, rule.guards, _LINE_KINDS[rule.kind]))
+            found.append(_Detector(number, rule, "line", key, rule.guards, _LINE_KINDS[rule.kind]))
         else:
-            found.append(_Detector(ordinal, rule, "file", key, rule.guards, _FILE_KINDS[rule.kind]))
+            found.append(_Detector(number, rule, "file", key, rule.guards, _FILE_KINDS[rule.kind]))
     return found
 
 
 # ---- assembly ---------------------------------------------------------------------------
 
 
-def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, content: Column, marker: str) -> Column:
+def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: str) -> Column:
     """All hits of one file as an array, see :data:`HIT`."""
-    detectors = _detectors(rules, ordinals)
+    detectors = _detectors(rules)
     gates = list(dict.fromkeys(d.gate for d in detectors))
     symbols = sorted({char for d in detectors for char in d.rule.needs} | set(_SYMBOLS))
     symbol_bit = {char: 1 << (len(gates) + number) for number, char in enumerate(symbols)}
@@ -310,7 +309,7 @@ def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, c
         [
             {
                 "id": number,
-                "rule": d.ordinal,
+                "rule": d.number,
                 "gate": 1 << gates.index(d.gate),
                 "needs": bits(d.rule.needs),
                 "guard_ids": [guards[text, d.rule.ignore_case]["id"] for text in d.guards],
@@ -416,7 +415,7 @@ def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, c
         parts = [
             F.when(
                 F.array_contains(ids, F.lit(number)),
-                detector.build(detector.ordinal, detector.rule, text, lines),
+                detector.build(detector.number, detector.rule, text, lines),
             ).otherwise(F.array().cast(HIT))
             for number, detector in enumerate(detectors)
             if detector.scope == "file"
@@ -452,28 +451,43 @@ def _hits(rules: tuple[RuleSpec, ...], ordinals: dict[str, int], path: Column, c
 
 
 @lru_cache(maxsize=64)
-def _cached_hits(application: str, rules: tuple[RuleSpec, ...], ordinals: tuple, marker: str) -> Column:
-    """Building the expression takes seconds of driver time, so scans in one application share it."""
-    return _hits(rules, dict(ordinals), F.col("path"), F.col("content"), marker)
+def _cached_hits(application: str, rules: tuple[RuleSpec, ...], marker: str) -> tuple[Column, Column]:
+    """The hits of a file, and the metadata of a hit's rule from a constant table.
 
+    Building the expression takes seconds of driver time, so scans in one application share it.
+    """
+    table = literal_table(_rule_rows(rules), f"array<struct<{_struct_fields(_RULE_FIELDS)}>>")
+    return _hits(rules, F.col("path"), F.col("content"), marker), F.get(table, F.col("hit.rule"))
 
-def rule_table(spark: SparkSession, rules: Iterable[RuleSpec] = CATALOG) -> DataFrame:
-    """The catalogue as a dimension table, one row per rule."""
-    rules = tuple(rules)
+
+_RULE_FIELDS = (
+    "rule_ordinal int, rule_id string, rule_name string, severity int, severity_name string, category string, "
+    "description string, fix string, guide_url string, owasp_id string, owasp_llm_id string, cwe_id string, "
+    "confidence string, file_extensions array<string>, patterns array<string>"
+)
+
+
+def _rule_rows(rules: tuple[RuleSpec, ...]) -> list[dict]:
     ordinals = rule_ordinals(rules)
-    rows = [
-        (
-            ordinals[r.rule_id], r.rule_id, r.name, r.severity_rank, r.severity, r.category, r.why, r.fix,
-            r.guide_url, r.owasp_id, r.owasp_llm_id, r.cwe_id, r.confidence, list(r.extensions), list(r.patterns),
-        )
+    return [
+        {
+            "rule_ordinal": ordinals[r.rule_id], "rule_id": r.rule_id, "rule_name": r.name, "severity": r.severity_rank,
+            "severity_name": r.severity, "category": r.category, "description": r.why, "fix": r.fix,
+            "guide_url": r.guide_url, "owasp_id": r.owasp_id, "owasp_llm_id": r.owasp_llm_id, "cwe_id": r.cwe_id,
+            "confidence": r.confidence, "file_extensions": list(r.extensions), "patterns": list(r.patterns),
+        }
         for r in rules
     ]
-    schema = (
-        "rule_ordinal int, rule_id string, rule_name string, severity int, severity_name string, category string, "
-        "description string, fix string, guide_url string, owasp_id string, owasp_llm_id string, cwe_id string, "
-        "confidence string, file_extensions array<string>, patterns array<string>"
-    )
-    return spark.createDataFrame(rows, schema)
+
+
+def rule_table(spark: SparkSession, rules: Iterable[RuleSpec] = CATALOG) -> DataFrame:
+    """The catalogue as a dimension table, one row per rule."""
+    table = literal_table(_rule_rows(tuple(rules)), f"array<struct<{_struct_fields(_RULE_FIELDS)}>>")
+    return spark.range(1).select(F.inline(table))
+
+
+def _struct_fields(columns: str) -> str:
+    return ", ".join(column.replace(" ", ":", 1) for column in columns.split(", "))
 
 
 def rule_ordinals(rules: Iterable[RuleSpec]) -> dict[str, int]:
@@ -502,29 +516,26 @@ def detect(
     if not chosen:
         return detect(files, CATALOG[:1], marker=marker, keep=keep).limit(0)
     keep = list(keep)
-    ordinals = rule_ordinals(chosen)
-    hits = _cached_hits(files.sparkSession.sparkContext.applicationId, chosen, tuple(ordinals.items()), marker)
+    hits, rule = _cached_hits(files.sparkSession.sparkContext.applicationId, chosen, marker)
     raw = files.select("scan_id", "path", *keep, F.posexplode(hits).alias("pos", "hit"))
-    table = rule_table(files.sparkSession, chosen)
-    # The catalogue is declared in code, so its size does not depend on the data.
-    joined = raw.join(F.broadcast(table), raw["hit"]["rule"] == table["rule_ordinal"])
-    return joined.select(
+    named = raw.withColumn("rule", rule)
+    return named.select(
         "scan_id",
-        "rule_id",
-        "rule_name",
-        "severity",
+        "rule.rule_id",
+        "rule.rule_name",
+        "rule.severity",
         F.col("path").alias("file_path"),
-        F.col("hit.line_number").alias("line_number"),
-        F.coalesce(F.col("hit.message"), F.col("description")).alias("message"),
-        "fix",
-        F.col("hit.snippet").alias("snippet"),
-        "guide_url",
-        "owasp_id",
-        "owasp_llm_id",
-        "cwe_id",
-        "confidence",
-        fingerprint(F.col("path"), F.col("rule_id"), F.col("hit.snippet")).alias("fingerprint"),
-        "rule_ordinal",
+        "hit.line_number",
+        F.coalesce("hit.message", "rule.description").alias("message"),
+        "rule.fix",
+        "hit.snippet",
+        "rule.guide_url",
+        "rule.owasp_id",
+        "rule.owasp_llm_id",
+        "rule.cwe_id",
+        "rule.confidence",
+        fingerprint(F.col("path"), F.col("rule.rule_id"), F.col("hit.snippet")).alias("fingerprint"),
+        "rule.rule_ordinal",
         "pos",
         *keep,
     )
