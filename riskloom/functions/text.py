@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 LINE_ENDS = "[\n\u000b\u000c\u001c-\u001e\u0085]"
 WIDE_LINE_ENDS = ("\u2028", "\u2029")
 _SPACE = r"[\s\x1c-\x1f]+"
+# Fixed value: the characters that Python counts as white space.
+WHITE_SPACE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,7 +65,7 @@ def split_lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def collapse_space(text: Column) -> Column:

@@ -314,13 +314,14 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
                 "needs": bits(d.rule.needs),
                 "guard_ids": [guards[text, d.rule.ignore_case]["id"] for text in d.guards],
                 "guards": list(d.guards),
+                "also": list(d.rule.also),
                 "fold": d.rule.ignore_case,
                 "by_line": d.scope == "line",
             }
             for number, d in enumerate(detectors)
         ],
         "array<struct<id:int,rule:int,gate:bigint,needs:bigint,guard_ids:array<int>,guards:array<string>,"
-        "fold:boolean,by_line:boolean>>",
+        "also:array<string>,fold:boolean,by_line:boolean>>",
     )
 
     def flags(tests: list[tuple[Column, int]]) -> Column:
@@ -385,7 +386,10 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
             return case if branches is None else branches.otherwise(case)
 
         def guarded(text: Column) -> Callable[[Column], Column]:
-            return lambda d: (F.size(d["guards"]) == 0) | F.exists(d["guards"], lambda guard: F.contains(text, guard))
+            def holds_one(literals: Column) -> Column:
+                return (F.size(literals) == 0) | F.exists(literals, lambda literal: F.contains(text, literal))
+
+            return lambda d: holds_one(d["guards"]) & holds_one(d["also"])
 
         def report(d: Column) -> Column:
             return let(

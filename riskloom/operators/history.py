@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from .joins import join_per_scan
 from .score import label_column
+from .sequence import with_neighbours
 
 
 def distinct_fingerprints(findings: DataFrame) -> DataFrame:
@@ -37,14 +38,11 @@ def diff(findings: DataFrame, previous_scan: str | None, current_scan: str) -> D
     return sides.select("fingerprint", _status(F.col("_now"), F.col("_before")).alias("status"))
 
 
-def _neighbours(scans: DataFrame, *project: str) -> DataFrame:
+def _neighbours(scans: DataFrame, project: str) -> DataFrame:
     """Each scan with the scan before and after it. One small row per scan."""
-    order = Window.partitionBy(*project).orderBy("saved_at", "scan_id")
-    return scans.select(
-        *project,
-        "scan_id",
-        F.lag("scan_id").over(order).alias("previous_scan"),
-        F.lead("scan_id").over(order).alias("next_scan"),
+    near = with_neighbours(scans.select(project, "scan_id", "saved_at"), project, ["saved_at", "scan_id"], ["scan_id"])
+    return near.select(
+        "scan_id", F.col("before.scan_id").alias("previous_scan"), F.col("after.scan_id").alias("next_scan")
     )
 
 
@@ -83,14 +81,14 @@ def latest_scans(scans: DataFrame, n: int = 1, project: str = "project") -> Data
 
 
 def score_trend(scored: DataFrame, project: str = "project") -> DataFrame:
-    """Scores oldest first with the change from the scan before."""
-    order = Window.partitionBy(project).orderBy("saved_at", "scan_id")
-    return scored.select(
+    """Scores with the change from the scan before. ``scored`` should be a stored table."""
+    facts = scored.select(project, "scan_id", "saved_at", "score")
+    return with_neighbours(facts, project, ["saved_at", "scan_id"], ["score"]).select(
         project,
         "scan_id",
         "saved_at",
         "score",
-        (F.col("score") - F.lag("score").over(order)).alias("delta"),
+        (F.col("score") - F.col("before.score")).alias("delta"),
         label_column(F.col("score"), 3).alias("label_short"),
     )
 

@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def is_small(side: DataFrame, max_rows: int = 10_000, max_bytes: int = 32 << 20) -> bool:
+    """Whether a table stays below both bounds; no more than one row beyond them is read."""
+    size = side.limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("n_bytes")
+    ).first()
+    return size["n"] <= max_rows and size["n_bytes"] <= max_bytes
+
+
 def broadcast_if_small(side: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only after counting the side; a larger one joins by shuffle."""
-    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+    """Hint a broadcast only after measuring the side; a larger one joins by shuffle."""
+    return F.broadcast(side) if is_small(side, max_rows) else side
 
 
 def salt(*columns: str, salts: int = 32) -> Column:

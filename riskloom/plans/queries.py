@@ -627,7 +627,8 @@ def latest_scans(spark, sf_dir):
     f"score - lag(score) OVER (ORDER BY saved_at, scan_id) AS delta, {label_case(3)} AS label_short FROM scored", more=TREND))
 def score_trend(spark, sf_dir):
     _, scans, findings = seeded(spark, sf_dir, rule_ids=None)
-    trend = history.score_trend(sc.score(scans, findings)).drop("project")
+    scored = state.materialize(sc.score(scans, findings), "scores")
+    trend = history.score_trend(scored).drop("project")
     return trend.withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -1068,8 +1069,9 @@ def export_catalog(spark, sf_dir):
 def determinism_audit(spark, sf_dir):
     files = corpus.seeded(spark, sf_dir)
     again = files.repartition(7, "path")
-    different = audit.determinism_audit(detect(files), detect(again)).agg(F.count("*").alias("n_different"))
-    return different.join(files.agg(F.count("*").alias("n_documents")))
+    different = audit.determinism_audit(detect(files), detect(again)).select(F.lit(1).alias("d"), F.lit(0).alias("n"))
+    both = different.unionByName(files.select(F.lit(0).alias("d"), F.lit(1).alias("n")))
+    return both.agg(F.sum("d").alias("n_different"), F.sum("n").alias("n_documents"))
 
 
 SECRET_WORDS = "secrets AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?:[A-Za-z0-9_]|-)*Ex4mple(?:[A-Za-z0-9_]|-)*')) AS secret FROM files)"

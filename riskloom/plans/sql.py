@@ -97,7 +97,9 @@ def matches(rule: RuleSpec, pattern: str, text: str = "line") -> str:
         # No look-ahead in this engine: list the candidates and drop the reserved domains.
         found = f"regexp_extract_all({text}, {q(pattern.replace(look, ''))})"
         return f"len(list_filter({found}, lambda m: NOT regexp_matches(m, '@(example\\.|test\\.|localhost)'))) > 0"
-    return f"regexp_matches({text}, {q(('(?i)' if rule.ignore_case else '') + pattern)})"
+    # Nor possessive repeats, which it does not need.
+    plain = pattern.replace(")*+", ")*")
+    return f"regexp_matches({text}, {q(('(?i)' if rule.ignore_case else '') + plain)})"
 
 
 # ---- one branch per rule ----------------------------------------------------------------

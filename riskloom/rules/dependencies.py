@@ -78,13 +78,14 @@ RULES = [
         patterns=(r"^([A-Za-z0-9][A-Za-z0-9_\-\.]+)\s*$",),
         kind="stripped_lines", honours_marker=False, redactor="stripped",
     ),
+    # The repeat in the first pattern is possessive, so that a long list needs no stack.
     RuleSpec(
         "DEP103", "Wildcard / unbounded version specifier", "LOW",
         "A requirement has a lower bound and no upper bound.",
         "Pin the version or add an upper bound.",
         GUIDE, "A08:2021", None, "CWE-1104", "medium", gate="requirements_or_setup",
         patterns=(
-            r"^[A-Za-z0-9][A-Za-z0-9_\-\.]+\s*(?:>=|~=)\s*[\d\.]+\s*(?:,\s*!=[\d\.]+\s*)*$",
+            r"^[A-Za-z0-9][A-Za-z0-9_\-\.]+\s*(?:>=|~=)\s*[\d\.]+\s*(?:,\s*!=[\d\.]+\s*)*+$",
             r'["\'][A-Za-z0-9][A-Za-z0-9_\-\.]+\s*(?:>=|~=)\s*[\d\.]+["\']',
         ),
         # Patterns that veto a stripped line: an upper bound, a comment.

@@ -17,6 +17,7 @@ RULES = [
             r"\b(password|passwd|secret|token|api_key|apikey|"
             r"auth_token|private_key|access_key|secret_key)\b",
         ),
+        also=("log", "print"),
         needs="(", guards=("password", "passwd", "secret", "token", "api_key", "apikey", "private_key", "access_key"),
         ignore_case=True, honours_marker=False,
     ),
@@ -40,6 +41,7 @@ RULES = [
         "Remove the message or log through a masking logger.",
         GUIDE, "A04:2021", None, "CWE-532", "medium", extensions=JS,
         patterns=(r"console\.log\(.*\b(password|token|secret|api_key|apikey|key|credential)\b",),
+        also=("password", "token", "secret", "api_key", "apikey", "key", "credential"),
         needs="(", guards=("console.log(",),
     ),
 ]

@@ -32,6 +32,7 @@ RULES = [
             r'\$(?:where|regex|gt|lt|ne|in|nin|or|and|not)\b.*(?:request|req|params|body|input)',
             r'(?:find|findOne|aggregate|updateOne|deleteOne)\s*\(.*(?:request|req|params|body)\b',
         ),
+        also=("req", "params", "body", "input"),
         needs="$(", guards=("$", "find", "aggregate", "updateOne", "deleteOne"),
     ),
     RuleSpec(
@@ -58,6 +59,7 @@ RULES = [
             r'send_file\s*\(.*(?:request|req|params|input)\b',
             r'res\.sendFile\s*\(.*(?:req\.|params)',
         ),
+        also=("req", "params", "input", "args"),
         needs="(", guards=("open", "os.path.join", "send_file", "res.sendFile"),
     ),
     RuleSpec(

@@ -18,6 +18,10 @@ RULES = [
             r'console\.(?:log|warn|error|info)\s*\(.*\b(?:email|phone|ssn|password|dob|creditCard|cardNumber|socialSecurity)\b',
             r'(?:logger\.\w+|logging\.\w+|print)\s*\(\s*f["\'].*\{.*(?:email|phone|ssn|password|dob|credit_card)\b',
         ),
+        also=(
+            "email", "phone", "ssn", "passw", "dob", "date_of_birth",
+            "credit_card", "card_number", "social_security", "creditCard", "cardNumber", "socialSecurity",
+        ),
         needs="(", guards=("logger.", "logging.", "print", "console."), redactor="pii",
     ),
     RuleSpec(
@@ -41,6 +45,10 @@ RULES = [
             r'(?:logger\.\w+|logging\.\w+|print)\s*\(.*\b(?:diagnosis|medication|prescription|condition|treatment|patient_data|medical_record|health_record|icd_code|procedure_code)\b',
             r'console\.(?:log|warn|error|info)\s*\(.*\b(?:diagnosis|medication|prescription|condition|treatment|patientData|medicalRecord|healthRecord)\b',
         ),
+        also=(
+            "diagnosis", "medication", "prescription", "condition", "treatment", "patient_data",
+            "medical_record", "health_record", "icd_code", "procedure_code", "patientData", "medicalRecord", "healthRecord",
+        ),
         needs="(", guards=("logger.", "logging.", "print", "console."),
     ),
     RuleSpec(
@@ -65,6 +73,10 @@ RULES = [
             r'(?:f|fh|file)\.write\s*\(.*\b(?:ssn|credit_card|passport_number|social_security)\b',
             r'\b(?:ssn_data|pii_data|credit_card_data|patient_records)\b.*\.to_(?:csv|json|excel)\s*\(',
         ),
+        also=(
+            "ssn", "social_security", "credit_card", "card_number", "passport",
+            "health_record", "medical_record", "diagnosis", "pii_data", "patient_records",
+        ),
         needs="(", guards=("csv.writer", "writer.writerow", "json.dump", ".write", ".to_"),
     ),
 ]

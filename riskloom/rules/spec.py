@@ -15,7 +15,8 @@ class RuleSpec:
     ``kind`` names the matcher in :mod:`riskloom.operators.detect`; plain per-line regex
     rules use ``lines``. ``guards`` are literals of which every matching line holds at
     least one, so a cheap substring test can run before the regexes. An empty tuple means
-    no such literal exists. ``needs`` are characters of which every matching line holds at
+    no such literal exists. ``also`` is a second such list, tested on lines only; it spares
+    a regex with an open middle the lines that lack its end. ``needs`` are characters of which every matching line holds at
     least one; prose without code symbols is ruled out by them alone. ``gate`` names a path predicate in
     :mod:`riskloom.functions.paths`; ``extensions`` is the usual one.
     """
@@ -35,6 +36,7 @@ class RuleSpec:
     gate: str | None = None
     patterns: tuple[str, ...] = ()
     guards: tuple[str, ...] = ()
+    also: tuple[str, ...] = ()
     needs: str = ""
     ignore_case: bool = False
     honours_marker: bool = True

@@ -205,6 +205,12 @@ def test_long_adversarial_lines(scan):
     assert [r.rule_id for r in scan(("a.js", text))] == []
 
 
+def test_long_lists_and_blanks_need_no_stack(scan):
+    text = "flask>=1" + ",!=1" * 20_000 + "\n" + " " * 100_000 + "x"
+    assert [r.rule_id for r in scan(("requirements.txt", text), rule_ids=["DEP103"])] == ["DEP103"]
+    assert scan(("a.js", "console.log(x" * 20_000), rule_ids=["DAT004", "PRI001", "PRI003"]) == []
+
+
 def test_plan_is_one_narrow_pass(spark, tmp_path):
     spark.createDataFrame([("s", "a.py", "eval(x)", 1)], "scan_id string, path string, content string, other int").write.parquet(
         str(tmp_path / "files")

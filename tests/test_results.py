@@ -10,6 +10,8 @@ from riskloom.operators import audit, history, policy, report, score, suppress
 from riskloom.operators import findings as fnd
 from riskloom.operators.custom import detect_with
 from riskloom.operators.detect import detect
+from riskloom.operators.joins import is_small
+from riskloom.operators.sequence import with_neighbours
 from riskloom.rules import RuleSpec
 from riskloom.sources import state, tables
 
@@ -225,3 +227,22 @@ def test_one_scan_with_most_findings(spark):
     )
     assert len(assemble(report.report_json(scans, found), "hot")["findings"]) == 2700
     assert history.diff_consecutive(scans, found).filter("status <> 'resolved'").count() == 3000
+
+
+def test_neighbours_across_ranges_equal_one_window(spark):
+    """The range-wise form for long sequences, ties and a hot key included."""
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 50 == 0, F.lit("b")).otherwise(F.lit("a")).alias("project"),
+        F.timestamp_seconds((F.col("id") * 7919 % 5000 / 3).cast("long")).alias("saved_at"),
+        F.concat(F.lit("s"), F.col("id")).alias("scan_id"),
+    )
+    order, fields = ["saved_at", "scan_id"], ["scan_id"]
+    whole = with_neighbours(rows, "project", order, fields)
+    cut = with_neighbours(rows, "project", order, fields, max_rows=100)
+    assert "_range" in cut._jdf.queryExecution().analyzed().toString()
+    assert sorted(whole.collect(), key=str) == sorted(cut.select(*whole.columns).collect(), key=str)
+
+
+def test_broadcast_only_after_measuring(spark):
+    table = spark.range(100).withColumn("text", F.repeat(F.lit("x"), F.lit(1000)))
+    assert is_small(table) and not is_small(table, max_rows=99) and not is_small(table, max_bytes=50_000)

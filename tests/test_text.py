@@ -30,6 +30,14 @@ def test_strip_equals_python(spark):
     assert column(spark, values, strip) == [v.strip() for v in values]
 
 
+def test_white_space_is_complete():
+    import sys
+
+    from riskloom.functions.text import WHITE_SPACE
+
+    assert set(WHITE_SPACE) == {chr(n) for n in range(sys.maxunicode + 1) if chr(n).isspace()}
+
+
 def test_fold_case(spark):
     values = ["PASSWORD", "paſſword", "APİ_KEY", "apı_key", "KEY", "Éa"]
     assert column(spark, values, fold_case) == ["password", "password", "api_key", "api_key", "key", "éa"]
