@@ -16,7 +16,9 @@ each pattern is compiled once per task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +48,6 @@ IGNORE_MARKER = "riskloom-ignore"
 _SYMBOLS = "()[]{}<=>:_\"'@-/*+$"
 
 HIT = "array<struct<rule:int,line_number:int,snippet:string,message:string>>"
-_LINE_HIT = "struct<snippet:string,message:string>"
 
 # Snippets and messages of rules that do not quote a line.
 NO_USER_SNIPPET = "# No USER directive found in Dockerfile"
@@ -65,36 +66,36 @@ IMPORT_LINE = r"(?iuU)^[\s\x1f]*(?:import|from)\s"
 IMPORT_REGEX = r"^(?:import|from)\s+(" + "|".join(name.replace("-", r"\-") for name in DENYLIST) + r")\b"
 
 
+@dataclass(frozen=True)
 class _Detector:
     """One matcher of a rule with the path gate and guards that let it run."""
 
-    def __init__(self, number: int, rule: RuleSpec, scope: str, gate: tuple, guards: tuple[str, ...], build: Callable):
-        self.number, self.rule, self.scope, self.gate = number, rule, scope, gate
-        self.guards, self.build = guards, build
+    number: int
+    rule: RuleSpec
+    scope: str
+    gate: tuple
+    guards: tuple[str, ...]
+    build: Callable
+    message: Callable | None = None
 
 
-# ---- line matchers: line -> struct<snippet, message>, null for no hit -------------------
+# ---- line matchers: line -> snippet, null for no hit ------------------------------------
 
 
-def _line_hit(snippet: Column, message: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(snippet.alias("snippet"), (none if message is None else message).alias("message"))
-
-
-def _match_lines(rule: RuleSpec, line: Column, marker: str) -> Column:
+def _match_lines(rule: RuleSpec, line: Column) -> Column:
     """The first pattern that hits decides the snippet."""
-    hit = F.lit(None).cast(_LINE_HIT)
-    for pattern in reversed(rule.patterns):
-        hit = F.when(matches(line, pattern, rule.ignore_case), _line_hit(redact.snippet(rule, pattern, line))).otherwise(hit)
-    banned = contains_any(line, rule.vetoes + ((marker,) if rule.honours_marker else ()))
-    return F.when(~banned, hit)
+    snippet = None
+    for pattern in rule.patterns:
+        test, value = matches(line, pattern, rule.ignore_case), redact.snippet(rule, pattern, line)
+        snippet = F.when(test, value) if snippet is None else snippet.when(test, value)
+    return F.when(~contains_any(line, rule.vetoes), snippet) if rule.vetoes else snippet
 
 
-def _match_stripped_lines(rule: RuleSpec, line: Column, marker: str) -> Column:
+def _match_stripped_lines(rule: RuleSpec, line: Column) -> Column:
     def on(text: Column) -> Column:
         found = paths.any_of(matches(text, pattern) for pattern in rule.patterns)
         vetoed = paths.any_of(matches(text, pattern) for pattern in rule.vetoes)
-        return F.when(found & ~vetoed, _line_hit(text))
+        return F.when(found & ~vetoed, text)
 
     return let(strip(line), on)
 
@@ -104,41 +105,62 @@ def _denylist_map(normalized: bool) -> Column:
     for typo, legit in DENYLIST.items():
         key = typo.lower().replace("-", "_").replace(".", "_") if normalized else typo.lower()
         entries.setdefault(key, legit)
-    return F.create_map(*[F.lit(part) for entry in entries.items() for part in entry])
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _required_name(rule: RuleSpec, text: Column) -> Column:
+    return F.regexp_extract(text, java_regex(rule.patterns[0], True), 1)
+
 
+def _legit_requirement(name: Column) -> Column:
+    return F.try_element_at(_denylist_map(True), normalize_package(name))
 
-def _match_denied_requirement(rule: RuleSpec, line: Column, marker: str) -> Column:
+
+def _match_denied_requirement(rule: RuleSpec, line: Column) -> Column:
     """A requirement line whose normalised name is a normalised denylist key."""
 
     def on(text: Column) -> Column:
-        name = F.regexp_extract(text, java_regex(rule.patterns[0], True), 1)
-        key = normalize_package(name)
-        legit = F.try_element_at(_denylist_map(True), key)
-        report = (name != "") & ~key.isin(*ALIASES) & legit.isNotNull()
-        return F.when(report, _line_hit(text, F.format_string(TYPO_LINE_MESSAGE, name, legit)))
+        return let(
+            _required_name(rule, text),
+            lambda name: F.when(
+                (name != "") & ~normalize_package(name).isin(*ALIASES) & _legit_requirement(name).isNotNull(), text
+            ),
+        )
 
     return let(strip(line), on)
 
 
-def _match_denied_import(rule: RuleSpec, line: Column, marker: str) -> Column:
+def _denied_requirement_message(rule: RuleSpec, snippet: Column) -> Column:
+    name = _required_name(rule, snippet)
+    return F.format_string(TYPO_LINE_MESSAGE, name, _legit_requirement(name))
+
+
+def _imported_name(text: Column) -> Column:
+    return F.regexp_extract(text, java_regex(IMPORT_REGEX, True), 1)
+
+
+def _match_denied_import(rule: RuleSpec, line: Column) -> Column:
     """An import of a denylisted name. Names come from one literal alternation."""
 
     def on(text: Column) -> Column:
-        name = F.regexp_extract(text, java_regex(IMPORT_REGEX, True), 1)
-        known = _denylist_map(False)
-        legit = F.coalesce(
-            F.try_element_at(known, F.lower(name)),
-            F.try_element_at(known, F.replace(F.lower(name), F.lit("_"), F.lit("-"))),
-        )
-        message = F.coalesce(
-            F.when(legit.isNotNull(), F.format_string(TYPO_IMPORT_MESSAGE, name, legit)),
-            F.format_string(TYPO_IMPORT_PLAIN_MESSAGE, name),
-        )
-        return F.when((name != "") & ~F.lower(name).isin(*ALIASES), _line_hit(text, message))
+        name = _imported_name(text)
+        return F.when((name != "") & ~F.lower(name).isin(*ALIASES), text)
 
     return F.when(line.rlike(IMPORT_LINE), let(strip(line), on))
 
 
+def _denied_import_message(rule: RuleSpec, snippet: Column) -> Column:
+    name, known = _imported_name(snippet), _denylist_map(False)
+    legit = F.coalesce(
+        F.try_element_at(known, F.lower(name)),
+        F.try_element_at(known, F.replace(F.lower(name), F.lit("_"), F.lit("-"))),
+    )
+    return F.coalesce(
+        F.when(legit.isNotNull(), F.format_string(TYPO_IMPORT_MESSAGE, name, legit)),
+        F.format_string(TYPO_IMPORT_PLAIN_MESSAGE, name),
+    )
+
+
 # ---- file matchers: (content, lines) -> array of hits -----------------------------------
 
 
@@ -263,10 +285,11 @@ def _detectors(rules: tuple[RuleSpec, ...]) -> list[_Detector]:
     for number, rule in enumerate(rules):
         key = paths.gate_key(rule)
         if rule.kind == "denylist":
-            found.append(_Detector(number, rule, "line", ("denylist_requirements", ()), (), _match_denied_requirement))
-            found.append(
-                _Detector(number, rule, "line", ("denylist_imports", ()), ("import", "from"), _match_denied_import)
-            )
+            requirements, imports = ("denylist_requirements", ()), ("denylist_imports", ())
+            found += [
+                _Detector(number, rule, "line", requirements, (), _match_denied_requirement, _denied_requirement_message),
+                _Detector(number, rule, "line", imports, ("import", "from"), _match_denied_import, _denied_import_message),
+            ]
         elif rule.kind in _LINE_KINDS:
             found.append(_Detector(number, rule, "line", key, rule.guards, _LINE_KINDS[rule.kind]))
         else:
@@ -317,11 +340,12 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
                 "also": list(d.rule.also),
                 "fold": d.rule.ignore_case,
                 "by_line": d.scope == "line",
+                "marked": d.rule.honours_marker,
             }
             for number, d in enumerate(detectors)
         ],
         "array<struct<id:int,rule:int,gate:bigint,needs:bigint,guard_ids:array<int>,guards:array<string>,"
-        "also:array<string>,fold:boolean,by_line:boolean>>",
+        "also:array<string>,fold:boolean,by_line:boolean,marked:boolean>>",
     )
 
     def flags(tests: list[tuple[Column, int]]) -> Column:
@@ -375,16 +399,13 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
             ),
         )
 
-    def line_hits(line: Column, index: Column, able: Column) -> Column:
-        def dispatch(d: Column) -> Column:
-            case = F.lit(None).cast(_LINE_HIT)
-            branches = None
-            for number, detector in enumerate(detectors):
-                if detector.scope == "line":
-                    test, value = d["id"] == number, detector.build(detector.rule, line, marker)
-                    branches = F.when(test, value) if branches is None else branches.when(test, value)
-            return case if branches is None else branches.otherwise(case)
+    def dispatch(d: Column, values: dict[int, Column]) -> Column:
+        branches = None
+        for number, value in values.items():
+            branches = F.when(d["id"] == number, value) if branches is None else branches.when(d["id"] == number, value)
+        return F.lit(None).cast("string") if branches is None else branches
 
+    def line_hits(line: Column, index: Column, able: Column) -> Column:
         def guarded(text: Column) -> Callable[[Column], Column]:
             def holds_one(literals: Column) -> Column:
                 return (F.size(literals) == 0) | F.exists(literals, lambda literal: F.contains(text, literal))
@@ -392,15 +413,18 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
             return lambda d: holds_one(d["guards"]) & holds_one(d["also"])
 
         def report(d: Column) -> Column:
+            snippets = {n: x.build(x.rule, line) for n, x in enumerate(detectors) if x.scope == "line"}
             return let(
-                dispatch(d),
-                lambda hit: F.when(
-                    hit.isNotNull(),
+                dispatch(d, snippets),
+                lambda snippet: F.when(
+                    snippet.isNotNull(),
                     F.struct(
                         d["rule"].alias("rule"),
                         (index + 1).cast("int").alias("line_number"),
-                        hit["snippet"].alias("snippet"),
-                        hit["message"].alias("message"),
+                        snippet.alias("snippet"),
+                        dispatch(
+                            d, {n: x.message(x.rule, snippet) for n, x in enumerate(detectors) if x.message}
+                        ).alias("message"),
                     ),
                 ),
             )
@@ -412,7 +436,8 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
                 F.size(some) > 0, let(fold_case(line), lambda text: F.filter(some, guarded(text)))
             ).otherwise(some),
         )
-        return F.array_compact(F.transform(F.concat(exact, folded), report))
+        unmarked = F.filter(F.concat(exact, folded), lambda d: ~(d["marked"] & line.contains(marker)))
+        return F.array_compact(F.transform(unmarked, report))
 
     def file_hits(text: Column, lines: Column, able: Column) -> Column:
         ids = F.transform(able, lambda d: d["id"])
