@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,16 +116,20 @@ def _legit_requirement(name: Column) -> Column:
     return F.try_element_at(_denylist_map(True), normalize_package(name))
 
 
-def _match_denied_requirement(rule: RuleSpec, line: Column) -> Column:
-    """A requirement line whose normalised name is a normalised denylist key."""
+def _match_denied_requirement(rule: RuleSpec, line: Column, strict_parity: bool = True) -> Column:
+    """A requirement line whose normalised name is a normalised denylist key.
+
+    Normalising makes two real packages equal denylist keys. Without strict parity a name
+    that is itself the legitimate one is not reported.
+    """
 
     def on(text: Column) -> Column:
-        return let(
-            _required_name(rule, text),
-            lambda name: F.when(
-                (name != "") & ~normalize_package(name).isin(*ALIASES) & _legit_requirement(name).isNotNull(), text
-            ),
-        )
+        def report(name: Column) -> Column:
+            legit = _legit_requirement(name)
+            denied = (name != "") & ~normalize_package(name).isin(*ALIASES) & legit.isNotNull()
+            return F.when(denied if strict_parity else denied & (F.lower(name) != F.lower(legit)), text)
+
+        return let(_required_name(rule, text), report)
 
     return let(strip(line), on)
 
@@ -280,14 +284,15 @@ _FILE_KINDS = {
 }
 
 
-def _detectors(rules: tuple[RuleSpec, ...]) -> list[_Detector]:
+def _detectors(rules: tuple[RuleSpec, ...], strict_parity: bool) -> list[_Detector]:
     found = []
     for number, rule in enumerate(rules):
         key = paths.gate_key(rule)
         if rule.kind == "denylist":
+            match = partial(_match_denied_requirement, strict_parity=strict_parity)
             requirements, imports = ("denylist_requirements", ()), ("denylist_imports", ())
             found += [
-                _Detector(number, rule, "line", requirements, (), _match_denied_requirement, _denied_requirement_message),
+                _Detector(number, rule, "line", requirements, (), match, _denied_requirement_message),
                 _Detector(number, rule, "line", imports, ("import", "from"), _match_denied_import, _denied_import_message),
             ]
         elif rule.kind in _LINE_KINDS:
@@ -300,9 +305,9 @@ def _detectors(rules: tuple[RuleSpec, ...]) -> list[_Detector]:
 # ---- assembly ---------------------------------------------------------------------------
 
 
-def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: str) -> Column:
+def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: str, strict_parity: bool) -> Column:
     """All hits of one file as an array, see :data:`HIT`."""
-    detectors = _detectors(rules)
+    detectors = _detectors(rules, strict_parity)
     gates = list(dict.fromkeys(d.gate for d in detectors))
     symbols = sorted({char for d in detectors for char in d.rule.needs} | set(_SYMBOLS))
     symbol_bit = {char: 1 << (len(gates) + number) for number, char in enumerate(symbols)}
@@ -480,13 +485,16 @@ def _hits(rules: tuple[RuleSpec, ...], path: Column, content: Column, marker: st
 
 
 @lru_cache(maxsize=64)
-def _cached_hits(application: str, rules: tuple[RuleSpec, ...], marker: str) -> tuple[Column, Column]:
+def _cached_hits(
+    application: str, rules: tuple[RuleSpec, ...], marker: str, strict_parity: bool
+) -> tuple[Column, Column]:
     """The hits of a file, and the metadata of a hit's rule from a constant table.
 
     Building the expression takes seconds of driver time, so scans in one application share it.
     """
     table = literal_table(_rule_rows(rules), f"array<struct<{_struct_fields(_RULE_FIELDS)}>>")
-    return _hits(rules, F.col("path"), F.col("content"), marker), F.get(table, F.col("hit.rule"))
+    hits = _hits(rules, F.col("path"), F.col("content"), marker, strict_parity)
+    return hits, F.get(table, F.col("hit.rule"))
 
 
 _RULE_FIELDS = (
@@ -534,18 +542,20 @@ def detect(
     prefixes: Iterable[str] | None = None,
     severities: Iterable[str] | None = None,
     marker: str = IGNORE_MARKER,
+    strict_parity: bool = True,
     keep: Iterable[str] = (),
 ) -> DataFrame:
     """Findings of ``files(scan_id, path, content)``; see :data:`FINDING_COLUMNS`.
 
     ``rule_ids``, ``prefixes`` and ``severities`` prune the rules before the plan is built.
+    ``strict_parity=False`` spares the two real packages that the denylist catches by accident.
     ``keep`` names further columns of ``files`` to carry into the findings.
     """
     chosen = select_rules(rules, rule_ids=rule_ids, prefixes=prefixes, severities=severities)
     if not chosen:
         return detect(files, CATALOG[:1], marker=marker, keep=keep).limit(0)
     keep = list(keep)
-    hits, rule = _cached_hits(files.sparkSession.sparkContext.applicationId, chosen, marker)
+    hits, rule = _cached_hits(files.sparkSession.sparkContext.applicationId, chosen, marker, strict_parity)
     raw = files.select("scan_id", "path", *keep, F.posexplode(hits).alias("pos", "hit"))
     named = raw.withColumn("rule", rule)
     return named.select(

@@ -30,6 +30,7 @@ from ..operators.detect import IGNORE_MARKER, detect
 from ..rules import CATALOG, SEVERITIES, RuleSpec, select_rules
 from ..rules.spec import SEVERITY_RANK
 from ..sources import state, tables
+from ..sources.tree import read_corpus
 from ..streaming import scan as live
 from . import corpus, sql
 from .seeds import SEEDS
@@ -53,6 +54,8 @@ OWN_RULES = (
     TOKEN_RULE,
     RuleSpec("MAIL01", "Address", "LOW", "An address.", "Mask it.", "", patterns=(redact.EMAIL,), guards=("@",), redactor="email"),
     RuleSpec("LIC001", "License line", "INFO", "A license line.", "Check it.", "", patterns=(r"\bLicense\b",), guards=("License",)),
+    RuleSpec("WRD001", "Listed words", "INFO", "A listed phrase.", "Check it.", "", patterns=(r", avec ",), guards=(", avec ",)),
+    RuleSpec("NUM001", "Long number", "LOW", "A long number.", "Check it.", "", patterns=(r"[0-9]{6,}",)),
     RuleSpec("SCR001", "Inline script", "MEDIUM", "A page holds a script.", "Move it out.", "", patterns=(r"<script>[^<]*",),
              guards=("<script>",), extensions=(".html",)),
 )
@@ -125,6 +128,24 @@ def corpus_from_tables(spark, sf_dir):
     )
 
 
+@query(
+    "corpus_read",
+    "SELECT 'lang=' || lang AS folder, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines, "
+    "CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY lang",
+)
+def corpus_read(spark, sf_dir):
+    # The documents written as text files, a folder per language, and read back as a directory.
+    folder = state.new_folder(spark, "tree")
+    docs = corpus.texts(spark, sf_dir, "documents").select("lang", "text")
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 5000).text(folder)
+    files = read_corpus(spark, folder, max_bytes=1 << 30)
+    data = files.filter(F.col("path").endswith(".txt"))
+    lines = F.size(F.split("content", "\n", -1)) - 1
+    return data.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(
+        F.sum(lines).alias("n_lines"), F.sum(F.length("content").cast("long")).alias("n_chars")
+    )
+
+
 # Folder and file endings that put documents at paths of every kind.
 DIRS = ["src", "src/node_modules/a", ".github/flows", "src/.cache", "lib.egg-info", "web/dist", "docs/build/x", "a.b/c"]
 ENDS = [".py", ".PNG", ".tar.gz", "/.env", "", ".Lock", ".svg", ".html", "/.hidden.zip", "/Makefile", ".min.js"]

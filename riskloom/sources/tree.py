@@ -127,7 +127,9 @@ def read_corpus(
     tasks. A single file is read whatever its name and size; a missing path gives no rows.
     Files that are not UTF-8 are left out.
     """
-    root = os.path.abspath(path)
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError("a directory scan needs a mounted folder; read other stores as a table")
+    root = os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
     if os.path.isfile(root):
         listed = spark.createDataFrame([(os.path.basename(root), os.path.getsize(root))], _LISTED)
         root = os.path.dirname(root)

@@ -154,6 +154,8 @@ def test_requirements(scan):
 def test_normalised_names_catch_two_real_packages(scan):
     rows = scan(("requirements.txt", "python-dotenv==1.0\npinecone.client==1"))
     assert ids(rows) == [("DEP105", 1), ("DEP105", 2)]
+    loose = scan(("requirements.txt", "python-dotenv==1.0\npinecone-client==1\ndjago==1"), strict_parity=False)
+    assert ids(loose) == [("DEP105", 3)]
 
 
 def test_imports(scan):
