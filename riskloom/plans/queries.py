@@ -54,7 +54,7 @@ OWN_RULES = (
     TOKEN_RULE,
     RuleSpec("MAIL01", "Address", "LOW", "An address.", "Mask it.", "", patterns=(redact.EMAIL,), guards=("@",), redactor="email"),
     RuleSpec("LIC001", "License line", "INFO", "A license line.", "Check it.", "", patterns=(r"\bLicense\b",), guards=("License",)),
-    RuleSpec("WRD001", "Listed words", "INFO", "A listed phrase.", "Check it.", "", patterns=(r", avec ",), guards=(", avec ",)),
+    RuleSpec("WRD001", "Listed words", "INFO", "A listed phrase.", "Check it.", "", patterns=(r" avec ",), guards=(" avec ",)),
     RuleSpec("NUM001", "Long number", "LOW", "A long number.", "Check it.", "", patterns=(r"[0-9]{6,}",)),
     RuleSpec("SCR001", "Inline script", "MEDIUM", "A page holds a script.", "Move it out.", "", patterns=(r"<script>[^<]*",),
              guards=("<script>",), extensions=(".html",)),
