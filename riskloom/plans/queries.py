@@ -425,7 +425,7 @@ def sort_by_column(spark, sf_dir):
     return fnd.sort_findings(seeded(spark, sf_dir)[2], "file_path", ascending=False).select(*SHORT)
 
 
-@query("enrich_findings", over_findings(f"SELECT {columns(FINDING)}, category FROM findings JOIN (SELECT rule_id, category FROM rules) USING (rule_id)".replace(", category FROM findings", ", c.category FROM findings").replace("USING (rule_id)", "c USING (rule_id)")))
+@query("enrich_findings", over_findings(f"SELECT {columns(FINDING)}, category FROM findings"))
 def enrich_findings(spark, sf_dir):
     return seeded(spark, sf_dir)[2].withColumn("category", F.regexp_extract("rule_id", "^[A-Z]+", 0)).select(*FINDING, "category")
 
@@ -482,9 +482,12 @@ def score_breakdown(spark, sf_dir):
     return sc.score_breakdown(scans, findings)
 
 
-# Scores of all ten families and none, so that every label occurs: a scan per source and family.
-def family_scans(spark, sf_dir, rules=("CFG004", "DEP102", "AI004", "DAT003", "PRI004")):
-    """Scans of few rules over the documents' sources, so scores spread over the whole range."""
+# Few rules, so that scores spread over the whole range and every label occurs.
+FEW = ("CFG004", "DEP102", "AI004", "DAT003", "PRI004")
+
+
+def family_scans(spark, sf_dir, rules=FEW):
+    """A scan per path of the seeded corpus, with few rules."""
     files = corpus.seeded(spark, sf_dir)
     by_file = files.withColumn("scan_id", F.col("path"))
     scans = by_file.groupBy("scan_id").agg(F.count("*").alias("files_scanned"))
@@ -492,7 +495,7 @@ def family_scans(spark, sf_dir, rules=("CFG004", "DEP102", "AI004", "DAT003", "P
 
 
 FAMILY = sql.prelude(
-    select_rules(rule_ids=("CFG004", "DEP102", "AI004", "DAT003", "PRI004")),
+    select_rules(rule_ids=FEW),
     sql.seeded_files().replace("'run' || CAST(doc_id // 100 AS VARCHAR) AS scan_id", "'app/m' || CAST(n AS VARCHAR) || '/' || name AS scan_id"),
 )
 
@@ -653,9 +656,6 @@ def score_trend(spark, sf_dir):
     return trend.withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-FEW = ("CFG004", "DEP102", "AI004", "DAT003", "PRI004")
-
-
 @query("trend_caption", sql.prelude(select_rules(rule_ids=FEW)) + f", {TREND}, "
     "facts AS (SELECT count(*) AS n, min(score) AS lo, max(score) AS hi, arg_min(score, run_no) AS a, arg_max(score, run_no) AS z FROM scored) "
     "SELECT n AS n_scans, lo AS min_score, hi AS max_score, lo = hi AS is_flat, CASE WHEN n <= 1 THEN '' WHEN lo = hi THEN "
@@ -806,8 +806,8 @@ def profile_join(spark, sf_dir):
     )
 
 
-@query("load_profiles", "SELECT 'p' || CAST(doc_id AS VARCHAR) AS name, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 1 END AS min_severity, "
-    "CAST(1 AS INTEGER) AS n_overrides, 2 AS critical_rank_of_low FROM documents".replace("2 AS critical_rank_of_low", "CASE doc_id % 2 WHEN 0 THEN 4 ELSE 0 END AS override_rank"))
+@query("load_profiles", "SELECT 'p' || CAST(doc_id AS VARCHAR) AS name, CASE doc_id % 3 WHEN 0 THEN 3 ELSE 1 END AS min_severity, "
+    "1 AS n_overrides, CASE doc_id % 2 WHEN 0 THEN 4 ELSE 0 END AS override_rank FROM documents")
 def load_profiles(spark, sf_dir):
     # A JSON profile per document; unknown severities fall away or fall back to LOW.
     docs = corpus.table(spark, sf_dir, "documents")
@@ -825,7 +825,7 @@ def load_profiles(spark, sf_dir):
     )
 
 
-@query("gate", FAMILY.replace("'CFG004'", "'CFG004'") + f", {SCANS} SELECT s.scan_id, coalesce(bool_or(f.severity IN (2, 1)), FALSE) AS failed "
+@query("gate", FAMILY + f", {SCANS} SELECT s.scan_id, coalesce(bool_or(f.severity IN (2, 1)), FALSE) AS failed "
     "FROM scans s LEFT JOIN findings f ON f.scan_id = s.scan_id GROUP BY s.scan_id")
 def gate(spark, sf_dir):
     scans, findings = family_scans(spark, sf_dir)
@@ -856,7 +856,7 @@ def requirement_lines(spark, sf_dir) -> DataFrame:
 
 
 @query("denylist_join", sql.prelude(NAMES_RULE) + f", {NAMED} SELECT scan_id, path, line_number, package, package_norm, typo, d.legit "
-    "FROM normed JOIN deny_raw d ON package_norm = d.typo_norm".replace("deny_raw", "(SELECT legit, typo_norm, typo FROM deny)"))
+    "FROM normed JOIN deny d ON package_norm = d.typo_norm")
 def denylist_join(spark, sf_dir):
     return packages.denied(requirement_lines(spark, sf_dir), packages.denylist_table(spark))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from ..functions import paths, redact
+from ..functions import redact
 from ..operators import detect as d
 from ..rules import CATALOG, RuleSpec
 from ..rules.dependencies import ALIASES, DENYLIST
@@ -302,4 +302,4 @@ def severity_case(rank: str) -> str:
     return "CASE " + rank + " " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in enumerate(SEVERITIES)) + " END"
 
 
-__all__ = ["any_of", "document_files", "prelude", "q", "seeded_files", "severity_case", "strip", "paths"]
+__all__ = ["any_of", "document_files", "prelude", "q", "seeded_files", "severity_case", "strip"]
