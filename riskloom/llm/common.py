@@ -55,13 +55,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def frequent(large: DataFrame, on: str, share: int = 1000) -> DataFrame:
+def frequent(large: DataFrame, on: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """Keys that hold more than ``1 / share`` of a stored table, with the parts to cut each into.
 
     There are fewer than ``share`` of them and fewer than ``2 * share`` parts, whatever the size
     of the table, so the result may be broadcast and rows may be repeated for each part.
     """
-    part = max(1.0, large.count() / share)
+    part = max(1.0, (large.count() if total is None else total) / share)
     counts = large.groupBy(F.col(on).alias("_key")).count().filter((F.col("count") > part) & F.col("_key").isNotNull())
     return counts.select("_key", F.ceil(F.col("count") / part).cast("int").alias("_parts"))
 
@@ -79,12 +79,12 @@ def repeated(small: DataFrame, hot: DataFrame, on: str, part: str) -> DataFrame:
     return small.join(F.broadcast(hot), F.col(on) == F.col("_key"), "left").withColumn(part, each).drop("_key", "_parts")
 
 
-def join_uneven(large: DataFrame, small: DataFrame, on: str) -> DataFrame:
+def join_uneven(large: DataFrame, small: DataFrame, on: str, total: int | None = None) -> DataFrame:
     """Inner join of a stored ``large`` with ``small`` (few rows per key) when a key may hold most of ``large``.
 
     Rows with a null key join with nothing.
     """
-    hot = frequent(large, on)
+    hot = frequent(large, on, total=total)
     return dealt(large, hot, on, "_part").join(repeated(small, hot, on, "_part"), [on, "_part"]).drop("_part")
 
 
@@ -126,10 +126,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         both = stored.union(stored.select(F.col("b"), F.col("a")))
         least = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
         least = least.select("b", F.least("b", "low").alias("low"))
-        large = materialize(_ordered(join_uneven(stored, least, "b").select(F.col("a"), F.col("low").alias("b"))), "links")
+        large = materialize(_ordered(join_uneven(stored, least, "b", sign[0]).select(F.col("a"), F.col("low").alias("b"))), "links")
         # small star: a node and its smaller neighbours link to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = join_uneven(large, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b")))).alias("e"))
+        small = join_uneven(large, low, "a", sign[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b")))).alias("e"))
         fresh = materialize(_ordered(small.select("e.a", "e.b")), "links")
         release(stored, large)
         stored = fresh

@@ -82,8 +82,8 @@ def _signer(shingle: int, bands: int, rows: int):
             low = minima(full)
             whole = low.reshape(len(full), bands, rows)
             packed = (low & np.uint32(2**BITS - 1)).astype(np.uint8)
-            packed = np.pad(packed, ((0, 0), (0, -n % (8 // BITS)))).reshape(len(full), -1, 8 // BITS)
-            packed = np.bitwise_or.reduce(packed << places, axis=2).astype(np.uint8) if len(full) else packed
+            packed = np.pad(packed, ((0, 0), (0, -n % (8 // BITS)))).reshape(len(full), -(-n * BITS // 8), 8 // BITS)
+            packed = np.bitwise_or.reduce(packed << places, axis=2).astype(np.uint8)
             keys, band_keys, signatures, k = [], [], [], 0
             for s in sets:
                 if not len(s):
@@ -249,6 +249,8 @@ def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int)
             # Buckets of one group are settled; the largest group of any other is its main one.
             main = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("main"))
             main = materialize(main.filter("groups > 1").drop("groups"), "main")
+            if main.isEmpty():
+                break
             active = materialize(join_uneven(active, main, "bucket"), "active")
             if turn < PIVOT_ROUNDS:
                 # The set of most reach outside the main group meets all members.
@@ -268,6 +270,8 @@ def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int)
             either = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(either, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        if turn and pairs.isEmpty():
+            continue
         fresh = settle(pairs)
         links = materialize(fresh if links is None else links.union(fresh), "similar")
         tested = pairs if tested is None else tested.union(pairs)

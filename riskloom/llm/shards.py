@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize, number_rows, release
 
 ROW_BYTES = 8  # added to the UTF-8 length of each text
-PART_SHARE = 50  # a group of more than 1/50 of a shard is cut into parts
+PART_SHARE = 20  # a group of more than 1/20 of a shard is cut into parts
 BINS = 2048
 _LOW, _HIGH = 0, (1 << 62) - 1
 
@@ -38,7 +38,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = (
 
     ``size`` is the text's UTF-8 length plus 8, a null text counting as empty. Equal texts form one
     point with the metadata of their least row and go to one shard together, unless they hold more
-    than 1/50 of a shard: then they are dealt by row into parts below that. Dimensions that
+    than 1/20 of a shard: then they are dealt by row into parts below that. Dimensions that
     ``docs`` lacks are left out; nulls in them sort first. Rows may repeat and ids may be null.
     ``slot`` numbers the rows of a shard from 0 without gaps. No rows give no rows.
     """
@@ -64,7 +64,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = (
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.min(place).alias("at"), F.max("size").alias("most"))
     parts = F.least(F.ceil(F.col("bytes") / limit), F.floor(F.col("bytes") / F.col("most"))).cast("int")
     groups = groups.select("group", "bytes", *[F.col(f"at.{d}").alias(d) for d in names], F.greatest(F.lit(1), parts).alias("parts"))
-    large = groups.filter("parts > 1").select("group", "parts")  # at most shards * 50 groups, so broadcast
+    large = groups.filter("parts > 1").select("group", "parts")  # at most shards * 20 groups, so broadcast
     rows = rows.join(F.broadcast(large), "group", "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")
     ).drop("parts")
@@ -183,5 +183,5 @@ def _descend(points: DataFrame, made: dict) -> DataFrame:
 
 
 def _join_points(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Rows with the shard of their point. A point weighs 1/50 of a shard at most, so keys stay even."""
+    """Rows with the shard of their point. A point weighs 1/20 of a shard at most, so keys stay even."""
     return rows.join(placed, ["group", "part"])

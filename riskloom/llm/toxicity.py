@@ -8,6 +8,7 @@ as uncertain as they will meet.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,8 @@ from .common import texts
 from .quality_model import labelled_sample
 
 TRAIN_ROWS = 8_000  # labelled documents, at most, that the driver fits on
-VOCABULARY = 2_000  # words, at most, that the models read
+VOCABULARY = 300  # words and word starts, at most, that the models read
+START = 5  # bytes of a word start
 FOLDS = 5
 # Weak categories before the label itself: a toxic document belongs to one if it holds a seed word.
 SEEDS = {
@@ -34,8 +36,12 @@ _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65
 
 
 def words_of(text: str | None) -> set[bytes]:
-    """Distinct words: runs of ASCII letters and digits, in lower case, and of everything beyond ASCII."""
-    return set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
+    """Distinct words, runs of ASCII letters and digits in lower case and of everything beyond ASCII,
+
+    and the starts of longer words, marked by a star.
+    """
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
+    return words | {word[:START] + b"*" for word in words if len(word) > START}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -92,20 +98,17 @@ class Chain:
 
 
 def _choose_words(rows: list[set[bytes]], y: np.ndarray, limit: int, least: int = 4) -> list[bytes]:
-    """Words whose presence tells most about the label: by a chi-square score, at most ``limit``."""
-    counts: dict[bytes, list[int]] = {}
-    for words, label in zip(rows, y):
-        for word in words:
-            counts.setdefault(word, [0, 0])[int(label)] += 1
-    pos = y.sum()
-    n = len(y)
+    """Words of labelled documents whose presence tells most about the label, by chi-square; at most ``limit``."""
+    pos, n = y.sum(), len(y)
+    with_label = Counter(word for words, label in zip(rows, y) if label for word in words)
+    with_label = {word: k for word, k in with_label.items() if k >= least}
+    without = Counter(word for words, label in zip(rows, y) if not label for word in words & with_label.keys())
     scored = []
-    for word, (a, b) in counts.items():
-        if a + b < least:
-            continue
-        expected = (a + b) * pos / n
-        score = (b - expected) ** 2 / max(expected * (1 - (a + b) / n), 1e-9)
-        if score > 6:
+    for word, k in with_label.items():
+        total = k + without[word]
+        expected = total * pos / n
+        score = (k - expected) ** 2 / max(expected * (1 - total / n), 1e-9)
+        if score > 6 and k > expected:
             scored.append((-score, word))
     return [w for _, w in sorted(scored)[:limit]]
 
