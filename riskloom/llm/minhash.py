@@ -23,7 +23,7 @@ ROWS = 5  # minima in a band
 MISS = 1e-6  # chance that a pair right at the threshold shares no band
 BITS = 4  # low bits kept of a minimum
 MARGIN = 6.5  # standard errors below the threshold at which an estimate rules a pair out
-PIVOT_ROUNDS = 2
+COUNTERS = 1 << 18  # of shingles, for an order with rare ones first
 
 _SIGNED = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
@@ -148,6 +148,61 @@ def _members(shingle: int):
     return fetch
 
 
+def _across_groups(active: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of different groups that may reach the threshold; none that do are missing.
+
+    In an order of all shingles, rare ones first, similar sets share one within their prefixes, and
+    what follows the first shared one bounds their overlap. So near copies that differ from each
+    other in too much never meet, however many share most of their words. The order comes from
+    counters of bounded number, summed over all sets. Of the sets that meet at a shingle, those
+    outside its largest group meet the others, so a large group forms no pairs within itself.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for members in batch["members"]:
+                total += np.bincount(np.frombuffer(members.as_buffer(), np.uint64) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    counted = active.select("members").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    weight = np.zeros(COUNTERS, np.int64)
+    weight[counted["at"].to_numpy(int)] = counted["n"].to_numpy(int)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places, sizes = [], [], []
+            for members in batch["members"]:
+                tokens_here = np.frombuffer(members.as_buffer(), np.uint64)
+                n = len(tokens_here)
+                length = n - -(-percent * n // 100) + 1
+                order = np.lexsort((tokens_here, weight[tokens_here & np.uint64(COUNTERS - 1)]))[:length]
+                tokens.append(tokens_here[order].view(np.int64))
+                places.append(np.arange(length, dtype=np.int32))
+                sizes.append(np.full(length, n, np.int32))
+            repeat = pa.array(np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens]))
+            flat = [np.concatenate(c) for c in (tokens, places, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2]), batch["set_key"].take(repeat), batch["root"].take(repeat)],
+                names=["token", "place", "size", "set_key", "root"],
+            )
+
+    held = active.mapInArrow(prefixes, "token long, place int, size int, set_key binary, root binary")
+    held = materialize(held, "prefixes")
+    by_root = held.groupBy("token", "root").agg(F.count("*").alias("n"))
+    main = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    met = materialize(join_uneven(held, main.filter("roots > 1").drop("roots"), "token"), "met")
+    release(held)
+    minor = met.filter("root <> main").select(
+        "token", F.col("place").alias("b_place"), F.col("size").alias("b_size"), F.col("set_key").alias("b"), F.col("root").alias("b_root")
+    )
+    left = F.least(F.col("size") - F.col("place"), F.col("b_size") - F.col("b_place"))
+    enough = (100 + percent) * left >= percent * (F.col("size") + F.col("b_size"))
+    other = F.expr("root <> b_root and (root = main or set_key > b)")
+    return join_uneven(met, minor, "token").filter(other & enough).select(F.col("set_key").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity_percent: int = 80, rows: int = ROWS) -> DataFrame:
     """Per document its near-duplicate group: ``doc_id, n_shingles, component_id, kept``.
 
@@ -232,49 +287,23 @@ def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int)
         columns = ["a", "b", "a_signature", "b_signature", "a_members", "b_members"]
         return placed.select(columns).mapInArrow(verify, "a binary, b binary")
 
-    links = tested = None
-    active = members.withColumn("root", F.col("set_key"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn == 0:
-            # One pivot per bucket, the set of most reach, meets all members.
-            top = members.groupBy("bucket").agg(F.max(F.struct("reach", "set_key")).alias("top"))
-            pivots = top.select("bucket", F.col("top.set_key").alias("b"))
-            pairs = join_uneven(members, pivots, "bucket").filter("set_key <> b").select(F.col("set_key").alias("a"), "b")
-        else:
-            roots = reach.select("set_key").join(groups, F.col("set_key") == F.col("node"), "left")
-            roots = roots.select("set_key", F.coalesce("root", "set_key").alias("root"))
-            active = materialize(active.drop("root").join(roots, "set_key"), "active")
-            by_group = active.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(F.struct("reach", "set_key")).alias("top"))
-            by_group = materialize(by_group, "groups")
-            # Buckets of one group are settled; the largest group of any other is its main one.
-            main = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("main"))
-            main = materialize(main.filter("groups > 1").drop("groups"), "main")
-            if main.isEmpty():
-                break
-            active = materialize(join_uneven(active, main, "bucket"), "active")
-            if turn < PIVOT_ROUNDS:
-                # The set of most reach outside the main group meets all members.
-                rest = join_uneven(by_group, main, "bucket").filter("root <> main")
-                pivots = rest.groupBy("bucket").agg(F.max("top").alias("top"))
-                pivots = pivots.select("bucket", F.col("top.set_key").alias("b"))
-                pairs = join_uneven(active, pivots, "bucket").filter("set_key <> b").select(F.col("set_key").alias("a"), "b")
-            else:
-                # Exact for the rest: members outside the main group meet those of all other
-                # groups. Pairs within a group cannot change the result and are not formed.
-                minor = active.filter("root <> main").select("bucket", F.col("set_key").alias("b"), F.col("root").alias("b_root"))
-                pairs = join_uneven(active, minor, "bucket").filter("root <> b_root and (root = main or set_key > b)")
-                pairs = pairs.select(F.col("set_key").alias("a"), "b")
-            active = active.drop("main")
-        pairs = pairs.distinct()
-        if tested is not None:
-            either = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(either, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            continue
-        fresh = settle(pairs)
-        links = materialize(fresh if links is None else links.union(fresh), "similar")
-        tested = pairs if tested is None else tested.union(pairs)
+    # One pivot per bucket, the set of most reach, meets all members.
+    top = members.groupBy("bucket").agg(F.max(F.struct("reach", "set_key")).alias("top"))
+    pivots = top.select("bucket", F.col("top.set_key").alias("b"))
+    pairs = join_uneven(members, pivots, "bucket").filter("set_key <> b").select(F.col("set_key").alias("a"), "b")
+    links = materialize(settle(materialize(pairs.distinct(), "pairs")), "similar")
+    groups = components(links)
+
+    # Buckets of one group are settled; the members of the others are compared across groups.
+    roots = reach.select("set_key").join(groups, F.col("set_key") == F.col("node"), "left")
+    roots = materialize(roots.select("set_key", F.coalesce("root", "set_key").alias("root")), "roots")
+    by_group = members.join(roots, "set_key").groupBy("bucket", "root").agg(F.lit(1).alias("_"))
+    mixed = by_group.groupBy("bucket").agg(F.count("*").alias("groups")).filter("groups > 1").select("bucket")
+    active = join_uneven(members, mixed, "bucket").select("set_key").distinct()
+    active = materialize(active.join(roots, "set_key").join(sets.select("set_key", "members"), "set_key"), "active")
+    if not active.isEmpty():
+        pairs = materialize(_across_groups(active, similarity_percent), "pairs")
+        links = materialize(links.union(settle(pairs)), "similar")
         groups = components(links)
 
     named = signed.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
