@@ -19,7 +19,7 @@ from .common import number_rows, texts
 CONTEXT = 2048
 END = 1
 BUFFER = 256  # texts whose unknown words are encoded together
-CACHE_IDS = 4_000_000  # ids of known words that a task holds
+CACHE_WORDS = 1_000_000  # words that a worker process knows before it forgets them all
 
 
 def pieces(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
@@ -41,7 +41,7 @@ class WordEncoder:
     """Ids of texts from ids of their stretches between ASCII white space, each encoded once.
 
     The tokenizer drops white space and lets no token reach across it, so the ids of a text are
-    those of its stretches, one after another.
+    those of its stretches, one after another. It also ignores case, except in its special tokens.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -50,6 +50,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self._forget()
 
+    @classmethod
+    def shared(cls, tokenizer_json: str) -> WordEncoder:
+        """The encoder of this worker process: tasks that follow each other in it know its words."""
+        import tokenizers
+
+        known = tokenizers.__dict__.setdefault("_riskloom_encoders", {})
+        if tokenizer_json not in known:
+            known.clear()
+            known[tokenizer_json] = cls(tokenizer_json)
+        return known[tokenizer_json]
+
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -57,22 +68,27 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for encoding in zip(words, self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)):
-            word, ids = encoding[0], encoding[1].ids
-            number = len(self.known) + 1
-            if number >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.ends[number] = self.used
-            self.known[word] = number
+        """Encode new words as one text; the place where a token starts tells its word."""
+        new = [w.decode("utf-8") for w in words]
+        starts = np.cumsum([0, *[len(w) + 1 for w in new[:-1]]])
+        encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        places = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
+        sizes = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(new))
+        first, used = len(self.known) + 1, self.used + len(encoding.ids)
+        while first + len(new) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : used] = encoding.ids
+        self.ends[first : first + len(new)] = self.used + np.cumsum(sizes)
+        self.known.update(zip(words, range(first, first + len(new))))
+        self.used = used
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without any added."""
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        if self.used > CACHE_IDS:
+        raw = [(t or "").encode("utf-8") for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        if len(self.known) > CACHE_WORDS:
             self._forget()
         fresh = set().union(*split).difference(self.known)
         if fresh:
@@ -99,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, e
         tokenizer = file.read()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.shared(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, BUFFER):
                 part = batch.slice(low, BUFFER)

@@ -14,7 +14,7 @@ def tokenizer():
 
 
 TEXTS = [
-    None, "", "Hello, world's  best!\n\tTab \x0b\x0c", "<|endoftext|> and <|startoftext|>", "ÉCOLE É é ΑΣ Σ İ",
+    None, "", "Hello, world's  best!\n\tTab \x0b\x0c", "<|endoftext|> and <|startoftext|>", "<|ENDOFTEXT|> <| A B", "x<|endoftext|>y Z", "ÉCOLE É é ΑΣ Σ İ",
     "no break space　wide", "漢字 \U0001f600\U0001f600", "a" * 5000, "1234 567", "\x1c\x1d\x85 x", "it's 'S don't",
 ]
 
@@ -45,7 +45,7 @@ def test_pieces_are_a_binary_decomposition():
 
 
 def test_cache_forgets_and_still_agrees(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_IDS", 20)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
     with open(queries.tokenizer_path(), encoding="utf-8") as file:
         encoder = packing.WordEncoder(file.read())
     for _ in range(3):
