@@ -76,13 +76,15 @@ def repeated_passages(
                 part = batch.slice(low, 512)
                 found = [chunks((t or "").encode("utf-8", "surrogatepass"), cut_bytes, chunk_bytes) for t in part["text"].to_pylist()]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found]))
-                *places, digests = (np.concatenate(c) for c in zip(*found))
+                start, end, first, last, digests = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+                # Start and length share a long: most of the table is these rows, twice shuffled.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests), part["doc_id"].take(rows), part["tag"].take(rows), *[pa.array(p.astype(np.int32)) for p in places]],
-                    names=["digest", "doc_id", "tag", "start", "end", "first_word", "end_word"],
+                    [pa.array(digests), part["doc_id"].take(rows), part["tag"].take(rows),
+                     pa.array(start << 32 | (end - start)), pa.array(first << 32 | (last - first))],
+                    names=["digest", "doc_id", "tag", "bytes", "words"],
                 )
 
-    schema = "digest long, doc_id long, tag short, start int, end int, first_word int, end_word int"
+    schema = "digest long, doc_id long, tag short, bytes long, words long"
     tagged = texts(docs).withColumn("tag", F.xxhash64("text").bitwiseAND(0x7FFF).cast("short"))
     # Chunks are cut twice rather than stored: they weigh more than the texts.
     found = tagged.mapInArrow(cut, schema)
@@ -94,12 +96,19 @@ def repeated_passages(
     hot = firsts.filter(F.col("n") > part).select(F.col("digest").alias("_key"), F.ceil(F.col("n") / part).cast("int").alias("_parts"))
     few = repeated(firsts.drop("n"), hot, "digest", "_part")
     twice = dealt(found, hot, "digest", "_part").join(few, ["digest", "_part"]).drop("_part")
-    twice = twice.dropDuplicates(["doc_id", "tag", "start"])
+    twice = twice.dropDuplicates(["doc_id", "tag", "bytes"])
+
+    def place(column: str, start: str, end: str) -> list:
+        first = F.shiftright(column, 32)
+        return [first.cast("int").alias(start), (first + F.col(column).bitwiseAND(0x7FFFFFFF)).cast("int").alias(end)]
 
     row = ["doc_id", "tag"]
     first_here = F.min("start").over(Window.partitionBy(*row, "digest")) == F.col("start")
     reach = F.max("end").over(Window.partitionBy(*row).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    marked = twice.repartition(*row).withColumn("own", F.col("first_doc_id").eqNullSafe(F.col("doc_id")) & first_here)
+    dealt_out = twice.repartition(*row)
+    marked = dealt_out.select(
+        "digest", *row, "first_doc_id", *place("bytes", "start", "end"), *place("words", "first_word", "end_word")
+    ).withColumn("own", F.col("first_doc_id").eqNullSafe(F.col("doc_id")) & first_here)
     marked = marked.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     marked = marked.withColumn("run", F.sum("opens").over(Window.partitionBy(*row).orderBy("start")))
     passages = marked.groupBy(*row, "run").agg(
