@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..rules import CATALOG
 from ..rules.spec import RuleSpec
-from .text import java_regex, replace_in_matches, strip
+from .text import java_regex, mask_in_line, replace_in_matches, strip
 
 # What is masked and what stands in its place.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -50,7 +50,7 @@ def snippet(rule: RuleSpec, pattern: str, line: Column) -> Column:
     """The snippet of a line that ``pattern`` of ``rule`` hit."""
     kind = rule.redactor
     if kind == "default":
-        return F.regexp_replace(line, java_regex(pattern), "[REDACTED]")
+        return mask_in_line(line, pattern, "[REDACTED]")
     if kind == "stripped":
         return strip(line)
     if kind == "quoted":

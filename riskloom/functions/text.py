@@ -42,6 +42,54 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
 
 
+def open_parts(pattern: str) -> list[str]:
+    """Cut a pattern at each ``.*`` that stands outside groups; one part if it has none or is anchored."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            i += 2
+            continue
+        if char == "[":  # skip a character class
+            i += 2 if pattern[i + 1] in "]^" else 1
+            while pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and not depth:
+            return [pattern]
+        elif not depth and pattern.startswith(".*", i) and pattern[i + 2 : i + 3] not in ("?", "+"):
+            parts.append(pattern[start:i])
+            i += 2
+            start = i
+            continue
+        i += 1
+    return [pattern] if pattern.startswith("^") or not parts else [*parts, pattern[start:]]
+
+
+def one_pass(pattern: str) -> str | None:
+    """A pattern ``A.*B`` as one that finds the same stretch of a line without trying every ``A``.
+
+    If a line matches at all it does from its first ``A``, and up to its last ``B``, after which
+    nothing is left to match. The first group holds what stands before the match.
+    """
+    first, *rest = open_parts(pattern)
+    if not rest:
+        return None
+    return f"^(?>(.*?){first})" + "".join(f"(?>.*?{part})" for part in rest[:-1]) + ".*" + rest[-1]
+
+
+def matches_line(line: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """As :func:`matches` for a single line, in time that grows with the line alone."""
+    return line.rlike(java_regex(one_pass(pattern) or pattern, ignore_case))
+
+
+def mask_in_line(line: Column, pattern: str, mask: str) -> Column:
+    """Replace every match in a single line."""
+    fast = one_pass(pattern)
+    return F.regexp_replace(line, java_regex(fast or pattern), ("$1" if fast else "") + mask)
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(java_regex(pattern, ignore_case))
 

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A secret shorter than this is not looked for; it is also the length of the join key.
-MIN_SECRET_LENGTH = 8
+from ..storage import materialize
+
+# Characters of a secret, from its end, that make the join key; shorter secrets are keys as a whole.
+KEY_LENGTH = 16
+PIECE = 512  # characters of a text whose windows start in one row
 
 
 def leak_audit(findings: DataFrame, secrets: DataFrame) -> DataFrame:
-    """Findings whose snippet, message or fix still shows a known secret.
+    """Findings whose snippet, message or fix still shows a known secret of any length.
 
-    A substring search as an equality join: the last characters of each secret meet every
-    window of that length in the texts, and only those pairs are checked in full.
+    A substring search as an equality join: the last characters of each secret meet the windows of
+    that length in the texts, as ``(text id, window)``. Only hits fetch their text and are checked
+    in full. ``findings`` and the distinct texts are read more than once; the texts are stored here.
     """
-    n = MIN_SECRET_LENGTH
-    keyed = secrets.select("secret").distinct().filter(F.length("secret") >= n).withColumn("_key", F.right("secret", F.lit(n)))
+    keyed = secrets.select("secret").distinct().filter(F.length("secret") > 0)
+    keyed = materialize(keyed.withColumn("_key", F.right("secret", F.least(F.length("secret"), F.lit(KEY_LENGTH)))), "secrets")
     fields = F.explode(
         F.array(
             *[F.struct(F.lit(name).alias("field"), F.col(name).alias("text")) for name in ("snippet", "message", "fix")]
@@ -25,17 +29,24 @@ def leak_audit(findings: DataFrame, secrets: DataFrame) -> DataFrame:
     where = ["scan_id", "rule_id", "file_path", "line_number", "pos"]
     texts = findings.select(*where, fields.alias("f")).select(*where, "f.*")
     # Messages and fixes repeat in every finding of a rule, so each text is searched once.
-    single = texts.select("field", "text").filter(F.length("text") >= n).distinct()
-    windows = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda start: F.substring(F.col("text"), start, F.lit(n)))
-    )
-    leaking = (
-        single.withColumn("_key", F.explode(windows))
-        .join(keyed, "_key")
-        .filter(F.col("text").contains(F.col("secret")))
-        .select("field", "text", "secret")
-        .distinct()
-    )
+    single = texts.select("field", "text").filter(F.length("text") > 0).distinct()
+    single = materialize(single.withColumn("_id", F.monotonically_increasing_id()), "texts")
+    # At most KEY_LENGTH lengths, one set of windows for each.
+    lengths = sorted(r["n"] for r in keyed.select(F.length("_key").alias("n")).distinct().collect())
+
+    # A character of a long string is found by walking to it, so texts are cut to pieces first.
+    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    piece = F.transform(cuts, lambda k: F.substring(F.col("text"), k * PIECE + 1, F.lit(PIECE + KEY_LENGTH - 1)))
+    pieces = single.select("_id", F.explode(piece).alias("piece"))
+
+    def windows(n: int):
+        last = F.least(F.lit(PIECE), F.length("piece") - (n - 1))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("piece"), i, F.lit(n))))
+
+    none = F.array().cast("array<string>")
+    found = F.array_distinct(F.concat(none, *[F.coalesce(windows(n), none) for n in lengths]))
+    pairs = pieces.select("_id", F.explode(found).alias("_key")).join(keyed, "_key").select("_id", "secret").distinct()
+    leaking = single.join(pairs, "_id").filter(F.col("text").contains(F.col("secret"))).select("field", "text", "secret")
     return texts.join(leaking, ["field", "text"]).select(*where, "field", "secret")
 
 

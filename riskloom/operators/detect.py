@@ -33,6 +33,7 @@ from ..functions.text import (
     let,
     literal_table,
     matches,
+    matches_line,
     normalize_newlines,
     split_lines,
     strip,
@@ -86,7 +87,7 @@ def _match_lines(rule: RuleSpec, line: Column) -> Column:
     """The first pattern that hits decides the snippet."""
     snippet = None
     for pattern in rule.patterns:
-        test, value = matches(line, pattern, rule.ignore_case), redact.snippet(rule, pattern, line)
+        test, value = matches_line(line, pattern, rule.ignore_case), redact.snippet(rule, pattern, line)
         snippet = F.when(test, value) if snippet is None else snippet.when(test, value)
     return F.when(~contains_any(line, rule.vetoes), snippet) if rule.vetoes else snippet
 
@@ -217,39 +218,77 @@ def _count_newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda total, value: total + value)
+
+
+def _sums_before(values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """Call ``body`` with a function of the sum of the first ``i`` values.
+
+    Sums of blocks of about the square root of the length come first, so a sum adds up two short
+    stretches and no array is built by appending.
+    """
+    width = F.ceil(F.sqrt(F.size(values) + 1)).cast("int")
+
+    def over(size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), size - 1), lambda j: _total(F.slice(values, j * size + 1, size)))
+
+        def with_blocks(sums: Column) -> Column:
+            starts = F.transform(F.sequence(F.lit(0), size - 1), lambda j: _total(F.slice(sums, F.lit(1), j)))
+
+            def with_starts(done: Column) -> Column:
+                def before(i: Column) -> Column:
+                    block = F.floor(i / size).cast("int")
+                    return F.get(done, block) + _total(F.slice(values, block * size + 1, i - block * size))
+
+                return body(before)
+
+            return let(starts, with_starts)
+
+        return let(blocks, with_blocks)
+
+    return let(width, over)
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their offsets, as array<struct<hit, start>>.
+    """Matches of a pattern as array<struct<hit, line, before, after>>.
 
-    A match starts after all gaps up to its own and all earlier matches.
+    ``line`` counts the newlines in front, ``before`` holds the last 3 characters in front and
+    ``after`` the next 20. All come from the pieces between matches, so no piece is read often.
     """
     regex = java_regex(pattern)
     gaps = F.split(text, regex, -1)
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
-    def with_offsets(pieces: Column) -> Column:
-        # pieces is struct<gaps, hits>; one running pass carries the offset along.
-        start = F.struct(
-            F.lit(0).alias("end"),
-            F.array().cast("array<struct<hit:string,start:int>>").alias("out"),
+    def locate(pieces: Column) -> Column:
+        # pieces is struct<gaps, hits>: a gap in front of each hit and one at the end.
+        feeds = F.zip_with(
+            F.slice(pieces["gaps"], F.lit(1), F.size(pieces["hits"])),
+            pieces["hits"],
+            lambda gap, hit: _count_newlines(gap) + _count_newlines(hit),
         )
 
-        def step(state: Column, pair: Column) -> Column:
-            begin = state["end"] + F.length(pair["gap"])
+        def found(sums: Callable[[Column], Column], hit: Column, i: Column) -> Column:
+            gap = F.get(pieces["gaps"], i)
+            last = F.coalesce(F.get(pieces["hits"], i - 1), F.lit(""))
+            # A hit has 3 characters or more, so 7 further pieces fill 20.
+            following = F.zip_with(
+                F.slice(pieces["gaps"], i + 2, F.lit(8)),
+                F.slice(pieces["hits"], i + 2, F.lit(8)),
+                lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))),
+            )
             return F.struct(
-                (begin + F.length(pair["hit"])).alias("end"),
-                F.concat(
-                    state["out"], F.array(F.struct(pair["hit"].alias("hit"), begin.alias("start")))
-                ).alias("out"),
+                hit.alias("hit"),
+                (sums(i) + _count_newlines(gap)).alias("line"),
+                F.right(F.concat(F.right(last, F.lit(3)), gap), F.lit(3)).alias("before"),
+                F.left(F.array_join(F.transform(following, lambda piece: F.left(piece, F.lit(20))), ""), F.lit(20)).alias("after"),
             )
 
-        pairs = F.zip_with(
-            F.slice(pieces["gaps"], F.lit(1), F.size(pieces["hits"])),
-            pieces["hits"],
-            lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
+        return let(
+            feeds, lambda counts: _sums_before(counts, lambda sums: F.transform(pieces["hits"], lambda hit, i: found(sums, hit, i)))
         )
-        return F.aggregate(pairs, start, step, lambda state: state["out"])
 
-    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), with_offsets)
+    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), locate)
 
 
 def _block_items(number: int, rule: RuleSpec, content: Column, lines: Column) -> Column:
@@ -257,16 +296,11 @@ def _block_items(number: int, rule: RuleSpec, content: Column, lines: Column) ->
     block_regex, name_regex = rule.patterns
 
     def in_block(block: Column) -> Column:
-        block_line = _count_newlines(F.substring(content, F.lit(1), block["start"])) + 1
-
         def item(found: Column) -> Column:
-            text, start = block["hit"], found["start"]
-            before = F.substring(text, F.greatest(start - 2, F.lit(1)), F.least(start, F.lit(3)))
-            after = F.substring(text, start + F.length(found["hit"]) + 1, F.lit(20))
-            bounded = F.concat(before, F.substring_index(after, "\n", 1)).rlike("[><=!~]")
+            bounded = F.concat(found["before"], F.substring_index(found["after"], "\n", 1)).rlike("[><=!~]")
             name = F.regexp_extract(found["hit"], java_regex(name_regex), 1)
-            line = block_line + _count_newlines(F.substring(text, F.lit(1), start))
             message = F.format_string(UNBOUNDED_MESSAGE, name)
+            line = block["line"] + found["line"] + 1
             return F.when(~bounded, _file_hit(number, line, strip(found["hit"]), message))
 
         return F.array_compact(F.transform(_located(block["hit"], name_regex), item))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
 from .joins import join_per_scan
 from .score import label_column
 from .sequence import with_neighbours
@@ -49,10 +50,11 @@ def _neighbours(scans: DataFrame, project: str) -> DataFrame:
 def diff_consecutive(scans: DataFrame, findings: DataFrame, project: str = "project") -> DataFrame:
     """Every scan against its predecessor: ``(scan_id, previous_scan, fingerprint, status)``.
 
-    A fingerprint counts once for its own scan and once, as the past, for the next one.
+    A fingerprint counts once for its own scan and once, as the past, for the next one. Each input
+    is read once: what is used again is stored.
     """
     near = _neighbours(scans, project)
-    held = join_per_scan(distinct_fingerprints(findings), near, ("fingerprint",))
+    held = join_per_scan(materialize(distinct_fingerprints(findings), "fingerprints"), near)
     now, before = F.lit(True).alias("_now"), F.lit(True).alias("_before")
     own = F.struct("scan_id", "previous_scan", now, F.lit(False).alias("_before"))
     past = F.struct(
@@ -81,7 +83,7 @@ def latest_scans(scans: DataFrame, n: int = 1, project: str = "project") -> Data
 
 
 def score_trend(scored: DataFrame, project: str = "project") -> DataFrame:
-    """Scores with the change from the scan before. ``scored`` should be a stored table."""
+    """Scores with the change from the scan before."""
     facts = scored.select(project, "scan_id", "saved_at", "score")
     return with_neighbours(facts, project, ["saved_at", "scan_id"], ["score"]).select(
         project,

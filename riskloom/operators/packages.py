@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.identity import normalize_package
 from ..functions.text import java_regex, strip
 from ..rules.dependencies import ALIASES, DENYLIST
-from .joins import broadcast_if_small
 
 NAME = r"^([A-Za-z][A-Za-z0-9_\-\.]*)\s*(?:[=<>!~]|$)"
 
@@ -22,6 +22,11 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name,) for name in ALIASES], "alias string")
 
 
+def requirement_files(files: DataFrame) -> DataFrame:
+    """Files whose lines may name a requirement; by path, before any line is cut."""
+    return files.filter(paths.gate(("denylist_requirements", ()), F.col("path")))
+
+
 def requirement_names(lines: DataFrame) -> DataFrame:
     """Named requirements among lines of ``(scan_id, path, line_number, line)``."""
     text = strip(F.col("line"))
@@ -31,9 +36,9 @@ def requirement_names(lines: DataFrame) -> DataFrame:
 
 
 def skip_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    return names.join(broadcast_if_small(aliases), names["package_norm"] == aliases["alias"], "left_anti")
+    return names.join(aliases, names["package_norm"] == aliases["alias"], "left_anti")
 
 
 def denied(names: DataFrame, denylist: DataFrame) -> DataFrame:
-    """Names on the list. A short list is broadcast, a long one joins by shuffle."""
-    return names.join(broadcast_if_small(denylist), names["package_norm"] == denylist["typo_norm"]).drop("typo_norm")
+    """Names on the list."""
+    return names.join(denylist, names["package_norm"] == denylist["typo_norm"]).drop("typo_norm")

@@ -17,6 +17,7 @@ from ..functions.identity import severity_name, to_uri
 from ..rules import CATALOG, RuleSpec
 from .detect import rule_table
 from .findings import order_key, sarif_level, security_severity, with_links
+from ..storage import materialize
 from .joins import join_per_scan
 from .score import breakdown_map, rules_fired, score, summary_struct
 
@@ -58,13 +59,12 @@ def embed_json(findings: DataFrame) -> DataFrame:
 
 
 def _body(findings: DataFrame, text: Column) -> DataFrame:
-    """Finding fragments with a comma in front of all but the first of a scan."""
-    first = findings.groupBy("scan_id").agg(F.min(order_key()).alias("_first"))
-    comma = F.when(order_key() == F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    joined = join_per_scan(findings, first, ("fingerprint", "line_number", "pos"))
-    return joined.select(
-        "scan_id", F.lit(BODY).alias("part"), order_key().alias("order"), F.concat(comma, text).alias("fragment")
-    )
+    """Finding fragments with a comma in front of all but the first of a scan. They are stored once."""
+    rows = materialize(findings.select("scan_id", order_key().alias("order"), text.alias("fragment")), "fragments")
+    first = rows.groupBy("scan_id").agg(F.min("order").alias("_first"))
+    comma = F.when(F.col("order") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    joined = join_per_scan(rows, first)
+    return joined.select("scan_id", F.lit(BODY).alias("part"), "order", F.concat(comma, "fragment").alias("fragment"))
 
 
 def _edge(scans: DataFrame, part: int, fragment: Column, like: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The row before and after each row of a long sequence."""
+"""The row before and after each row of a sequence of any length."""
 
 from __future__ import annotations
 
@@ -6,41 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import broadcast_if_small, is_small
+from ..storage import materialize
 
-# Rows of all sequences that one plain window may sort.
-WINDOW_ROWS = 200_000
 
-
-def with_neighbours(rows: DataFrame, key: str, order: list[str], fields: list[str], max_rows: int = WINDOW_ROWS) -> DataFrame:
+def with_neighbours(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """Add ``before`` and ``after``, structs of ``fields`` of the next rows in ``order`` per ``key``.
 
-    A short table takes one window per key. In a long one a key may hold most rows, so its
-    rows are cut into ranges of the first order column by approximate quantiles. Windows run
-    inside the ranges, and the edges of ranges, a small table, are joined back at the seams.
-    ``rows`` is read more than once and should be a stored table.
+    A key may hold most rows, so the rows are cut into ranges of ``(key, *order)`` and stored once.
+    Windows run inside the ranges, and the edges of the ranges, two rows each, are joined back at
+    the seams. A null key is a sequence like any other.
     """
-    value = F.struct(*fields)
-    if is_small(rows, max_rows):
-        window = Window.partitionBy(key).orderBy(*order)
-        return rows.withColumns({"before": F.lag(value).over(window), "after": F.lead(value).over(window)})
-    return _by_ranges(rows, key, order, value)
-
-
-def _by_ranges(rows: DataFrame, key: str, order: list[str], value, ranges: int = 256) -> DataFrame:
-    at = F.struct(*order)
-    place = F.unix_micros(order[0])
-    cuts = rows.groupBy(key).agg(
-        F.percentile_approx(place, [n / ranges for n in range(1, ranges)], 10_000).alias("_cuts")
-    )
-    cut = rows.join(broadcast_if_small(cuts), key).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda edge: edge < place))
-    )
-    edges = cut.groupBy(key, "_range").agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
-    seams = Window.partitionBy(key).orderBy("_range")
-    edges = edges.select(key, "_range", F.lag("last").over(seams).alias("_left"), F.lead("first").over(seams).alias("_right"))
-    inner = Window.partitionBy(key, "_range").orderBy(*order)
+    cut = rows.repartitionByRange(key, *order).withColumns({"_key": F.struct(key), "_range": F.spark_partition_id()})
+    cut = materialize(cut, "ranges")
+    value, at = F.struct(*fields), F.struct(*order)
+    seams = Window.partitionBy("_key").orderBy("_range")
+    edges = cut.groupBy("_key", "_range").agg(F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
+    edges = edges.select("_key", "_range", F.lag("_last").over(seams).alias("_left"), F.lead("_first").over(seams).alias("_right"))
+    inner = Window.partitionBy("_key", "_range").orderBy(*order)
     near = cut.withColumns({"before": F.lag(value).over(inner), "after": F.lead(value).over(inner)})
-    return near.join(edges, [key, "_range"]).select(
+    return near.join(edges, ["_key", "_range"]).select(
         *rows.columns, F.coalesce("before", "_left").alias("before"), F.coalesce("after", "_right").alias("after")
     )

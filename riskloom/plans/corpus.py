@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_table
-from ..sources.tables import as_corpus, spread
+from ..sources.tables import as_corpus
 from .seeds import NEAR_MISS_EVERY, SEEDS
 
 PROJECT = "corpus"
@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, spread over the cores if it is small."""
-    return spread(table(spark, sf_dir, name), *TEXT_KEYS[name])
+    """A table of texts as it is stored.
+
+    A file of one row group is one task. Only where the session says so by
+    ``spark.riskloom.inputPartitions``, as a local one does for its few small files, are the rows
+    dealt out first.
+    """
+    rows = table(spark, sf_dir, name)
+    parts = spark.conf.get("spark.riskloom.inputPartitions", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,11 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     miss in some runs, so findings appear, stay and go. The seed is looked up in a literal
     array, so the corpus is one narrow projection of the documents.
     """
-    docs = texts(spark, sf_dir, "documents")
+    return with_seeds(texts(spark, sf_dir, "documents"))
+
+
+def with_seeds(docs: DataFrame, *keep: Column) -> DataFrame:
+    """The seeded corpus of a table or stream of documents."""
     seeds = literal_table(
         [{"name": s.name, "positive": s.positive, "negative": s.negative} for s in SEEDS],
         "array<struct<name:string,positive:string,negative:string>>",
@@ -67,7 +75,7 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
         scan_id=F.concat(F.lit("run"), k.cast("string")),
         path=F.concat(F.lit("app/m"), n.cast("string"), F.lit("/"), seed["name"]),
         content=F.concat(F.col("text"), F.lit("\n"), F.when(missing, seed["negative"]).otherwise(seed["positive"])),
-        keep=["doc_id", k.alias("run_no")],
+        keep=["doc_id", k.alias("run_no"), *keep],
     )
 
 

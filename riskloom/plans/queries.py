@@ -27,7 +27,7 @@ from ..operators import findings as fnd
 from ..operators import score as sc
 from ..operators.custom import detect_with
 from ..operators.detect import IGNORE_MARKER, detect
-from ..rules import CATALOG, SEVERITIES, RuleSpec, select_rules
+from ..rules import CATALOG, SEVERITIES, RuleSpec, quick_rules, select_rules
 from ..rules.spec import SEVERITY_RANK
 from ..sources import state, tables
 from ..sources.tree import read_corpus
@@ -138,7 +138,7 @@ def corpus_read(spark, sf_dir):
     folder = state.new_folder(spark, "tree")
     docs = corpus.texts(spark, sf_dir, "documents").select("lang", "text")
     docs.write.partitionBy("lang").option("maxRecordsPerFile", 5000).text(folder)
-    files = read_corpus(spark, folder, max_bytes=1 << 30)
+    files = read_corpus(spark, folder, max_bytes=None)
     data = files.filter(F.col("path").endswith(".txt"))
     lines = F.size(F.split("content", "\n", -1)) - 1
     return data.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(
@@ -296,7 +296,8 @@ def by_ids(*rule_ids: str) -> dict:
 
 scan_query("scan_all", CATALOG, FINDING)
 scan_query("filter_rules_by_id", names=SHORT, **by_ids("CRY007", "SEC001", "GIT002"))
-scan_query("filter_rules_by_prefix", select_rules(prefixes=["SEC", "GIT"]), prefixes=["SEC", "GIT"])
+scan_query("filter_rules_by_prefix", select_rules(prefixes=["DEP", "GIT"]), prefixes=["DEP", "GIT"])
+scan_query("quick_scan", quick_rules(), rule_ids=[r.rule_id for r in quick_rules()])
 scan_query("filter_rules_by_severity", select_rules(severities=["LOW", "MEDIUM"]), severities=["LOW", "MEDIUM"])
 
 PLAIN = tuple(r.rule_id for r in CATALOG if r.kind == "lines" and not r.ignore_case and not r.vetoes and not r.gate)
@@ -482,20 +483,16 @@ def score_breakdown(spark, sf_dir):
     return sc.score_breakdown(scans, findings)
 
 
-# Few rules, so that scores spread over the whole range and every label occurs.
-FEW = ("CFG004", "DEP102", "AI004", "DAT003", "PRI004")
-
-
-def family_scans(spark, sf_dir, rules=FEW):
-    """A scan per path of the seeded corpus, with few rules."""
+def family_scans(spark, sf_dir):
+    """A scan per path of the seeded corpus: scores spread over the whole range and every label occurs."""
     files = corpus.seeded(spark, sf_dir)
     by_file = files.withColumn("scan_id", F.col("path"))
     scans = by_file.groupBy("scan_id").agg(F.count("*").alias("files_scanned"))
-    return scans, detect(by_file, rule_ids=rules)
+    return scans, detect(by_file)
 
 
 FAMILY = sql.prelude(
-    select_rules(rule_ids=FEW),
+    CATALOG,
     sql.seeded_files().replace("'run' || CAST(doc_id // 100 AS VARCHAR) AS scan_id", "'app/m' || CAST(n AS VARCHAR) || '/' || name AS scan_id"),
 )
 
@@ -534,16 +531,15 @@ def findings_by_severity(spark, sf_dir):
 
 
 FIRST = (
-    "QUALIFY row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY severity DESC, file_path, line_number, rule_ordinal) = 1"
+    "QUALIFY row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY severity DESC, file_path, line_number, rule_ordinal, pos) = 1"
 )
 
 
 @query("rules_fired", over_findings(
-    f"SELECT scan_id, rule_id, file_path, line_number, fingerprint FROM findings WHERE rule_id <> 'DEP104' {FIRST}"
+    f"SELECT scan_id, rule_id, file_path, line_number, fingerprint FROM findings {FIRST}"
 ))
 def rules_fired(spark, sf_dir):
-    fired = sc.rules_fired(seeded(spark, sf_dir)[2]).filter(F.col("rule_id") != "DEP104")
-    return fired.select("scan_id", "rule_id", "file_path", "line_number", "fingerprint")
+    return sc.rules_fired(seeded(spark, sf_dir)[2]).select("scan_id", "rule_id", "file_path", "line_number", "fingerprint")
 
 
 @query("distinct_fingerprints", over_findings("SELECT DISTINCT scan_id, fingerprint FROM findings"))
@@ -656,14 +652,14 @@ def score_trend(spark, sf_dir):
     return trend.withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("trend_caption", sql.prelude(select_rules(rule_ids=FEW)) + f", {TREND}, "
+@query("trend_caption", sql.prelude(CATALOG) + f", {TREND}, "
     "facts AS (SELECT count(*) AS n, min(score) AS lo, max(score) AS hi, arg_min(score, run_no) AS a, arg_max(score, run_no) AS z FROM scored) "
     "SELECT n AS n_scans, lo AS min_score, hi AS max_score, lo = hi AS is_flat, CASE WHEN n <= 1 THEN '' WHEN lo = hi THEN "
     "'→ Score stable at ' || CAST(lo AS VARCHAR) || '/100 across ' || CAST(n AS VARCHAR) || ' scans.' ELSE "
     "CASE WHEN z > a THEN '↑' WHEN z < a THEN '↓' ELSE '→' END || ' Based on ' || CAST(n AS VARCHAR) || ' scans. Score range: ' "
     "|| CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR) END AS caption FROM facts")
 def trend_caption(spark, sf_dir):
-    _, scans, findings = seeded(spark, sf_dir, rule_ids=FEW)
+    _, scans, findings = seeded(spark, sf_dir)
     caption = history.trend_caption(sc.score(scans, findings))
     return caption.select("n_scans", "min_score", "max_score", "is_flat", "caption")
 
@@ -672,11 +668,11 @@ def trend_caption(spark, sf_dir):
     "SELECT f.scan_id, count(*) AS n_findings, count(DISTINCT fingerprint) AS n_fingerprints FROM findings f JOIN "
     "(SELECT scan_id FROM scans ORDER BY saved_at DESC LIMIT 3) USING (scan_id) GROUP BY ALL", more=SCANS))
 def load_history(spark, sf_dir):
-    # Saved twice, as two appends, then read back.
+    # Saved as two appends, the second of which holds the first ones again, then read back.
     folder = state.new_folder(spark, "history")
     _, scans, findings = kept(spark, sf_dir)
     early = F.col("saved_at") < F.to_timestamp(F.lit("2024-01-01 05:00:00"))
-    for part in (scans.filter(early), scans.filter(~early)):
+    for part in (scans.filter(early), scans):
         state.save_scans(part, findings.join(part.select("scan_id"), "scan_id", "left_semi"), folder)
     _, loaded = state.load_history(spark, folder, newest=3)
     return loaded.groupBy("scan_id").agg(
@@ -684,6 +680,25 @@ def load_history(spark, sf_dir):
     )
 
 
+@query("load_scan_documents", over_findings(
+    "SELECT s.scan_id, score, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at, count(DISTINCT fingerprint) AS n_fingerprints "
+    "FROM scored s LEFT JOIN findings f ON f.scan_id = s.scan_id GROUP BY ALL", more=TREND))
+def load_scan_documents(spark, sf_dir):
+    # A saved document per scan; every second one has no list of fingerprints of its own.
+    _, scans, findings = kept(spark, sf_dir)
+    prints = findings.groupBy("scan_id").agg(F.collect_list(F.struct("rule_id", "fingerprint")).alias("findings"))
+    scored = sc.score(scans, findings).join(prints, "scan_id", "left")
+    noted = F.when(F.substring("scan_id", -1, 1).isin(*"02468"), F.col("findings.fingerprint"))
+    meta = F.struct(F.date_format("saved_at", "yyyy-MM-dd_HHmmss_SSSSSS").alias("saved_at"), noted.alias("fingerprints"))
+    value = F.struct(F.col("score").alias("value")).alias("score")
+    text = F.to_json(F.struct("target", "profile", "files_scanned", value, "findings", meta.alias("_meta")))
+    loaded, held = state.parse_scan_documents(scored.select("scan_id", text.alias("value")))
+    counts = held.groupBy("scan_id").agg(F.count("*").alias("n_fingerprints"))
+    return loaded.join(counts, "scan_id", "left").fillna({"n_fingerprints": 0}).select(
+        "scan_id", "score", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss").alias("saved_at"), "n_fingerprints"
+    )
+
+
 # ---- suppressions -----------------------------------------------------------------------
 
 MARKED_SQL = "suppressions AS (SELECT DISTINCT fingerprint FROM findings WHERE substring(fingerprint, 1, 1) IN ('0', '1', '2', '3'))"
@@ -775,32 +790,45 @@ def load_suppressions(spark, sf_dir):
 # ---- profiles and gates -----------------------------------------------------------------
 
 
+# The built-in profiles, and ones without prefixes, with a part of a family, and with one family.
+PROFILES = [
+    *state.BUILT_IN_PROFILES,
+    {"name": "open", "min_severity": "MEDIUM"},
+    {"name": "some", "min_severity": "LOW", "enabled_rule_prefixes": ["DEP1", "SEC"], "severity_overrides": {"DEP103": "HIGH"}},
+]
+PROFILED = (*CATALOG, TOKEN_RULE)  # with a rule of a family that no profile lists
+
+
 def _profile_sql() -> str:
     rows, overrides = [], []
-    for p in state.BUILT_IN_PROFILES:
-        rows.append(f"('{p['name']}', {SEVERITY_RANK[p['min_severity']]})")
-        overrides += [f"('{p['name']}', '{k}', {SEVERITY_RANK[v]})" for k, v in p["severity_overrides"].items()]
+    for p in PROFILES:
+        prefixes = ", ".join(sql.q(x) for x in p.get("enabled_rule_prefixes", []))
+        rows.append(f"('{p['name']}', {SEVERITY_RANK[p['min_severity']]}, CAST([{prefixes}] AS VARCHAR[]))")
+        overrides += [f"('{p['name']}', '{k}', {SEVERITY_RANK[v]})" for k, v in p.get("severity_overrides", {}).items()]
+    families = ", ".join(sql.q(f) for f in policy.FAMILIES)
     return (
-        f"profiles(profile, min_severity) AS (VALUES {', '.join(rows)}), "
+        f"profiles(profile, min_severity, prefixes) AS (VALUES {', '.join(rows)}), "
         f"overrides(profile, rule_id, rank) AS (VALUES {', '.join(overrides)}), "
         "seen AS (SELECT p.profile, f.* EXCLUDE (severity), f.severity AS base_severity, coalesce(o.rank, f.severity) AS severity, "
-        "p.min_severity FROM findings f CROSS JOIN profiles p LEFT JOIN overrides o ON o.profile = p.profile AND o.rule_id = f.rule_id)"
+        "p.min_severity FROM findings f CROSS JOIN profiles p LEFT JOIN overrides o ON o.profile = p.profile AND o.rule_id = f.rule_id "
+        f"WHERE len(p.prefixes) = 0 OR regexp_extract(f.rule_id, '^[A-Z]+') NOT IN ({families}) "
+        "OR len([x for x in p.prefixes if starts_with(f.rule_id, x)]) > 0)"
     )
 
 
 @query("apply_profile", over_findings(
     "SELECT profile, scan_id, rule_id, file_path, line_number, severity, base_severity FROM seen "
-    "WHERE severity >= min_severity AND profile = 'saas'", more=_profile_sql()))
+    "WHERE severity >= min_severity AND profile = 'some'", PROFILED, _profile_sql()))
 def apply_profile(spark, sf_dir):
-    seen = policy.apply_profile(seeded(spark, sf_dir)[2], state.built_in_profiles(spark), "saas")
+    seen = policy.apply_profile(detect(corpus.seeded(spark, sf_dir), PROFILED), state.profiles_of(spark, PROFILES), "some")
     return seen.select("profile", "scan_id", "rule_id", "file_path", "line_number", "severity", "base_severity")
 
 
 @query("profile_join", over_findings(
     "SELECT profile, severity, count(*) AS n_findings, count(*) FILTER (WHERE severity <> base_severity) AS n_raised "
-    "FROM seen WHERE severity >= min_severity GROUP BY ALL", more=_profile_sql()))
+    "FROM seen WHERE severity >= min_severity GROUP BY ALL", PROFILED, _profile_sql()))
 def profile_join(spark, sf_dir):
-    seen = policy.apply_profile(seeded(spark, sf_dir)[2], state.built_in_profiles(spark))
+    seen = policy.apply_profile(detect(corpus.seeded(spark, sf_dir), PROFILED), state.profiles_of(spark, PROFILES))
     return seen.groupBy("profile", "severity").agg(
         F.count("*").alias("n_findings"), F.count_if(F.col("severity") != F.col("base_severity")).alias("n_raised")
     )
@@ -825,19 +853,19 @@ def load_profiles(spark, sf_dir):
     )
 
 
-@query("gate", FAMILY + f", {SCANS} SELECT s.scan_id, coalesce(bool_or(f.severity IN (2, 1)), FALSE) AS failed "
+@query("gate", FAMILY + f", {SCANS} SELECT s.scan_id, coalesce(bool_or(f.severity IN (4, 3)), FALSE) AS failed "
     "FROM scans s LEFT JOIN findings f ON f.scan_id = s.scan_id GROUP BY s.scan_id")
 def gate(spark, sf_dir):
     scans, findings = family_scans(spark, sf_dir)
-    return policy.gate(scans, findings, ("MEDIUM", "LOW"))
+    return policy.gate(scans, findings)
 
 
-@query("gate_new_only", sql.prelude(select_rules(rule_ids=("CRY007", "AUTH001"))) + f", {HISTORY} "
+@query("gate_new_only", sql.prelude(CATALOG) + f", {HISTORY} "
     "SELECT s.scan_id, coalesce(bool_or(c.status = 'new' AND f.severity IN (4, 3)), FALSE) AS failed FROM scans s "
     "LEFT JOIN findings f ON f.scan_id = s.scan_id LEFT JOIN changes c ON c.scan_id = f.scan_id AND c.fingerprint = f.fingerprint "
     "GROUP BY s.scan_id")
 def gate_new_only(spark, sf_dir):
-    _, scans, findings = kept(spark, sf_dir, rule_ids=("CRY007", "AUTH001"))
+    _, scans, findings = kept(spark, sf_dir)
     return policy.gate_new_only(scans, findings)
 
 
@@ -846,13 +874,13 @@ def gate_new_only(spark, sf_dir):
 NAMES_RULE = select_rules(rule_ids=("DEP105",))
 NAMED = (
     f"named AS (SELECT scan_id, path, CAST(line_number AS INTEGER) AS line_number, regexp_extract({sql.strip('line')}, "
-    f"{sql.q('(?i)' + packages.NAME)}, 1) AS package FROM lines WHERE NOT starts_with({sql.strip('line')}, '#')), "
+    f"{sql.q('(?i)' + packages.NAME)}, 1) AS package FROM lines WHERE {sql.gate(NAMES_RULE[0])} AND contains(base, 'requirement') AND NOT starts_with({sql.strip('line')}, '#')), "
     "normed AS (SELECT *, replace(replace(lower(package), '-', '_'), '.', '_') AS package_norm FROM named WHERE package <> '')"
 )
 
 
 def requirement_lines(spark, sf_dir) -> DataFrame:
-    return packages.requirement_names(tables.explode_lines(corpus.seeded(spark, sf_dir)))
+    return packages.requirement_names(tables.explode_lines(packages.requirement_files(corpus.seeded(spark, sf_dir))))
 
 
 @query("denylist_join", sql.prelude(NAMES_RULE) + f", {NAMED} SELECT scan_id, path, line_number, package, package_norm, typo, d.legit "
@@ -1052,35 +1080,40 @@ def report_sarif(spark, sf_dir):
 
 
 @query("sarif_heads", over_findings(
-    "SELECT s.scan_id, CAST(score AS VARCHAR) AS score, CAST(files_scanned AS VARCHAR) AS files_scanned, "
+    "SELECT s.scan_id, '2.1.0' AS version, '[]' AS results, CAST(score AS VARCHAR) AS score, CAST(files_scanned AS VARCHAR) AS files_scanned, "
     "CAST(count(DISTINCT f.rule_id) AS INTEGER) AS n_rules, min(f.rule_id) AS first_rule FROM scored s LEFT JOIN findings f USING (scan_id) GROUP BY ALL", more=TREND))
 def sarif_heads(spark, sf_dir):
     _, scans, findings = kept(spark, sf_dir)
-    parts = report.report_sarif(scans, findings).filter(F.col("part") == report.HEAD)
+    # Head and tail of a document make one without results.
+    edges = report.report_sarif(scans, findings).filter(F.col("part") != report.BODY)
+    parts = edges.groupBy("scan_id").agg(
+        F.concat(F.max(F.when(F.col("part") == report.HEAD, F.col("fragment"))), F.max(F.when(F.col("part") == report.TAIL, F.col("fragment")))).alias("whole")
+    )
     run = "$.runs[0]."
-    whole = F.concat("fragment", F.lit("]}]}"))
+    whole = F.col("whole")
     rules = F.from_json(F.get_json_object(whole, run + "tool.driver.rules"), "array<struct<id:string>>")
     return parts.select(
-        "scan_id", F.get_json_object(whole, run + "properties.score").alias("score"),
+        "scan_id", F.get_json_object(whole, "$.version").alias("version"),
+        F.get_json_object(whole, run + "results").alias("results"), F.get_json_object(whole, run + "properties.score").alias("score"),
         F.get_json_object(whole, run + "properties.filesScanned").alias("files_scanned"),
         F.size(rules).alias("n_rules"), F.get(rules, F.lit(0))["id"].alias("first_rule"),
     )
 
 
 @query("export_catalog", over_findings(
-    "SELECT DISTINCT r.rule_id, " + sql_object(
+    "SELECT r.rule_id, coalesce(n_findings, 0) AS n_findings, " + sql_object(
         {"id": sql_json("r.rule_id"), "name": sql_json("r.rule_name"), "severity": sql_json("r.severity_name")}
         | {"description": sql_json("r.description"), "fix": sql_json("r.fix"), "cwe_id": sql_json("coalesce(r.cwe_id, '')")}
         | {"owasp_id": sql_json("coalesce(r.owasp_id, '')"), "owasp_llm_id": sql_json("coalesce(r.owasp_llm_id, '')")}
         | {"confidence": sql_json("r.confidence"), "guide_url": sql_json("r.guide_url"), "file_extensions": "exts"}
-    ) + " AS document FROM rules r JOIN exts_of e USING (rule_id) JOIN (SELECT DISTINCT rule_id FROM findings) USING (rule_id)",
+    ) + " AS document FROM rules r JOIN exts_of e USING (rule_id) LEFT JOIN (SELECT rule_id, count(*) AS n_findings FROM findings GROUP BY 1) USING (rule_id)",
     more="exts_of(rule_id, exts) AS (VALUES " + ", ".join(
         f"('{r.rule_id}', '[" + ",".join(f'"{e}"' for e in r.extensions) + "]')" for r in CATALOG
     ) + ")"))
 def export_catalog(spark, sf_dir):
-    # The catalogue entries of the rules that fired.
-    fired = seeded(spark, sf_dir)[2].select("rule_id").distinct()
-    return report.export_catalog(spark).join(fired, "rule_id", "left_semi")
+    # All entries, each with the number of its findings.
+    fired = seeded(spark, sf_dir)[2].groupBy("rule_id").agg(F.count("*").alias("n_findings"))
+    return report.export_catalog(spark).join(fired, "rule_id", "left").fillna({"n_findings": 0})
 
 
 # ---- audits -----------------------------------------------------------------------------
@@ -1089,21 +1122,25 @@ def export_catalog(spark, sf_dir):
 @query("determinism_audit", "SELECT CAST(0 AS BIGINT) AS n_different, count(*) AS n_documents FROM documents")
 def determinism_audit(spark, sf_dir):
     files = corpus.seeded(spark, sf_dir)
-    again = files.repartition(7, "path")
+    again = corpus.seeded(spark, sf_dir)  # a second run from the start
     different = audit.determinism_audit(detect(files), detect(again)).select(F.lit(1).alias("d"), F.lit(0).alias("n"))
     both = different.unionByName(files.select(F.lit(0).alias("d"), F.lit(1).alias("n")))
     return both.agg(F.sum("d").alias("n_different"), F.sum("n").alias("n_documents"))
 
 
-SECRET_WORDS = "secrets AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?:[A-Za-z0-9_]|-)*Ex4mple(?:[A-Za-z0-9_]|-)*')) AS secret FROM files)"
+# Marked values whole, and short ones: digit runs of any length.
+SECRET = "(?:[A-Za-z0-9_]|-)*Ex4mple(?:[A-Za-z0-9_]|-)*|[0-9]+"
+SECRET_WORDS = f"secrets AS (SELECT DISTINCT unnest(regexp_extract_all(content, '{SECRET}')) AS secret FROM files)"
 
 
 @query("leak_audit", over_findings(
-    "SELECT DISTINCT scan_id, rule_id, file_path, line_number, secret, 'snippet' AS field FROM findings, secrets "
-    "WHERE length(secret) >= 8 AND contains(snippet, secret)", more=SECRET_WORDS))
+    " UNION ALL ".join(
+        f"SELECT DISTINCT scan_id, rule_id, file_path, line_number, secret, '{field}' AS field FROM findings, secrets WHERE contains({field}, secret)"
+        for field in ("snippet", "message", "fix")
+    ), more=SECRET_WORDS))
 def leak_audit(spark, sf_dir):
     files = corpus.seeded(spark, sf_dir)
-    words = F.explode(F.regexp_extract_all("content", F.lit("(?:[A-Za-z0-9_]|-)*Ex4mple(?:[A-Za-z0-9_]|-)*"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all("content", F.lit(SECRET), F.lit(0)))
     leaks = audit.leak_audit(state.materialize(detect(files), "findings"), files.select(words.alias("secret")))
     return leaks.select("scan_id", "rule_id", "file_path", "line_number", "secret", "field").distinct()
 
@@ -1125,25 +1162,23 @@ EPOCH = "2024-01-01 00:00:00"
 
 
 def arriving(spark, sf_dir) -> DataFrame:
-    """The documents as a stream of files, one a minute."""
+    """The seeded corpus as a stream of files, one a minute."""
     schema = corpus.table(spark, sf_dir, "documents").schema
     docs = live.read_stream(spark, f"{sf_dir}/documents*.parquet", schema)
     minute = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.to_timestamp(F.lit(EPOCH)))
-    path = F.concat(F.lit("in/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return tables.as_corpus(docs, path=path, content=F.col("text"), scan_id=F.col("source"), keep=[minute.alias("arrived_at")])
+    return corpus.with_seeds(docs, minute.alias("arrived_at"))
 
 
-ARRIVED = (
-    "SELECT doc_id, source AS scan_id, 'in/d' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text AS content FROM documents"
-)
-STREAMED = sql.prelude(OWN_RULES, ARRIVED)
+# The whole catalogue and rules with hits in the prose.
+LIVE_RULES = (*CATALOG, *OWN_RULES)
+STREAMED = sql.prelude(LIVE_RULES)
 
 
 def streamed(spark, sf_dir, make: Callable[[DataFrame], DataFrame], update: bool = False) -> DataFrame:
     """Run a stream over all that has arrived and read the table it wrote."""
     folder = state.new_folder(spark, "stream")
-    stream = make(live.scan_stream(arriving(spark, sf_dir), OWN_RULES))
-    write = live.upsert_to if update else live.append_to
+    stream = make(live.scan_stream(arriving(spark, sf_dir), LIVE_RULES))
+    write = live.upsert_counts if update else live.append_to
     live.run_available(write(stream, f"{folder}/table", f"{folder}/checkpoint"))
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 

@@ -105,10 +105,10 @@ def matches(rule: RuleSpec, pattern: str, text: str = "line") -> str:
 # ---- one branch per rule ----------------------------------------------------------------
 
 
-def _select(rule: RuleSpec, source: str, line_number: str, text: str, message: str, where: str) -> str:
+def _select(rule: RuleSpec, source: str, line_number: str, text: str, message: str, where: str, pos: str = "0") -> str:
     return (
         f"SELECT doc_id, scan_id, path, '{rule.rule_id}' AS rule_id, CAST({line_number} AS INTEGER) AS line_number, "
-        f"{text} AS snippet, {message} AS message FROM {source} WHERE {gate(rule)} AND {where}"
+        f"{text} AS snippet, {message} AS message, {pos} AS pos FROM {source} WHERE {gate(rule)} AND {where}"
     )
 
 
@@ -169,7 +169,8 @@ def _block_branch(rule: RuleSpec) -> str:
         f"(SELECT *, unnest(regexp_extract_all(content, {q(block)})) AS block FROM files WHERE {gate(rule)}))"
     )
     message = f"replace({q(d.UNBOUNDED_MESSAGE)}, '%s', regexp_extract(item, {q(name)}, 1))"
-    return _select(rule, items, line, strip("item"), message, f"NOT regexp_matches({before} || {after}, '[><=!~]')")
+    pos = "strpos(content, block) + strpos(block, item)"
+    return _select(rule, items, line, strip("item"), message, f"NOT regexp_matches({before} || {after}, '[><=!~]')", pos)
 
 
 def _denylist_branches(rule: RuleSpec) -> list[str]:
@@ -185,7 +186,7 @@ def _denylist_branches(rule: RuleSpec) -> list[str]:
 
     requirement = (
         f"SELECT l.doc_id, l.scan_id, l.path, 'DEP105' AS rule_id, CAST(line_number AS INTEGER) AS line_number, "
-        f"{text} AS snippet, {fill(d.TYPO_LINE_MESSAGE)} AS message "
+        f"{text} AS snippet, {fill(d.TYPO_LINE_MESSAGE)} AS message, 0 AS pos "
         f"FROM (SELECT *, {name} AS pkg FROM lines WHERE {gate_sql} AND contains(base, 'requirement')) l "
         f"JOIN deny ON replace(replace(lower(pkg), '-', '_'), '.', '_') = typo_norm "
         f"WHERE pkg <> '' AND replace(replace(lower(pkg), '-', '_'), '.', '_') NOT IN ({aliases})"
@@ -194,7 +195,7 @@ def _denylist_branches(rule: RuleSpec) -> list[str]:
     imported = f"regexp_extract({text}, {q('(?i)^(?:import|from)' + chr(92) + 's+(' + names + ')' + chr(92) + 'b')}, 1)"
     statement = (
         f"SELECT l.doc_id, l.scan_id, l.path, 'DEP105' AS rule_id, CAST(line_number AS INTEGER) AS line_number, "
-        f"{text} AS snippet, {fill(d.TYPO_IMPORT_MESSAGE)} AS message "
+        f"{text} AS snippet, {fill(d.TYPO_IMPORT_MESSAGE)} AS message, 0 AS pos "
         f"FROM (SELECT *, {imported} AS pkg FROM lines WHERE ends_with(base, '.py')) l "
         f"JOIN deny ON lower(pkg) = typo WHERE pkg <> '' AND lower(pkg) NOT IN ({aliases})"
     )
@@ -293,7 +294,7 @@ def prelude(rules: tuple[RuleSpec, ...] = CATALOG, corpus: str | None = None) ->
         "findings AS MATERIALIZED (SELECT h.doc_id, h.scan_id, h.rule_id, r.rule_name, r.severity, h.path AS file_path, "
         "h.line_number, coalesce(h.message, r.description) AS message, r.fix, h.snippet, r.guide_url, r.owasp_id, "
         "r.owasp_llm_id, r.cwe_id, r.confidence, r.severity_name, r.category, r.rule_ordinal, "
-        f"{fingerprint('h.path', 'h.rule_id', 'h.snippet')} AS fingerprint "
+        f"{fingerprint('h.path', 'h.rule_id', 'h.snippet')} AS fingerprint, h.pos "
         "FROM hits h JOIN rules r ON h.rule_id = r.rule_id)\n"
     )
 

@@ -44,14 +44,14 @@ def select_rules(
     """Keep the rules that a scan needs, before any plan is built.
 
     A severity filter on findings equals a filter on rules, because a rule has one
-    severity. ``prefixes`` keeps the numbered rules of a family, for example ``("SEC",)``.
+    severity. ``prefixes`` keeps whole families, for example ``("SEC",)``.
     """
     kept = tuple(rules)
     if rule_ids:
         wanted = set(rule_ids)
         kept = tuple(rule for rule in kept if rule.rule_id in wanted)
     if prefixes:
-        numbered = re.compile("(?:" + "|".join(map(re.escape, prefixes)) + r")0\d{2}")
+        numbered = re.compile("(?:" + "|".join(map(re.escape, prefixes)) + r")\d+")
         kept = tuple(rule for rule in kept if numbered.fullmatch(rule.rule_id))
     if severities:
         wanted = set(severities)
@@ -59,4 +59,9 @@ def select_rules(
     return kept
 
 
-__all__ = ["CATALOG", "RULE_ORDER", "SEVERITIES", "SEVERITY_RANK", "RuleSpec", "select_rules"]
+def quick_rules(rules: Iterable[RuleSpec] = CATALOG) -> tuple[RuleSpec, ...]:
+    """The rules of a quick scan for secrets: SEC001 to SEC099 and GIT001 to GIT099."""
+    return tuple(rule for rule in rules if re.fullmatch(r"(?:SEC|GIT)0\d{2}", rule.rule_id))
+
+
+__all__ = ["CATALOG", "RULE_ORDER", "SEVERITIES", "SEVERITY_RANK", "RuleSpec", "quick_rules", "select_rules"]

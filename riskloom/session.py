@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.riskloom.inputPartitions", str(2 * (int(cores) if str(cores).isdigit() else os.cpu_count() or 4)))
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.identity import severity_rank
-from ..operators.joins import broadcast_if_small, salt
+from ..storage import materialize, new_folder, shared_folder
 
 SUPPRESSION_SCHEMA = "array<struct<fingerprint:string,reason:string,reviewer:string,date:string>>"
 PROFILE_SCHEMA = (
@@ -47,63 +44,69 @@ BUILT_IN_PROFILES = [
 ]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, as the cluster names it.
-
-    Only a local session that names none gets one of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"riskloom-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+# ---- history ----------------------------------------------------------------------------
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+HISTORY_BUCKETS = 64
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a result that several steps use, and read it back.
+def save_scans(scans: DataFrame, findings: DataFrame, path: str) -> None:
+    """Append scans and their findings to a history folder.
 
-    Findings are far smaller than the corpus they come from, so writing them once is cheaper
-    than scanning the corpus again for each use.
+    Findings lie in a fixed number of folders by a hash of their scan, cut to even files. They are
+    written first and the scans last, under the id of this save, so a save that broke off shows
+    nothing. Saving a scan again replaces it: the newest save of a scan counts.
     """
-    folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    save = F.lit(uuid.uuid4().hex).alias("save_id")
+    bucket = F.pmod(F.xxhash64("scan_id"), F.lit(HISTORY_BUCKETS)).cast("int").alias("bucket")
+    rows = findings.select("*", save, bucket).hint("rebalance", "bucket")
+    rows.write.mode("append").partitionBy("bucket").parquet(f"{path}/findings")
+    scans.select("*", save, F.current_timestamp().alias("written_at")).write.mode("append").parquet(f"{path}/scans")
 
 
-# ---- history ----------------------------------------------------------------------------
+def load_history(spark: SparkSession, path: str, newest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scans and findings of a history folder, all or of the newest scans only."""
+    from ..operators.history import latest_scans
 
+    saves = spark.read.parquet(f"{path}/scans")
+    last = saves.groupBy("scan_id").agg(F.max(F.struct("written_at", "save_id")).alias("_last"))
+    same = (F.col("written_at") == F.col("_last.written_at")) & (F.col("save_id") == F.col("_last.save_id"))
+    scans = saves.join(last, "scan_id").filter(same).drop("_last", "written_at")
+    if newest is not None:
+        scans = latest_scans(scans, newest)
+    findings = spark.read.parquet(f"{path}/findings").drop("bucket")
+    held = findings.join(scans.select("scan_id", "save_id"), ["scan_id", "save_id"], "left_semi")
+    return scans.drop("save_id"), held.drop("save_id")
+
+
+# Fields of a saved scan document that a history needs.
+SCAN_DOCUMENT = (
+    "target string, profile string, files_scanned long, score string, "
+    "findings array<struct<fingerprint:string>>, _meta struct<saved_at:string,fingerprints:array<string>>"
+)
 
-def save_scans(scans: DataFrame, findings: DataFrame, path: str, mode: str = "append") -> None:
-    """Append scans and their findings to a history folder, one sub-folder per scan.
 
-    The salt lets many tasks write a scan with most of the findings and keeps the number of
-    files of small scans down.
+def parse_scan_documents(documents: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Scans and their distinct fingerprints from saved scan documents, one JSON object per row.
+
+    ``documents`` names them by ``scan_id``. The list in the document's own notes counts; where it
+    is absent or empty the fingerprints of the findings do. A damaged document is a scan without any.
+    The score may be a number or an object with a value.
     """
-    scans.write.mode(mode).parquet(f"{path}/scans")
-    spread = findings.repartition("scan_id", salt("fingerprint", "line_number"))
-    spread.write.mode(mode).partitionBy("scan_id").parquet(f"{path}/findings")
+    doc = documents.select("scan_id", F.from_json(text, SCAN_DOCUMENT).alias("doc")).select("scan_id", "doc.*")
+    value = F.coalesce(F.get_json_object("score", "$.value"), F.col("score")).try_cast("int")
+    saved = F.try_to_timestamp(F.col("_meta.saved_at"), F.lit("yyyy-MM-dd_HHmmss_SSSSSS"))
+    scans = doc.select("scan_id", "target", "profile", "files_scanned", value.alias("score"), saved.alias("saved_at"))
+    noted = F.col("_meta.fingerprints")
+    prints = F.when(F.size(noted) > 0, noted).otherwise(F.col("findings.fingerprint"))
+    held = doc.select("scan_id", F.explode(prints).alias("fingerprint")).filter("fingerprint <> ''")
+    return scans, held.distinct()
 
 
-def load_history(spark: SparkSession, path: str, newest: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scans and findings of a history folder, all or of the newest scans only."""
-    from ..operators.history import latest_scans
-
-    scans = spark.read.parquet(f"{path}/scans")
-    # Folder names may look like numbers; scan ids are strings all the same.
-    found = spark.read.parquet(f"{path}/findings").schema
-    found["scan_id"].dataType = T.StringType()
-    findings = spark.read.schema(found).parquet(f"{path}/findings")
-    if newest is None:
-        return scans, findings
-    scans = latest_scans(scans, newest)
-    return scans, findings.join(broadcast_if_small(scans.select("scan_id")), "scan_id", "left_semi")
+def load_scan_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`parse_scan_documents` for files; the file name without its ending is the scan."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1)
+    return parse_scan_documents(spark.read.text(path, wholetext=True).select(name.alias("scan_id"), "value"))
 
 
 # ---- suppressions -----------------------------------------------------------------------
@@ -148,6 +151,9 @@ def load_profiles(spark: SparkSession, path: str) -> DataFrame:
     return parse_profiles(spark.read.text(path, wholetext=True))
 
 
+def profiles_of(spark: SparkSession, profiles: list[dict]) -> DataFrame:
+    return parse_profiles(spark.createDataFrame([(json.dumps(profile),) for profile in profiles], "value string"))
+
+
 def built_in_profiles(spark: SparkSession) -> DataFrame:
-    rows = [(json.dumps(profile),) for profile in BUILT_IN_PROFILES]
-    return parse_profiles(spark.createDataFrame(rows, "value string"))
+    return profiles_of(spark, BUILT_IN_PROFILES)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import normalize_newlines, split_lines, strip
-from ..operators.joins import broadcast_if_small, join_per_scan
+from ..operators.joins import is_bounded, join_per_scan
+from ..storage import materialize
 
 IGNORE_FILE = ".riskloomignore"
 
@@ -72,19 +73,18 @@ def parse_ignore_files(files: DataFrame, name: str = IGNORE_FILE) -> DataFrame:
 def apply_ignores(files: DataFrame, ignores: DataFrame) -> DataFrame:
     """Drop files that an ignore file names, or that lie in a directory it names.
 
-    An ignore file is a file like others, so the size limit bounds the names of a scan. With
-    that one row per scan the corpus is joined without moving file contents, unless the
-    ignores of all scans together are too many to broadcast.
+    The entries are stored once, as one row per scan, and measured there: within the bound of a
+    broadcast no file content moves, beyond it files join by scan with large scans cut in parts.
     """
     per_scan = ignores.groupBy("scan_id").agg(
         F.collect_set(F.when(F.col("kind") == "dir", F.col("name"))).alias("_dirs"),
         F.collect_set(F.when(F.col("kind") == "file", F.col("name"))).alias("_names"),
     )
-    small = broadcast_if_small(per_scan)
-    if small is per_scan:
-        joined = join_per_scan(files, per_scan, ("path",), how="left")
+    per_scan = materialize(per_scan, "ignores")
+    if is_bounded(per_scan):
+        joined = files.join(F.broadcast(per_scan), "scan_id", "left")
     else:
-        joined = files.join(small, "scan_id", "left")
+        joined = join_per_scan(files, per_scan, how="left")
     none = F.array().cast("array<string>")
     below = F.arrays_overlap(paths.parent_dirs(F.col("path")), F.coalesce("_dirs", none))
     named = F.array_contains(F.coalesce("_names", none), F.element_at(F.split("path", "/"), -1))
@@ -107,18 +107,5 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input at least one task per core; for frames read straight from files.
-
-    A table of a few splits would leave most cores idle. Larger ones already have more splits
-    than cores and stay as they are, so no large corpus is shuffled. Asking a plain scan for
-    its splits runs nothing.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(2 * cores, *keys)
-
-
 def files_scanned(files: DataFrame) -> DataFrame:
     return files.groupBy("scan_id").agg(F.count("*").alias("files_scanned"))

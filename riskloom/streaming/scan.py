@@ -16,6 +16,7 @@ from ..operators.detect import IGNORE_MARKER, detect
 from ..operators.score import score_column
 from ..rules import CATALOG, SEVERITIES, RuleSpec
 from ..rules.spec import SEVERITY_RANK
+from ..storage import delete
 
 
 def scan_stream(
@@ -26,7 +27,7 @@ def scan_stream(
 
 
 def new_findings(findings: DataFrame, *, time: str = "arrived_at", horizon: str = "30 days") -> DataFrame:
-    """The first sighting of each fingerprint. State older than the horizon is dropped."""
+    """The first sighting of each fingerprint. After the horizon its state goes and it is reported again."""
     return findings.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
@@ -39,8 +40,14 @@ def severity_windows(
     slide: str | None = None,
     gap: str | None = None,
 ) -> DataFrame:
-    """Findings per severity and time window: tumbling, sliding with ``slide``, sessions with ``gap``."""
+    """Findings per severity and time window: tumbling, sliding with ``slide``, sessions with ``gap``.
+
+    Windows are emitted once the watermark, ``late`` behind the newest time, has passed their end;
+    those still open at the end are not. Sessions of the few severities merge inside each task
+    before they are shuffled.
+    """
     if gap:
+        findings.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         span = F.session_window(time, gap)
     else:
         span = F.window(time, width, slide) if slide else F.window(time, width)
@@ -58,8 +65,8 @@ def running_counts(findings: DataFrame) -> DataFrame:
 def latest_scores(counts: DataFrame) -> DataFrame:
     """Scores from the counts that :func:`running_counts` has emitted so far.
 
-    ``counts`` is the batch table that the stream keeps. Counts only grow, so the largest
-    count of a scan and severity is its newest.
+    ``counts`` is the table of :func:`upsert_counts`; rows of a scan and severity may repeat and
+    the largest count is the newest.
     """
     newest = counts.groupBy("scan_id", "severity").agg(F.max("n_findings").alias("n_findings"))
     columns = [
@@ -76,14 +83,26 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
     )
 
 
-def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep changed rows of an aggregating stream, one folder per micro-batch.
+def upsert_counts(stream: DataFrame, path: str, checkpoint: str, compact_every: int = 16) -> DataStreamWriter:
+    """Keep the counts of :func:`running_counts` as a table of bounded size, one folder per micro-batch.
 
-    A repeated micro-batch overwrites its own folder, so a retry changes nothing.
+    Counts only grow, so the largest of a scan and severity is its newest and rows may repeat. Every
+    ``compact_every`` batches the folder of the batch takes in the folders since the last such one,
+    which go when the next one has been written. A repeated batch overwrites its own folder from
+    inputs that are still there, so a retry changes nothing.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = batch
+        if batch_id and batch_id % compact_every == 0:
+            since = [f"{path}/batch={k}" for k in range(batch_id - compact_every, batch_id)]
+            old = spark.read.schema(batch.schema).parquet(*since)
+            rows = old.unionByName(batch).groupBy("scan_id", "severity").agg(F.max("n_findings").alias("n_findings"))
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id % compact_every == 0:
+            for k in range(max(0, batch_id - 2 * compact_every), batch_id - compact_every):
+                delete(spark, f"{path}/batch={k}")
 
     return stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from riskloom.rules import CATALOG, RULE_ORDER, select_rules
+from riskloom.rules import CATALOG, RULE_ORDER, quick_rules, select_rules
 
 MATCHERS = [r for r in CATALOG if r.guards and r.kind in ("lines", "stripped_lines")]
 
@@ -45,5 +45,7 @@ def test_selection():
     assert [r.rule_id for r in select_rules(rule_ids=["GIT002", "AI001"])] == ["AI001", "GIT002"]
     assert {r.category for r in select_rules(prefixes=["SEC", "GIT"])} == {"SEC", "GIT"}
     assert len(select_rules(prefixes=["SEC"])) == 18
+    assert len(select_rules(prefixes=["DEP"])) == 11
+    assert {r.category for r in quick_rules()} == {"SEC", "GIT"} and len(quick_rules()) == 23
     assert {r.severity for r in select_rules(severities=["LOW"])} == {"LOW"}
     assert len(select_rules()) == 77

@@ -1,9 +1,12 @@
 """Matching: each kind of rule, gates, markers, masks, and a brute-force comparison."""
 
+import random
 import re
+import time
 
 import pytest
 
+from riskloom.functions.text import one_pass, open_parts
 from riskloom.operators.detect import FINDING_COLUMNS, IGNORE_MARKER, detect
 from riskloom.plans.seeds import SEEDS
 from riskloom.rules import CATALOG, RuleSpec
@@ -222,3 +225,43 @@ def test_plan_is_one_narrow_pass(spark, tmp_path):
     nodes = re.findall(r"^[ :+\-]*(?:\*\(\d+\) )?([A-Z]\w+)", plan, re.MULTILINE)
     assert set(nodes) <= {"Project", "Generate", "ColumnarToRow", "FileScan", "Filter", "Scan"}, nodes
     assert "other:int" not in plan and "content:string" in plan
+
+
+PROBES = [
+    (rule, pattern) for rule in CATALOG for pattern in rule.patterns if one_pass(pattern)
+]
+
+
+def test_one_pass_patterns_find_the_same_stretch():
+    """On lines put together from what the patterns look for."""
+    rng = random.Random(1)
+    for rule, pattern in PROBES:
+        flags = re.IGNORECASE if rule.ignore_case else 0
+        bits = [re.sub(r"\\(.)", r"\1", piece) for part in open_parts(pattern) for piece in re.findall(r"[A-Za-z_.$]+\\?[(\[]?|\S", part)]
+        bits += [" ", "x", "(", "=", "request", "password", "False", "f'", "{"]
+        for _ in range(300):
+            line = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+            slow = re.sub(pattern, "[REDACTED]", line) if re.search(pattern, line, flags) else None
+            fast = re.sub(one_pass(pattern), r"\1[REDACTED]", line) if re.search(one_pass(pattern), line, flags) else None
+            assert slow == fast, (rule.rule_id, line)
+
+
+@pytest.mark.parametrize("start", ["open(x) ", "SELECT ", "logging.info(", "return ", "eval( ", "$where ", "print(", "NODE_ENV "])
+def test_a_long_line_of_openings_ends_soon(scan, start):
+    began = time.perf_counter()
+    scan(("a.py", start * (1_000_000 // len(start)) + " req"))
+    assert time.perf_counter() - began < 60
+
+
+def test_a_long_block_of_names(scan):
+    names = "".join(f'    "pkg{i}",\n' for i in range(20_000))
+    began = time.perf_counter()
+    rows = [r for r in scan(("setup.py", f"x = 1\ninstall_requires=[\n{names}]\n")) if r.rule_id == "DEP104"]
+    assert [r.line_number for r in rows] == list(range(3, 20_003)) and "'pkg7'" in rows[7].message
+    assert time.perf_counter() - began < 60
+
+
+def test_names_beside_bounds_are_not_reported(scan):
+    text = 'install_requires=["a1", "b1>=2", "c1" , >=\n"d1"\n, "e1"], x=["f1"]\nextras_require = {"g": ["h1",\n "i1"]}'
+    rows = [r for r in scan(("setup.py", text)) if r.rule_id == "DEP104"]
+    assert [(r.line_number, r.snippet) for r in rows] == [(3, '"e1"]'), (4, '"h1",'), (5, '"i1"]')]

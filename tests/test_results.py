@@ -10,7 +10,9 @@ from riskloom.operators import audit, history, policy, report, score, suppress
 from riskloom.operators import findings as fnd
 from riskloom.operators.custom import detect_with
 from riskloom.operators.detect import detect
-from riskloom.operators.joins import is_small
+from pyspark.sql.window import Window
+
+from riskloom.operators.joins import is_bounded
 from riskloom.operators.sequence import with_neighbours
 from riskloom.rules import RuleSpec
 from riskloom.sources import state, tables
@@ -126,6 +128,13 @@ def test_profiles(spark, runs):
     assert hobby.filter("severity < 3").count() == 0
     everything = policy.apply_profile(runs[1], profiles)
     assert {r.profile for r in everything.select("profile").distinct().collect()} == {"hobby", "saas", "enterprise"}
+    own = runs[1].limit(1).withColumn("rule_id", F.lit("TOK001"))
+    made = state.profiles_of(spark, [{"name": "open"}, {"name": "part", "enabled_rule_prefixes": ["CRY00", "SEC"]}])
+    assert policy.apply_profile(runs[1], made, "open").count() == runs[1].filter("severity >= 1").count()
+    part = policy.apply_profile(runs[1].unionByName(own), made, "part")
+    assert {r.rule_id for r in part.collect()} == {"CRY003", "CRY007", "CRY008", "TOK001"}
+    with pytest.raises(ValueError, match="sass"):
+        policy.apply_profile(runs[1], made, "sass")
 
 
 def test_gates(runs):
@@ -182,9 +191,16 @@ def test_rules_fired_takes_the_first(runs):
 
 def test_leak_audit(spark, corpus):
     found = detect(corpus(("a.go", "Log(TOKEN, 'hunter2hunter2')"), ("b.py", "if pwd == 'hunter2hunter2':")))
-    secrets = spark.createDataFrame([("hunter2hunter2",), ("short",)], "secret string")
+    secrets = spark.createDataFrame([("hunter2hunter2",), ("og(T",), ("",), (None,), ("absent",)], "secret string")
     leaks = audit.leak_audit(found, secrets).collect()
-    assert [(r.file_path, r.field) for r in leaks] == [("a.go", "snippet")]
+    assert sorted((r.file_path, r.field, r.secret) for r in leaks) == [("a.go", "snippet", "hunter2hunter2"), ("a.go", "snippet", "og(T")]
+
+
+def test_leak_audit_of_one_long_text(spark, corpus):
+    """Windows carry no text, so a megabyte is a million short rows."""
+    found = detect(corpus(("a.py", "eval(x) # " + "ab" * 500_000 + " s3cret-value")))
+    leaks = audit.leak_audit(found, spark.createDataFrame([("s3cret-value",), ("zz",)], "secret string"))
+    assert [r.secret for r in leaks.collect()] == ["s3cret-value"]
 
 
 def test_determinism_and_corpus_audit(corpus):
@@ -230,19 +246,30 @@ def test_one_scan_with_most_findings(spark):
 
 
 def test_neighbours_across_ranges_equal_one_window(spark):
-    """The range-wise form for long sequences, ties and a hot key included."""
+    """Ties, one time for most rows, a hot key and a null key included."""
+    at = F.when(F.col("id") % 3 == 0, F.col("id") * 7919 % 5000 / 3).otherwise(F.lit(77)).cast("long")
     rows = spark.range(5000).select(
-        F.when(F.col("id") % 50 == 0, F.lit("b")).otherwise(F.lit("a")).alias("project"),
-        F.timestamp_seconds((F.col("id") * 7919 % 5000 / 3).cast("long")).alias("saved_at"),
+        F.when(F.col("id") % 50 == 0, F.lit("b")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.lit("a")).alias("project"),
+        F.timestamp_seconds(at).alias("saved_at"),
         F.concat(F.lit("s"), F.col("id")).alias("scan_id"),
     )
     order, fields = ["saved_at", "scan_id"], ["scan_id"]
-    whole = with_neighbours(rows, "project", order, fields)
-    cut = with_neighbours(rows, "project", order, fields, max_rows=100)
-    assert "_range" in cut._jdf.queryExecution().analyzed().toString()
+    cut = with_neighbours(rows, "project", order, fields)
+    window = Window.partitionBy("project").orderBy(*order)
+    value = F.struct("scan_id")
+    whole = rows.withColumns({"before": F.lag(value).over(window), "after": F.lead(value).over(window)})
     assert sorted(whole.collect(), key=str) == sorted(cut.select(*whole.columns).collect(), key=str)
 
 
 def test_broadcast_only_after_measuring(spark):
     table = spark.range(100).withColumn("text", F.repeat(F.lit("x"), F.lit(1000)))
-    assert is_small(table) and not is_small(table, max_rows=99) and not is_small(table, max_bytes=50_000)
+    assert is_bounded(table) and not is_bounded(table, max_rows=99) and not is_bounded(table, max_bytes=50_000)
+
+
+def test_null_projects_stay(spark, runs):
+    scans, found = runs
+    nameless = scans.withColumn("project", F.lit(None).cast("string"))
+    want = sorted(map(str, history.diff_consecutive(scans, found).collect()))
+    assert sorted(map(str, history.diff_consecutive(nameless, found).collect())) == want
+    scored = score.score(nameless, found)
+    assert history.score_trend(scored).count() == scans.count()

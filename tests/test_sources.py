@@ -2,11 +2,13 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.detect import detect
 from riskloom.sources import state, tables
-from riskloom.sources.tree import list_tree, read_corpus
+from riskloom.sources import tree as tree_module
+from riskloom.sources.tree import _children, left_out, list_tree, read_corpus, read_tree
 
 
 def make_tree(root):
@@ -43,8 +45,41 @@ def test_exclude_list_replaces_the_defaults(spark, tmp_path):
 
 def test_listing_is_the_same_however_it_is_shared_out(spark, tmp_path):
     make_tree(tmp_path)
-    lists = [sorted(r.path for r in list_tree(spark, str(tmp_path), fan_out=n).collect()) for n in (1, 2, 1000)]
-    assert lists[0] == lists[1] == lists[2] and len(lists[0]) > 10
+    listed = sorted(r.path for r in list_tree(spark, str(tmp_path), exclude=None).collect())
+    assert listed == sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*") if f.is_file())
+
+
+def test_problems_are_rows_and_unreadable_files_fail(spark, tmp_path):
+    make_tree(tmp_path)
+    tree = read_tree(spark, str(tmp_path))
+    assert {(r.problem, r.n_files) for r in left_out(tree).collect()} == {("too large", 1), ("not UTF-8", 1)}
+    assert {r.path for r in tree.filter("problem is not null").collect()} == {"big.py", "latin.py"}
+    (tmp_path / "loop").symlink_to(tmp_path / "loop")
+    (tmp_path / "self.py").symlink_to(tmp_path / "self.py")
+    (tmp_path / "deep" / "gone").mkdir()
+    listed = list_tree(spark, str(tmp_path))
+    (tmp_path / "deep" / "gone").rmdir()
+    assert listed.count() > 10
+    broken = "path string, size long, problem string"
+    row = spark.createDataFrame([("x.py", 0, "unreadable: gone")], broken)
+    assert left_out(row.select(F.lit("s").alias("scan_id"), "*")).first().n_files == 1
+
+
+def test_an_unreadable_folder_fails_the_scan_or_is_a_row(spark, tmp_path, monkeypatch):
+    assert [p for *_, p in _children(str(tmp_path), "none", None)] == ["unreadable: No such file or directory"]
+    (tmp_path / "a.py").write_text("x")
+    rows = spark.createDataFrame([("a.py", 1, None), ("b.py", 1, None)], "path string, size long, problem string")
+    monkeypatch.setattr(tree_module, "list_tree", lambda *_, **__: rows)
+    assert {(r.path, r.problem) for r in read_tree(spark, str(tmp_path)).collect()} == {("a.py", None), ("b.py", "unreadable: No such file or directory")}
+    assert read_corpus(spark, str(tmp_path), on_error="skip").count() == 1
+    with pytest.raises(Exception, match="cannot read b.py"):
+        read_corpus(spark, str(tmp_path)).collect()
+
+
+def test_a_flat_folder_of_many_names(spark, tmp_path):
+    for n in range(100_000):
+        (tmp_path / f"f{n}").touch()
+    assert list_tree(spark, str(tmp_path)).count() == 100_000
 
 
 def test_single_file_and_missing_path(spark, tmp_path):
@@ -70,6 +105,22 @@ def test_history_round_trip(spark, tmp_path, corpus):
     newest, findings = state.load_history(spark, str(tmp_path / "h"), newest=2)
     assert sorted(r.scan_id for r in newest.collect()) == ["008", "009"]
     assert {r.scan_id for r in findings.collect()} == {"008"}
+    # A save that broke off shows nothing, and a scan saved again replaces the old one.
+    detect(files).select("*", F.lit("broken").alias("save_id"), F.lit(0).alias("bucket")).write.mode("append").partitionBy("bucket").parquet(str(tmp_path / "h" / "findings"))
+    state.save_scans(scans.filter("scan_id = '008'"), detect(files).filter("rule_id = 'CRY008'"), str(tmp_path / "h"))
+    again, found = state.load_history(spark, str(tmp_path / "h"))
+    assert again.count() == 3
+    assert sorted((r.scan_id, r.rule_id) for r in found.collect()) == [("007", "CRY007"), ("008", "CRY008")]
+
+
+def test_scan_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"score": 70, "findings": [{"fingerprint": "x"}], "_meta": {"saved_at": "2024-01-02_030405_000006", "fingerprints": ["f", "g", "f"]}}')
+    (tmp_path / "b.json").write_text('{"score": {"value": 40}, "findings": [{"fingerprint": "x"}, {"rule_id": "r"}, {"fingerprint": ""}], "_meta": {"fingerprints": []}}')
+    (tmp_path / "c.json").write_text('{"score": ')
+    scans, held = state.load_scan_documents(spark, str(tmp_path))
+    assert {r.scan_id: r.score for r in scans.collect()} == {"a": 70, "b": 40, "c": None}
+    assert scans.filter("scan_id = 'a'").first().saved_at == datetime.datetime(2024, 1, 2, 3, 4, 5, 6)
+    assert sorted((r.scan_id, r.fingerprint) for r in held.collect()) == [("a", "f"), ("a", "g"), ("b", "x")]
 
 
 def test_suppression_documents(spark, tmp_path):
@@ -87,8 +138,3 @@ def test_profiles(spark, tmp_path):
     assert (row.min_severity, row.severity_overrides, row.enabled_rule_prefixes) == (1, {"A": 3}, [])
     built_in = {r.name: r for r in state.built_in_profiles(spark).collect()}
     assert built_in["hobby"].min_severity == 3 and built_in["saas"].severity_overrides["CRY001"] == 4
-
-
-def test_spread_gives_a_small_table_all_cores(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
-    assert tables.spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() >= 4

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators.detect import detect
 from riskloom.streaming import scan as live
@@ -69,9 +70,24 @@ def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path, drop):
 
 def test_running_scores(spark, tmp_path, drop):
     def step():
-        return {r.scan_id: r.score for r in live.latest_scores(run(spark, tmp_path, live.running_counts, live.upsert_to)).collect()}
+        return {r.scan_id: r.score for r in live.latest_scores(run(spark, tmp_path, live.running_counts, live.upsert_counts)).collect()}
 
     drop(("s", "a.py", "eval(x)", at(1)))
     assert step() == {"s": 75}
     drop(("s", "b.py", "eval(x)", at(2)), ("t", "b.py", "DEBUG = True", at(2)))
     assert step() == {"s": 50, "t": 90}
+
+
+def test_running_scores_stay_in_few_folders(spark, tmp_path, drop):
+    """Many micro-batches, compacted on the way, and a batch that runs again."""
+
+    def write(stream, path, checkpoint):
+        return live.upsert_counts(stream, path, checkpoint, compact_every=2)
+
+    for n in range(7):
+        drop((f"s{n % 2}", f"{n}.py", "x = 1 # TODO\neval(x)" if n < 4 else "DEBUG = True", at(1, n)))
+        counts = run(spark, tmp_path, live.running_counts, write)
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= 5
+    want = {r.scan_id: r.n for r in detect(spark.read.schema(SCHEMA).parquet(str(tmp_path / "in" / "*"))).groupBy("scan_id").agg(F.count("*").alias("n")).collect()}
+    latest = live.latest_scores(counts).collect()
+    assert {r.scan_id: r.n_critical + r.n_high + r.n_medium + r.n_low + r.n_info for r in latest} == want
