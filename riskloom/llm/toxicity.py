@@ -97,12 +97,12 @@ class Chain:
         return out
 
 
-def _choose_words(rows: list[set[bytes]], y: np.ndarray, limit: int, least: int = 4) -> list[bytes]:
+def _choose_words(texts: list[str], y: np.ndarray, limit: int, least: int = 4) -> list[bytes]:
     """Words of labelled documents whose presence tells most about the label, by chi-square; at most ``limit``."""
     pos, n = y.sum(), len(y)
-    with_label = Counter(word for words, label in zip(rows, y) if label for word in words)
+    with_label = Counter(word for text, label in zip(texts, y) if label for word in words_of(text))
     with_label = {word: k for word, k in with_label.items() if k >= least}
-    without = Counter(word for words, label in zip(rows, y) if not label for word in words & with_label.keys())
+    without = Counter(word for text, label in zip(texts, y) if not label for word in words_of(text) & with_label.keys())
     scored = []
     for word, k in with_label.items():
         total = k + without[word]
@@ -115,20 +115,18 @@ def _choose_words(rows: list[set[bytes]], y: np.ndarray, limit: int, least: int
 
 def fit_chain(texts: list[str], y: np.ndarray, seeds: dict[str, tuple[str, ...]] = SEEDS, label: str = "toxic", folds: int = FOLDS, limit: int = VOCABULARY) -> Chain:
     """Fit the chain of the weak categories and, last, the label."""
-    rows = [words_of(t) for t in texts]
-    words = _choose_words(rows, y, limit) if len(rows) and 0 < y.sum() < len(y) else []
+    words = _choose_words(texts, y, limit) if len(texts) and 0 < y.sum() < len(y) else []
     chain = Chain((*seeds, label), {w: i for i, w in enumerate(words)}, [], 0.5)
-    x = np.zeros((len(rows), len(words)))
-    for i, held in enumerate(rows):
-        for word in held & chain.vocabulary.keys():
-            x[i, chain.vocabulary[word]] = 1
-    targets = [y * np.array([bool(r & {s.encode() for s in words}) for r in rows], float) for words in seeds.values()] + [y.astype(float)]
+    # Word sets of the whole sample would fill a driver, so texts are read anew for each use.
+    x = chain.features(texts)
+    seeded = np.array([[any(s.encode() in held for s in group) for group in seeds.values()] for held in map(words_of, texts)], float)
+    targets = [y * column for column in seeded.reshape(len(texts), len(seeds)).T] + [y.astype(float)]
     fold = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) % folds for t in texts], int)
-    before = np.zeros((len(rows), 0))
-    out_of_fold = np.zeros(len(rows))
+    before = np.zeros((len(texts), 0))
+    out_of_fold = np.zeros(len(texts))
     for target in targets:
         here = np.hstack([x, before])
-        out_of_fold = np.zeros(len(rows))
+        out_of_fold = np.zeros(len(texts))
         for k in range(folds):
             held = fold == k
             if held.any():
