@@ -2,59 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize, release
+
 # White space of the word contracts: x20 and x09 to x0D.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session that names none gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"riskloom-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
-    folder = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete stored tables that no later step reads."""
-    for table in tables:
-        spark = table.sparkSession
-        shared = shared_folder(spark)
-        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            if shared.split(":", 1)[-1].lstrip("/") not in folder:
-                continue
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` as long and ``text`` as string; other columns only if named."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def frequent(large: DataFrame, on: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """Keys that hold more than ``1 / share`` of a stored table, with the parts to cut each into.
 
@@ -63,7 +25,11 @@ def frequent(large: DataFrame, on: str, share: int = 1000, total: int | None = N
     """
     part = max(1.0, (large.count() if total is None else total) / share)
     counts = large.groupBy(F.col(on).alias("_key")).count().filter((F.col("count") > part) & F.col("_key").isNotNull())
-    return counts.select("_key", F.ceil(F.col("count") / part).cast("int").alias("_parts"))
+    hot = counts.select("_key", F.ceil(F.col("count") / part).cast("int").alias("_parts"))
+    # A row without a key matches nothing and keeps the plan the same where no key is frequent.
+    kind = large.schema[on].dataType
+    none = large.sparkSession.range(1).select(F.lit(None).cast(kind).alias("_key"), F.lit(1).alias("_parts"))
+    return hot.union(none)
 
 
 def dealt(large: DataFrame, hot: DataFrame, on: str, part: str) -> DataFrame:
