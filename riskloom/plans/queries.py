@@ -21,7 +21,6 @@ from ..functions.identity import (
     short_fingerprint,
     to_uri,
 )
-from ..functions.text import literal_table
 from ..operators import audit, catalog, history, packages, policy, report, suppress
 from ..operators import findings as fnd
 from ..operators import score as sc
