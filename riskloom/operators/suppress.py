@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import join_uneven
+
 
 def add_suppressions(suppressions: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Add entries whose fingerprint is not there yet; of equal new ones the first by date stays."""
@@ -38,7 +40,8 @@ def suppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
 def with_status(findings: DataFrame, changes: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Status of each finding: suppressed before new before existing.
 
-    The joins are on high-cardinality fingerprints, so a hot scan does not skew them.
+    ``findings`` should be a stored table: a fingerprint that stands in very many scans, as of a
+    copied file, is cut into parts for the join.
     """
     marked = suppressions.select("fingerprint").distinct().withColumn("_suppressed", F.lit(True))
     fresh = (
@@ -48,7 +51,7 @@ def with_status(findings: DataFrame, changes: DataFrame, suppressions: DataFrame
         F.when(F.col("_suppressed"), F.lit("suppressed")).when(F.col("_new"), F.lit("new")).otherwise(F.lit("existing"))
     )
     return (
-        findings.join(marked, "fingerprint", "left")
+        join_uneven(findings, marked, "fingerprint", "left")
         .join(fresh, ["scan_id", "fingerprint"], "left")
         .withColumn("status", status)
         .drop("_suppressed", "_new")
