@@ -61,7 +61,7 @@ def number_rows(df: DataFrame, group: list[str], name: str, rows_per_task: int =
     shifted by the sizes of the parts before. Equal rows and nulls in ``group`` are fine.
     """
     stored = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = 16 + stored.count() // rows_per_task
+    parts = 64 + stored.count() // rows_per_task  # more than a few keys, so that they spread evenly
     stored = stored.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int"))
     # Null groups as values of their own, so that joins keep them.
     keys = [f"_key{i}" for i in range(len(group))]
