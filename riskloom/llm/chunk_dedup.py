@@ -62,9 +62,11 @@ def repeated_passages(
     """Passages that stand more than once, across documents or within one: a row per place.
 
     ``doc_id, tag, start, end, n_words, kept, first_doc_id``. Places are bytes of the UTF-8 text and
-    reach from the first to the last cut inside the passage. ``kept`` is true where most of the
-    passage's chunks stand for the first time, by (doc_id, start); ``first_doc_id`` is the smallest
-    document that holds one of them. A text without words, or shorter than a chunk, has none, and
+    reach from the first to the last cut inside the passage. Chunks that stand for the first time, by
+    (doc_id, start), join to passages that are ``kept``, and those that stood before to others, so a
+    copied document keeps its own words and not those of an earlier one; the two may overlap at
+    their edges. ``first_doc_id`` is the smallest document that holds a chunk of the passage.
+    A text without words, or shorter than a chunk, has none, and
     so has a null text. Equal rows count as two places of one passage and come out once; texts that
     share an id are told apart by ``tag``, and a null id is a document that comes after all others.
     Other columns are not read.
@@ -104,31 +106,34 @@ def repeated_passages(
 
     row = ["doc_id", "tag"]
     first_here = F.min("start").over(Window.partitionBy(*row, "digest")) == F.col("start")
-    reach = F.max("end").over(Window.partitionBy(*row).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    in_order = Window.partitionBy(*row, "own").orderBy("start")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     dealt_out = twice.repartition(*row)
     marked = dealt_out.select(
         "digest", *row, "first_doc_id", *place("bytes", "start", "end"), *place("words", "first_word", "end_word")
     ).withColumn("own", F.col("first_doc_id").eqNullSafe(F.col("doc_id")) & first_here)
     marked = marked.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    marked = marked.withColumn("run", F.sum("opens").over(Window.partitionBy(*row).orderBy("start")))
-    passages = marked.groupBy(*row, "run").agg(
+    marked = marked.withColumn("run", F.sum("opens").over(in_order))
+    passages = marked.groupBy(*row, F.col("own").alias("kept"), "run").agg(
         F.min("start").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
         (F.max("end_word") - F.min("first_word")).cast("long").alias("n_words"),
-        (F.avg(F.col("own").cast("int")) > 0.5).alias("kept"),
         F.min("first_doc_id").alias("first_doc_id"),
     )
-    return passages.filter(F.col("n_words") >= run_words).drop("run")
+    passages = passages.filter(F.col("n_words") >= run_words)
+    return passages.select(*row, "start", "end", "n_words", "kept", "first_doc_id")
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with every passage cut out of ``text`` that is not ``kept``.
 
-    A document has one row of cuts, so long ones join like short ones. Cuts inside a character of
-    several bytes move outward to its edge on the kept side.
+    Where a passage that is ``kept`` overlaps one that is not, the shared bytes stay. A document has
+    one row of cuts, so long ones join like short ones. Cuts inside a character of several bytes
+    move outward to its edge on the kept side.
     """
-    removed = passages.filter("not kept").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    removed = removed.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    removed = passages.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    removed = removed.agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept"))).alias("_cuts"))
+    removed = removed.filter(F.exists("_cuts", lambda c: ~c["kept"]))
     tag = F.xxhash64(F.col("text").cast("string")).bitwiseAND(0x7FFF).cast("short")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
     names, schema = docs.columns, docs.schema
@@ -144,11 +149,15 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return docs.join(removed, same, "left").select(*names, "_cuts").mapInArrow(rewrite, schema)
 
 
-def _without(text: str | None, removed: list[dict] | None) -> str | None:
-    if not text or not removed:
+def _without(text: str | None, passages: list[dict] | None) -> str | None:
+    if not text or not passages:
         return text
-    raw, out, end = text.encode("utf-8", "surrogatepass"), [], 0
-    for span in removed:
-        out.append(raw[end : span["start"]])
-        end = max(end, span["end"])
-    return b"".join([*out, raw[end:]]).decode("utf-8", "ignore")
+    raw = text.encode("utf-8", "surrogatepass")
+    left = np.ones(len(raw) + 2, bool)
+    for kept in (False, True):
+        for span in passages:
+            if span["kept"] == kept:
+                left[span["start"] + 1 : span["end"] + 1] = kept
+    left[[0, -1]] = False
+    edges = np.flatnonzero(left[1:] != left[:-1]).tolist()
+    return "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2]))

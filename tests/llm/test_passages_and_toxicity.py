@@ -73,6 +73,32 @@ def test_cutting_leaves_one_copy(documents):
     assert all(own[i][:100] in left[i] and left[i].endswith("é") for i in range(4))
 
 
+def test_a_copied_document_keeps_its_own_words_only(documents):
+    rng = random.Random(6)
+    before, passage, after = (" ".join(prose(rng, n)) for n in (150, 60, 150))
+    whole = f"{before} {passage} {after}"
+    docs = documents((3, passage), (10, whole), (500, whole))
+    found = chunk_dedup.repeated_passages(docs)
+    rows = sorted((r.doc_id, r.start, r.kept, r.first_doc_id) for r in found.collect())
+    assert [(d, kept, first) for d, _, kept, first in rows if d == 10] == [(10, True, 10), (10, False, 3), (10, True, 10)]
+    assert all(not kept for d, _, kept, _ in rows if d == 500) and all(kept for d, _, kept, _ in rows if d == 3)
+    left = {r.doc_id: r.text for r in chunk_dedup.without_repeats(docs, found).collect()}
+    middle = passage[150:-150]
+    assert left[3] == passage and middle not in left[10] and middle not in left[500]
+    assert left[10].startswith(before) and left[10].endswith(after) and len(left[500]) < 300
+
+
+def test_cutting_loses_no_words(documents):
+    rng = random.Random(7)
+    p, q, r = (" ".join(prose(rng, n)) for n in (120, 50, 50))
+    docs = documents((1, p), (2, f"{p} {q}"), (3, f"{r} {q} {p}"), (4, f"{p} {q}"), (None, f"{r} {q} {p}"))
+    left = {r.doc_id: r.text for r in chunk_dedup.without_repeats(docs, chunk_dedup.repeated_passages(docs)).collect()}
+    assert left[1] == p and left[2].endswith(q) and left[3].startswith(r)
+    words = {w for t in left.values() for w in t.split()}
+    assert set(f"{p} {q} {r}".split()) <= words
+    assert all(len(left[i]) < 300 for i in (4, None))
+
+
 def test_passages_on_awkward_rows(awkward, no_documents, documents):
     rows = chunk_dedup.repeated_passages(awkward).collect()
     assert {r.doc_id for r in rows} == {4}  # its own words come again
