@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the bytes of a text; a cut stands where the hash of the last 16 bytes falls
-below a limit. From every cut a chunk reaches to the first cut that makes it long enough, so chunks
+below a limit, or at the least hash where none does for long. From every cut a chunk reaches to the first cut that makes it long enough, so chunks
 overlap, depend on nothing but their own bytes, and an insertion changes only those that hold it.
 Chunks are compared by digest; overlapping repeated chunks join to the repeated passages.
 """
@@ -21,6 +21,7 @@ from .common import dealt, materialize, repeated, texts
 from .hashing import mix
 
 CUT_BYTES = 24  # mean distance of cuts
+GAP_BYTES = 128  # a stretch without a cut for longer is cut at its least hashes
 CHUNK_BYTES = 64  # least length of a chunk
 RUN_WORDS = 16  # words that a repeated passage holds at least, as far as its chunks reach
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
@@ -28,22 +29,50 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def cuts(data: np.ndarray, cut_bytes: int = CUT_BYTES) -> np.ndarray:
-    """Places of the cuts in a byte array.
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """Gear hash at each byte.
 
     The 16-bit gear hash shifts by one bit per byte, so it holds 16 bytes; it is built by doubling.
     """
     h = _GEAR[data]
     for step in (1, 2, 4, 8):
         h[step:] = h[step:] + (h[:-step] << np.uint16(step))
+    return h
+
+
+def _low(h: np.ndarray, cut_bytes: int) -> np.ndarray:
     found = np.flatnonzero(h < 65536 // cut_bytes) + 1
     return found[found >= 16]
 
 
+def cuts(data: np.ndarray, cut_bytes: int = CUT_BYTES) -> np.ndarray:
+    """Places of the cuts in a byte array, by the hash limit alone."""
+    return _low(_hashes(data), cut_bytes)
+
+
+def all_cuts(data: np.ndarray, cut_bytes: int = CUT_BYTES, gap_bytes: int = GAP_BYTES) -> np.ndarray:
+    """Cuts by the limit, and in gaps longer than ``gap_bytes`` the last least hash of each stretch.
+
+    A stretch begins at the cut before it, so in periodic text, which may hold no low hash at all,
+    every cut stands at the same byte of the period, wherever the text begins.
+    """
+    h = _hashes(data)
+    found = _low(h, cut_bytes)
+    edges = np.concatenate([[15], found, [max(15, len(data))]])
+    more = []
+    for gap in np.flatnonzero(np.diff(edges) > gap_bytes).tolist():
+        at, end = int(edges[gap]), int(edges[gap + 1])
+        while end - at > gap_bytes:
+            stretch = h[at : at + gap_bytes]  # its hashes make the cuts at + 1 to at + gap_bytes
+            at += gap_bytes - int(np.argmin(stretch[::-1]))
+            more.append(at)
+    return np.sort(np.concatenate([found, np.array(more, found.dtype)])) if more else found
+
+
 def chunks(raw: bytes, cut_bytes: int = CUT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> tuple[np.ndarray, ...]:
     """``start, end, first word, word after the last, digest`` of each chunk of a text's bytes."""
     data = np.frombuffer(raw, np.uint8)
-    at = cuts(data, cut_bytes)
+    at = all_cuts(data, cut_bytes)
     to = np.searchsorted(at, at + chunk_bytes)
     starts = at[to < len(at)]
     ends = at[to[to < len(at)]]

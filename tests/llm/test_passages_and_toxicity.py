@@ -30,6 +30,23 @@ def test_an_insertion_changes_only_chunks_around_it():
     assert len(before) > 150 and lost <= 12
 
 
+def test_periodic_text_without_low_hashes_is_cut(documents):
+    rng = random.Random(9)
+    lines = []
+    while len(lines) < 6:
+        line = " ".join(prose(rng, rng.randrange(4, 9))) + "\n"
+        if not len(chunk_dedup.cuts(np.frombuffer((line * 4).encode(), np.uint8))):
+            lines.append(line)
+    lines.append("= ")
+    texts = [(2 * i + j, " ".join(prose(rng, 40 + 7 * i)) + "\n" + line * (600 // len(line))) for i, line in enumerate(lines) for j in (0, 1)]
+    found = chunk_dedup.repeated_passages(documents(*texts)).collect()
+    for i, line in enumerate(lines):
+        later = [r for r in found if r.doc_id == 2 * i + 1]
+        assert [(r.kept, r.first_doc_id) for r in later] == [(False, 2 * i)]
+        assert later[0].end - later[0].start >= 300
+    assert all(b - a <= 2 * chunk_dedup.GAP_BYTES for t in texts for a, b in zip(*chunk_dedup.chunks(t[1].encode())[:2]))
+
+
 def test_finds_repeated_passages_and_leaves_others(documents):
     """Against all repeated windows of 50 words."""
     rng = random.Random(3)
