@@ -26,7 +26,16 @@ KINDS = ("assign", "access", "hex", "jwt", "key", "ssh")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 # A header in PEM armour makes the body, with its line breaks, one candidate.
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+# In JSON or source, breaks are escaped and strings of lines joined by marks.
+_ESCAPED_BREAK = re.compile(r"(?<!\\)\\+[rn]|\r\n?")
+_JOINT = re.compile(r"""["'][\s+.,\\]*["']""")
+_HEADER = re.compile(
+    r"\s*(?:Proc-Type:\s*4\s*,\s*[A-Z-]+(?!\S)|DEK-Info:\s*[A-Z0-9-]+\s*,\s*[0-9A-Fa-f]+(?!\S)|[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[\x20\t][^\n]*)*)"
+)
+_BASE64 = re.compile(r"[A-Za-z0-9+/]+=*\Z")
+# The bytes of an encrypted body parse as nothing: its headers stand for it.
+_ENCRYPTED = (re.compile(r"Proc-Type:\s*4\s*,\s*ENCRYPTED(?!\S)"), re.compile(r"DEK-Info:\s*[A-Z0-9-]+\s*,\s*(?:[0-9A-Fa-f]{2}){8,}(?!\S)"))
 _DIGITS = re.compile(r"[0-9a-fA-F]+\Z")
 _SSH_KINDS = (b"ssh-", b"ecdsa-", b"sk-")
 
@@ -99,6 +108,22 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0].startswith(_SSH_KINDS)
 
 
+def is_armoured_key(body: str) -> bool:
+    """What stands between the marks of PEM armour: a key that parses, or an encrypted one by its headers.
+
+    Lines of headers may come first, and line breaks may be escaped.
+    """
+    body = _JOINT.sub("", _ESCAPED_BREAK.sub("\n", body)).replace("\\t", " ").replace("\\/", "/")
+    at = 0
+    while header := _HEADER.match(body, at):
+        at = header.end()
+    run = "".join(body[at:].split())
+    if not _BASE64.match(run):
+        return False
+    data = decoded(run)
+    return any(is_der_key(d) or is_ssh_key(d) for d in data) or bool(data and all(p.search(body, 0, at) for p in _ENCRYPTED))
+
+
 def is_token_header(part: str) -> bool:
     """A signed token's header: a JSON object that names its algorithm."""
     for data in decoded(part):
@@ -117,9 +142,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _TOKEN.finditer(text):
         if is_token_header(m[1]):
             found.append((m.start(), m.end(), "jwt"))
-    for m in _ARMOUR.finditer(text):
-        if any(is_der_key(d) or is_ssh_key(d) for d in decoded("".join(m[2].split()))):
-            found.append((m.start(), m.end(), "key"))
+    begin = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        else:
+            if begin and begin[2] == m[2] and is_armoured_key(text[begin.end() : m.start()]):
+                found.append((begin.start(), m.end(), "key"))
+            begin = None
     for m in _RUN.finditer(text):
         for data in decoded(m[0]):
             kind = "key" if is_der_key(data) else "ssh" if is_ssh_key(data) else None

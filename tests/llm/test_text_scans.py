@@ -205,6 +205,26 @@ def test_structures_are_confirmed_before_they_are_reported():
         assert kinds(text) == [], text
 
 
+def test_armour_in_source_and_with_headers():
+    key = der(integer(b"\x00"), integer(bytes(range(1, 100))), integer(b"\x01\x00\x01"))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pem = f"{begin}\n{base64.encodebytes(key).decode()}{end}"
+    secret = base64.encodebytes(bytes(range(1, 97))).decode()
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    locked = f"{begin}\n{headers}{secret}{end}"
+    commented = pem.replace("\n", "\nComment: made by\n  nobody\n", 1)
+    concatenated = "\\n' +\n  '".join(pem.split("\n"))
+    json_in_json = json.dumps(json.dumps({"k": pem}))
+    for text in (pem, locked, commented, pem.replace("\n", "\r\n"), locked.replace("\n", " "), json.dumps(pem), json.dumps(locked),
+                 json.dumps(commented), json_in_json, json.dumps(pem).replace("/", "\\/"), concatenated):
+        span = (text.index(begin), text.index(end) + len(end), "key")
+        assert span in secret_scan.confirmed_spans(text), text
+        assert secret_scan.mask(f"a {text} b") == f"a {text[: span[0]]}[secret]{text[span[1] :]} b"
+    for text in (f"{begin}\n{secret}{end}", f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{secret}{end}", f"{begin}\n{headers}{end}",
+                 f"{begin}\n{headers}no key here.\n{end}", json.dumps(f"{begin}\n{secret}{end}"), begin + "\\" * 100_000 + end):
+        assert secret_scan.confirmed_spans(text) == [], text[:200]
+
+
 def test_masking_and_awkward_rows(awkward, no_documents, documents):
     assert secret_scan.mask('a token = "0123456789abcdef0123" b') == 'a [secret]" b'
     assert secret_scan.mask(None) is None and secret_scan.mask("") == ""
