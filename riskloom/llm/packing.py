@@ -41,7 +41,9 @@ class WordEncoder:
     """Ids of texts from ids of their stretches between ASCII white space, each encoded once.
 
     The tokenizer drops white space and lets no token reach across it, so the ids of a text are
-    those of its stretches, one after another. It also ignores case, except in its special tokens.
+    those of its stretches, one after another. It also ignores the case of ASCII words, except in its
+    special tokens. Other words stand as they are: it composes accents before it lowers letters, and
+    some are composed with the small letter only.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -84,10 +86,18 @@ class WordEncoder:
         self.known.update(zip(words, range(first, first + len(new))))
         self.used = used
 
+    @staticmethod
+    def _words(raw: bytes) -> list[bytes]:
+        if b"<|" in raw:
+            return raw.split()
+        if raw.isascii():
+            return raw.lower().split()
+        return [w.lower() if w.isascii() else w for w in raw.split()]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without any added."""
         raw = [(t or "").encode("utf-8") for t in texts]
-        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        split = [self._words(t) for t in raw]
         if len(self.known) > CACHE_WORDS:
             self._forget()
         fresh = set().union(*split).difference(self.known)

@@ -37,6 +37,15 @@ def test_ids_round_trip(spark, documents, tokenizer):
         assert {p.doc_tokens for p in parts} == {len(ids)}
 
 
+def test_ids_of_decomposed_capitals(tokenizer):
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "T\u0344", "W\u030a", "Y\u030a", "E\u0301"]
+    texts = [*pairs, " ".join(f"Plain {p} {p.lower()} x{p}Y a{p}" for p in pairs), "PLAIN \u0308 T \u030a É e\u0301"]
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        encoder = packing.WordEncoder(file.read())
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pieces_are_a_binary_decomposition():
     for n in [*range(1, 5000, 7), 2048, 4096, 1 << 20]:
         parts = packing.pieces(n)
