@@ -11,7 +11,7 @@ from riskloom.llm.queries import QUALITY_THRESHOLD, quality_training, tokenizer_
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; all, where no labels could be learned from."""
     model = quality_model.train(docs, quality_training(spark, sf_dir))
     return quality_model.keep_quality(docs, model, QUALITY_THRESHOLD)
 

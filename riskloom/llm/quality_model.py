@@ -122,7 +122,13 @@ def quality_scores(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: Trees, least: float = 0.7) -> DataFrame:
-    """The rows, with all their columns, whose score reaches ``least``."""
+    """The rows, with all their columns, whose score reaches ``least``.
+
+    All rows if the model holds no trees: without labels of both kinds there was nothing to learn,
+    and every score is the same, so it tells no document from another.
+    """
+    if not len(model.roots):
+        return docs
     names = docs.columns
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

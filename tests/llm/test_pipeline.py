@@ -62,6 +62,19 @@ def test_stages_and_run(spark, tables):
     assert whole.select(columns).exceptAll(expected.select(columns)).count() == 0 and whole.count() == expected.count()
 
 
+@pytest.mark.parametrize("labels", [[], [(None, 1, 0), (1, None, 0)], [(10**6, 1, 0), (10**6 + 4, 0, 0)], [(i, 0, 0) for i in range(60)]])
+def test_without_usable_labels_nothing_is_dropped_for_quality(spark, tables, tmp_path, labels):
+    folder, rows = tables
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    if not labels:
+        assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() > 150
+
+
 def test_entry_registers_all():
     import __spark_entry__ as entry
 
