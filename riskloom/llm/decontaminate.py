@@ -7,6 +7,7 @@ bit-parallel distance over words.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -20,15 +21,27 @@ from .common import texts
 from .hashing import WordHashes, windows
 
 ERROR_RATE = 0.2  # word edits per item word
-MIN_WORDS = 5  # items of fewer words are too common to tell contamination
+MIN_WORDS = 5  # items of fewer words are searched without edits
 BLOCK_WORDS = 2_000_000  # words of test items that one pass holds in each task
 
 _SEPARATORS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_BLANK = re.compile(r"(?:[^\S\x00-\x7F]|[\u200B\u2060\uFEFF])+")
+# Scripts that put no spaces between words: Thai to Myanmar, Khmer, Tai, kana and Chinese characters.
+_ALONE = re.compile(
+    r"[\u0E00-\u109F\u1780-\u17FF\u1950-\u19DF\u1A20-\u1AAF\uA9E0-\uA9FF\uAA60-\uAADF"
+    r"\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\uFF66-\uFF9F\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]"
+)
 
 
 def item_words(text: str | None) -> list[bytes]:
-    """Words as runs of ASCII letters and digits, in lower case, and of everything beyond ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
+    """Words as runs of ASCII letters and digits, in lower case, and of everything beyond ASCII but white space.
+
+    A character of a script without spaces is a word of its own.
+    """
+    text = text or ""
+    if not text.isascii():
+        text = _ALONE.sub(r" \g<0> ", _BLANK.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
 
 
 def pieces(n_words: int, edits: int) -> list[tuple[int, int]]:
@@ -66,8 +79,9 @@ def best_match(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
 class _Pieces:
     """Piece hashes of a block of items, by length, with a bitmap in front."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], error_rate: float):
-        self.items, self.edits = items, [int(error_rate * len(words)) for _, words in items]
+    def __init__(self, items: list[tuple[int, list[bytes]]], error_rate: float, min_words: int):
+        self.items = items
+        self.edits = [int(error_rate * len(words)) if len(words) >= min_words else 0 for _, words in items]
         hashes = WordHashes()
         self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for number, (_, words) in enumerate(items):
@@ -107,15 +121,15 @@ class _Pieces:
         return found
 
 
-def _blocks(benchmark: DataFrame, min_words: int, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Test items in blocks of bounded size, so that neither the driver nor a task holds all of a large set."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text") / 2), F.lit(0))).first()[0]
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2), F.lit(0))).first()[0]
     n = int(size // block_words) + 1
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = [(r["item_id"], item_words(r["text"])) for r in block.distinct().collect()]
-        rows = [r for r in rows if len(r[1]) >= min_words]
+        rows = [r for r in rows if r[1]]
         if rows:
             yield sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
@@ -126,8 +140,9 @@ def contaminated(
     """Documents that hold a test item with at most ``error_rate`` word edits per item word.
 
     One row per document row and item: ``doc_id, item_id, first_word, end_word, distance``, the best
-    match by distance, then place. Case and punctuation don't count. Null or empty texts hold
-    nothing; null, short or empty items find nothing; equal items are searched under each id.
+    match by distance, then place. Case and punctuation don't count. Items of fewer than ``min_words``
+    words must stand in the text without edits. Null or empty texts hold nothing; null items and
+    those without words find nothing; equal items are searched under each id.
     Repeated rows are searched each; other columns are not read. No items give no rows.
     """
     schema = "doc_id long, item_id long, first_word long, end_word long, distance long"
@@ -135,7 +150,7 @@ def contaminated(
 
     def searcher(items):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, hashes = _Pieces(items, error_rate), WordHashes()
+            index, hashes = _Pieces(items, error_rate, min_words), WordHashes()
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -147,7 +162,7 @@ def contaminated(
 
         return search
 
-    found = [rows.mapInArrow(searcher(items), schema) for items in _blocks(benchmark, min_words, block_words)]
+    found = [rows.mapInArrow(searcher(items), schema) for items in _blocks(benchmark, block_words)]
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -155,10 +170,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
     """The rows, with all their columns, whose text holds no test item."""
     names = docs.columns
     out = docs
-    for items in _blocks(benchmark, MIN_WORDS, BLOCK_WORDS):
+    for items in _blocks(benchmark, BLOCK_WORDS):
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index, hashes = _Pieces(items, error_rate), WordHashes()
+            index, hashes = _Pieces(items, error_rate, MIN_WORDS), WordHashes()
             for batch in batches:
                 clean = []
                 for text in batch.column(names.index("text")).to_pylist():

@@ -60,6 +60,20 @@ def test_finds_all_items_within_the_budget_and_no_other(spark, documents):
     assert clean == set(range(90)) - {d for d, _ in expected}
 
 
+def test_short_items_and_scripts_without_spaces(spark, documents):
+    chinese, thai = "机器学习模型的训练数据需要清洗和去重", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    items = ["Blue whale", "unique", chinese, thai, "un\u00a0deux\u202ftrois quatre\u3000cinq six", "...", "四字成语"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        "a blue, WHALE swims", "blue old whale", "Unique.", "uniquely", f"前言{chinese}。后记", f"x{chinese[:5]}新{chinese[6:]}",
+        chinese[::-1], f"ก{thai}ข", "un deux trois quatre cinq seven", "这个四字成语很好", "四字成", None,
+    ]
+    found = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(documents(*texts), bench).collect()}
+    assert found == {(0, 0): 0, (2, 1): 0, (4, 2): 0, (5, 2): 1, (7, 3): 0, (8, 4): 1, (9, 6): 0}
+    clean = {r.doc_id for r in decontaminate.decontaminate(documents(*texts), bench).collect()}
+    assert clean == {1, 3, 6, 10, 11}
+
+
 def test_pieces_cover_items():
     for n in range(1, 80):
         for edits in range(n):
