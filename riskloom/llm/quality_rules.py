@@ -1,4 +1,4 @@
-"""Quality rules as a short-circuit cascade, ordered by what a sample says about cost and rejections.
+"""Quality rules as a cascade over finished counts, ordered by what a sample says about cost and rejections.
 
 Only DataFrame functions: the counts of a text are array expressions over its own row.
 """
@@ -98,7 +98,8 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     """Rules by rejections per cost on a sample of about ``sample_rows`` rows, best first, with both figures.
 
     The sample is every row whose text hash falls into one of ``total / sample_rows`` classes, so
-    it is the same in every run. The order changes the work, never a verdict.
+    it is the same in every run; rows that the base fails count too. The order decides which rule
+    is named, never whether a row is kept, and saves no work: all counts are there before.
     """
     total = docs.count()
     step = max(1, total // sample_rows)
@@ -115,8 +116,8 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """Counts and verdicts per document: ``doc_id``, the counts, ``base_failed``, ``rejected_by``, ``kept``.
 
-    Base rules come first; the others follow in the order of :func:`rule_order`, each tested only
-    where all before it passed, and the first that rejects is named. A null or empty text has no
+    Base rules come first; the others follow in the order of :func:`rule_order`, each counts
+    only where all before it passed, and the first that rejects is named. A null or empty text has no
     words and fails the base. Rows with null or equal ids are judged one by one; columns other
     than ``doc_id`` and ``text`` are not read, so extra ones may have any name. No rows give no rows.
     """
