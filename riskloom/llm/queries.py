@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, licenses, minhash, packing, quality_model, quality_rules, secret_scan, shards, toxicity
+from . import (
+    alignment, chunk_dedup, decontaminate, licenses, minhash, packing, prefix_free, prefix_trie, quality_model, quality_rules,
+    secret_scan, shards, toxicity,
+)
 
 QUALITY_THRESHOLD = 0.7
 SHARDS = 24
@@ -103,11 +106,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return alignment.alignment(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free.without_repeated_strings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_quality_rules, op3_quality_model, op4_decontaminate, op5_license_scan,
         op6_packing, op7_substring_dedup, op8_toxicity, op9_secret_scan, op10_sharding,
+        op11_tokenizer_alignment, op12_suffix_dedup, op13_prefix_trie,
     )
 }
 
@@ -155,5 +175,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 10 * word_chars BETWEEN 25 * n_words AND 140 * n_words AND 10 * n_symbols <= 3 * n_words
   AND 10 * n_dup_lines <= 3 * n_lines AND 2 * n_capitals <= word_chars AS kept
 FROM judged
+""",
+    "op13_prefix_trie": """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)),
+      lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 9 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), turns AS (
+  SELECT v.c, o.d, o.role, o.text FROM convs v JOIN own o ON o.c = v.c - v.c % 5 AND o.d <= v.h
+  UNION ALL SELECT v.c, o.d, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.d > v.h
+), numbered AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY d) AS d, sha256(length(role)::VARCHAR || ' ' || role || text) AS turn, strlen(text) AS size
+  FROM turns
+), places AS (
+  SELECT c, d, size, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS path FROM numbered
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), lengths AS (SELECT c, max(d) AS n FROM places GROUP BY c),
+nodes AS (
+  SELECT p.path, any_value(p.d) AS depth, any_value(p.size) AS size, min(p.c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (l.n = p.d), '') AS ends
+  FROM places p JOIN lengths l ON l.c = p.c GROUP BY p.path
+), above AS (SELECT path, left(path, 64 * (depth - 1)::BIGINT) AS parent FROM nodes WHERE depth > 0),
+kids AS (SELECT parent AS path, count(*) AS n FROM above GROUP BY 1),
+sums AS (
+  SELECT a.path, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens
+  FROM nodes n LEFT JOIN kids k ON k.path = n.path JOIN places a ON a.c = n.conv_id AND a.d <= n.depth GROUP BY a.path
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.path = n.path LEFT JOIN kids k ON k.path = n.path
+LEFT JOIN above a ON a.path = n.path LEFT JOIN nodes p ON p.path = a.parent
 """,
 }
