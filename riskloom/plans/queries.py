@@ -28,8 +28,10 @@ from ..operators.custom import detect_with
 from ..operators.detect import IGNORE_MARKER, detect
 from ..rules import CATALOG, SEVERITIES, RuleSpec, quick_rules, select_rules
 from ..rules.spec import SEVERITY_RANK
+from ..sources import folder as folders
 from ..sources import state, tables
 from ..sources.tree import read_corpus
+from ..streaming import keyed
 from ..streaming import scan as live
 from . import corpus, sql
 from .seeds import SEEDS
@@ -145,6 +147,19 @@ def corpus_read(spark, sf_dir):
     )
 
 
+@query("corpus_source", ORACLES["corpus_read"])
+def corpus_source(spark, sf_dir):
+    # As corpus_read, by SQL through the data source.
+    folder = state.new_folder(spark, "source")
+    docs = corpus.texts(spark, sf_dir, "documents").select("lang", "text")
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 5000).text(folder)
+    folders.folder_files(spark, folder, maxBytes=1 << 40).createOrReplaceTempView("riskloom_files")
+    return spark.sql(
+        "SELECT split_part(path, '/', 1) AS folder, sum(CAST(size(split(content, '\\n', -1)) - 1 AS BIGINT)) AS n_lines, "
+        "sum(CAST(char_length(content) AS BIGINT)) AS n_chars FROM riskloom_files WHERE path LIKE '%.txt' AND size > 0 GROUP BY 1"
+    )
+
+
 # Folder and file endings that put documents at paths of every kind.
 DIRS = ["src", "src/node_modules/a", ".github/flows", "src/.cache", "lib.egg-info", "web/dist", "docs/build/x", "a.b/c"]
 ENDS = [".py", ".PNG", ".tar.gz", "/.env", "", ".Lock", ".svg", ".html", "/.hidden.zip", "/Makefile", ".min.js"]
@@ -679,6 +694,22 @@ def load_history(spark, sf_dir):
     )
 
 
+@query("compact_history", over_findings(
+    "SELECT f.scan_id, count(*) AS n_findings, count(DISTINCT fingerprint) AS n_fingerprints FROM findings f JOIN scans USING (scan_id) GROUP BY ALL",
+    more=SCANS))
+def compact_history(spark, sf_dir):
+    # Saved twice, the first time with findings that the second save replaces, then rewritten.
+    folder = state.new_folder(spark, "history")
+    _, scans, findings = kept(spark, sf_dir)
+    state.save_scans(scans, findings.withColumn("fingerprint", F.reverse("fingerprint")), folder)
+    state.save_scans(scans, findings, folder)
+    state.compact_history(spark, folder)
+    _, loaded = state.load_history(spark, folder)
+    return loaded.groupBy("scan_id").agg(
+        F.count("*").alias("n_findings"), F.countDistinct("fingerprint").alias("n_fingerprints")
+    )
+
+
 @query("load_scan_documents", over_findings(
     "SELECT s.scan_id, score, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at, count(DISTINCT fingerprint) AS n_fingerprints "
     "FROM scored s LEFT JOIN findings f ON f.scan_id = s.scan_id GROUP BY ALL", more=TREND))
@@ -1232,4 +1263,19 @@ def stream_score_latest(spark, sf_dir):
     return live.latest_scores(streamed(spark, sf_dir, live.running_counts, update=True))
 
 
+@query("stream_score_changes", STREAMED + ", scans AS (SELECT DISTINCT scan_id FROM findings), "
+    + COUNTS + ", " + SCORED + " SELECT scan_id, score FROM scored")
+def stream_score_changes(spark, sf_dir):
+    return keyed.newest_scores(streamed(spark, sf_dir, keyed.score_changes)).select("scan_id", "score")
+
+
+@query("stream_sightings", STREAMED + WINDOWED.replace(", edge AS (SELECT max(t) - INTERVAL 1 HOUR AS mark FROM timed)", "")
+    + ", before AS (SELECT fingerprint, rule_id, t, lag(t) OVER (PARTITION BY fingerprint ORDER BY t) AS last FROM timed) "
+    "SELECT fingerprint, rule_id, CASE WHEN last IS NULL THEN 'first' ELSE 'again' END AS kind, strftime(t, '%Y-%m-%d %H:%M:%S') AS seen_at "
+    "FROM before WHERE last IS NULL OR t - last > INTERVAL 3 HOUR")
+def stream_sightings(spark, sf_dir):
+    out = streamed(spark, sf_dir, lambda found: keyed.sightings(found, horizon="3 hours"))
+    return out.select("fingerprint", "rule_id", "kind", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
+
+
 assert set(ORACLES) <= set(QUERIES) and len(SEEDS) == 100

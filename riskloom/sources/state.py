@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import severity_rank
-from ..storage import materialize, new_folder, shared_folder
+from ..storage import delete, materialize, new_folder, release, shared_folder
 
 SUPPRESSION_SCHEMA = "array<struct<fingerprint:string,reason:string,reviewer:string,date:string>>"
 PROFILE_SCHEMA = (
@@ -50,6 +50,10 @@ BUILT_IN_PROFILES = [
 HISTORY_BUCKETS = 64
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("scan_id"), F.lit(HISTORY_BUCKETS)).cast("int").alias("bucket")
+
+
 def save_scans(scans: DataFrame, findings: DataFrame, path: str) -> None:
     """Append scans and their findings to a history folder.
 
@@ -57,26 +61,64 @@ def save_scans(scans: DataFrame, findings: DataFrame, path: str) -> None:
     written first and the scans last, under the id of this save, so a save that broke off shows
     nothing. Saving a scan again replaces it: the newest save of a scan counts.
     """
+    _append(scans.withColumn("written_at", F.current_timestamp()), findings, path)
+
+
+def _append(scans: DataFrame, findings: DataFrame, path: str) -> None:
     save = F.lit(uuid.uuid4().hex).alias("save_id")
-    bucket = F.pmod(F.xxhash64("scan_id"), F.lit(HISTORY_BUCKETS)).cast("int").alias("bucket")
-    rows = findings.select("*", save, bucket).hint("rebalance", "bucket")
+    # Sorted files: row groups tell by their first and last scan whether they hold one of a few scans.
+    rows = findings.select("*", save, _bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id")
     rows.write.mode("append").partitionBy("bucket").parquet(f"{path}/findings")
-    scans.select("*", save, F.current_timestamp().alias("written_at")).write.mode("append").parquet(f"{path}/scans")
+    scans.select("*", save).write.mode("append").parquet(f"{path}/scans")
+
+
+def _valid_scans(saves: DataFrame) -> DataFrame:
+    """The newest save of each scan, with its ``save_id`` and ``written_at``."""
+    last = saves.groupBy("scan_id").agg(F.max(F.struct("written_at", "save_id")).alias("_last"))
+    same = (F.col("written_at") == F.col("_last.written_at")) & (F.col("save_id") == F.col("_last.save_id"))
+    return saves.join(last, "scan_id").filter(same).drop("_last")
 
 
 def load_history(spark: SparkSession, path: str, newest: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scans and findings of a history folder, all or of the newest scans only."""
+    """Scans and findings of a history folder, all or of the newest scans of each project only.
+
+    For the newest the scans are chosen first and stored; where they are few enough for Spark to send
+    them to all tasks, only the folders of findings that hold one of them are opened.
+    """
     from ..operators.history import latest_scans
 
-    saves = spark.read.parquet(f"{path}/scans")
-    last = saves.groupBy("scan_id").agg(F.max(F.struct("written_at", "save_id")).alias("_last"))
-    same = (F.col("written_at") == F.col("_last.written_at")) & (F.col("save_id") == F.col("_last.save_id"))
-    scans = saves.join(last, "scan_id").filter(same).drop("_last", "written_at")
+    scans = _valid_scans(spark.read.parquet(f"{path}/scans")).drop("written_at")
+    findings = spark.read.parquet(f"{path}/findings")
+    keys = ["bucket", "scan_id", "save_id"]
     if newest is not None:
-        scans = latest_scans(scans, newest)
-    findings = spark.read.parquet(f"{path}/findings").drop("bucket")
-    held = findings.join(scans.select("scan_id", "save_id"), ["scan_id", "save_id"], "left_semi")
-    return scans.drop("save_id"), held.drop("save_id")
+        scans = materialize(latest_scans(scans, newest).withColumn("bucket", _bucket()), "newest")
+        chosen = scans.filter(F.col("recency") <= newest).select(*keys)
+        scans = scans.drop("bucket")
+    else:
+        chosen = scans.select(_bucket(), "scan_id", "save_id")
+    held = findings.join(chosen, keys, "left_semi")
+    return scans.drop("save_id"), held.drop("save_id", "bucket")
+
+
+def compact_history(spark: SparkSession, path: str) -> int:
+    """Rewrite a history without replaced or broken saves; the number of files that went.
+
+    What counts is written again as one save under its own times, findings first, and then the files that were
+    there before are deleted, scans first. Broken off at any point, it shows the same history: until the old scans
+    are gone both saves hold the same rows and one of them counts. Scans that others save meanwhile stay.
+    Run it when nobody reads the folder: a reader that has listed the old files fails.
+    """
+    old = {name: spark.read.parquet(f"{path}/{name}").inputFiles() for name in ("scans", "findings")}
+    scans = materialize(_valid_scans(spark.read.parquet(*old["scans"])).dropDuplicates(["scan_id"]), "scans")
+    findings = spark.read.parquet(f"{path}/findings").join(
+        scans.select(_bucket(), "scan_id", "save_id"), ["bucket", "scan_id", "save_id"], "left_semi"
+    )
+    _append(scans.drop("save_id"), findings.drop("save_id", "bucket"), path)
+    release(scans)
+    for name in ("scans", "findings"):
+        for file in old[name]:
+            delete(spark, file)
+    return sum(map(len, old.values()))
 
 
 # Fields of a saved scan document that a history needs.

@@ -138,3 +138,41 @@ def test_profiles(spark, tmp_path):
     assert (row.min_severity, row.severity_overrides, row.enabled_rule_prefixes) == (1, {"A": 3}, [])
     built_in = {r.name: r for r in state.built_in_profiles(spark).collect()}
     assert built_in["hobby"].min_severity == 3 and built_in["saas"].severity_overrides["CRY001"] == 4
+
+
+def test_newest_scans_open_few_files_and_compaction_keeps_what_counts(spark, tmp_path):
+    folder = str(tmp_path / "h")
+    scans = spark.range(200).select(
+        F.lit("p").alias("project"), F.format_string("%04d", "id").alias("scan_id"), F.timestamp_seconds(F.col("id") * 1000).alias("saved_at")
+    )
+    rows = spark.range(2000).select(F.format_string("%04d", F.col("id") % 200).alias("scan_id"), F.col("id").cast("string").alias("fingerprint"))
+    state.save_scans(scans, rows, folder)
+    state.save_scans(scans.filter("scan_id >= '0190'"), rows.filter("scan_id >= '0190' AND fingerprint > '5'"), folder)
+    _, found = state.load_history(spark, folder, newest=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    # Only the folders of these scans are opened: all others may hold anything.
+    held = {r.bucket for r in spark.read.parquet(f"{folder}/findings").filter("scan_id IN ('0197', '0198', '0199')").select("bucket").distinct().collect()}
+    kept = {}
+    for file in (tmp_path / "h" / "findings").glob("bucket=*/*.parquet"):
+        if int(file.parent.name.split("=")[1]) not in held:
+            kept[file] = file.read_bytes()
+            file.write_bytes(b"no parquet")
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert 1 <= len(held) <= 3 and len(kept) > 50
+    assert {r.scan_id for r in found.collect()} == {"0197", "0198", "0199"}
+    for file, data in kept.items():
+        file.write_bytes(data)
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+
+    before = [sorted(map(str, t.collect())) for t in state.load_history(spark, folder)]
+    gone = state.compact_history(spark, folder)
+    assert gone > 60
+    assert [sorted(map(str, t.collect())) for t in state.load_history(spark, folder)] == before
+    assert spark.read.parquet(f"{folder}/findings").count() == len(before[1])
+    # once more changes nothing, and neither does a copy that a broken compaction left
+    saved = spark.read.parquet(f"{folder}/scans")
+    state._append(saved.drop("save_id"), spark.read.parquet(f"{folder}/findings").drop("save_id", "bucket"), folder)
+    assert [sorted(map(str, t.collect())) for t in state.load_history(spark, folder)] == before
+    state.compact_history(spark, folder)
+    assert [sorted(map(str, t.collect())) for t in state.load_history(spark, folder)] == before
