@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from .common import number_rows, texts
 
 CONTEXT = 2048
 END = 1
-BUFFER = 256  # texts whose unknown words are encoded together
+BUFFER = 4096  # texts of a batch whose words are looked up together
 CACHE_WORDS = 1_000_000  # words that a worker process knows before it forgets them all
+CACHE_BYTES = 12 << 20  # and bytes of them
 
 
 def pieces(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
@@ -64,54 +66,55 @@ class WordEncoder:
         return known[tokenizer_json]
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Encode new words as one text; the place where a token starts tells its word."""
-        new = [w.decode("utf-8") for w in words]
         starts = np.cumsum([0, *[len(w) + 1 for w in new[:-1]]])
         encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
         places = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
         sizes = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(new))
-        first, used = len(self.known) + 1, self.used + len(encoding.ids)
+        first, used = len(self.known), self.used + len(encoding.ids)
         while first + len(new) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : used] = encoding.ids
         self.ends[first : first + len(new)] = self.used + np.cumsum(sizes)
-        self.known.update(zip(words, range(first, first + len(new))))
+        self.known.update(zip(new, range(first, first + len(new))))
+        self.held += sum(map(len, new))
         self.used = used
 
-    @staticmethod
-    def _words(raw: bytes) -> list[bytes]:
-        if b"<|" in raw:
-            return raw.split()
-        if raw.isascii():
-            return raw.lower().split()
-        return [w.lower() if w.isascii() else w for w in raw.split()]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, without any added."""
-        raw = [(t or "").encode("utf-8") for t in texts]
-        split = [self._words(t) for t in raw]
-        if len(self.known) > CACHE_WORDS:
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Number of each word, 0 for an empty one; words not met before are encoded together."""
+        plain = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<|"))
+        keys = pc.if_else(plain, pc.ascii_lower(words), words).to_pylist()
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._forget()
-        fresh = set().union(*split).difference(self.known)
+        fresh = set(keys).difference(self.known)
         if fresh:
             self._learn(sorted(fresh))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            starts, ends = self.ends[at - 1] if len(at) else at, self.ends[at]
-            sizes = ends - starts
-            total = int(sizes.sum())
-            places = np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-            out.append(self.flat[places])
-        return out
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where those of each end; none are added."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = pc.list_flatten(words).dictionary_encode()
+        at = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        starts, ends = self.ends[np.maximum(at - 1, 0)], self.ends[at]
+        sizes = np.where(at > 0, ends - starts, 0)
+        to = np.cumsum(sizes)
+        places = np.arange(int(sizes.sum())) + np.repeat(starts - (to - sizes), sizes)
+        of_text = np.cumsum(pc.list_value_length(words).to_numpy())
+        return self.flat[places], np.concatenate([[0], to])[of_text]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, without any added."""
+        ids, ends = self.encode_all(pa.array(texts, pa.string()))
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, end: int = END) -> DataFrame:
@@ -130,7 +133,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, e
             for low in range(0, batch.num_rows, BUFFER):
                 part = batch.slice(low, BUFFER)
                 rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist())):
+                found, ends = encoder.encode_all(part["text"])
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), np.split(found, ends[:-1])):
                     data = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
                     n = len(ids) + 1
                     rows += [(doc_id, a, size, data[4 * a : 4 * (a + size)], n) for a, size in pieces(n, context)]
