@@ -22,15 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, texts
 
-BLOCK_BYTES = 1 << 20  # text of a block; a longer text is a block of its own
-CACHE_BYTES = 24 << 20  # text of the stretches that a worker knows before it forgets them all
+BLOCK_BYTES = 1 << 19  # text of a block; a longer text is a block of its own
+CACHE_STRETCHES = 400_000  # stretches that a worker knows before it forgets them all
+CACHE_BYTES = 8 << 20  # and text of them
 SPACE_PIECE = "\u2581"
 
-BLOCK = {
-    "block": "long", "doc_id": "array<long>", "n_a": "array<long>", "n_b": "array<long>", "n_groups": "array<long>",
-    "n_links": "array<long>", "groups_sha256": "array<string>", "ends": "array<int>", "stretches": "array<int>",
-    "pair_ends": "array<int>", "pair_at": "array<int>", "pairs": "array<struct<a:int,b:int,n:long>>",
-}
+# One row per block: figures and stretches of its documents as one compressed value, and its id pairs.
+BLOCK = "block long, payload binary, pairs array<struct<a:int,b:int,n:long>>"
+PAYLOAD = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ends", "stretches", "pair_ends", "pair_at"]
 ALIGNED = {
     "doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "n_best": "long",
     "count_sum": "long", "groups_sha256": "string",
@@ -140,16 +139,14 @@ class Stretches:
         self.links = np.zeros(0, np.int64)
         self.groups: pa.Array = pa.array([], pa.string())
 
-    def _pieces(self, stretch: str) -> list[int]:
-        if stretch == " ":
-            return [self.space]
-        if stretch[0] == " ":
-            return self.b.encode(stretch[1:], num_threads=1)
-        return self.b.encode(stretch, num_threads=1)[1:]  # without the space that the model puts before
+    def _pieces(self, stretches: list[str]) -> list[list[int]]:
+        # The model puts a space before a text, unless there is none; the first stretches have it already.
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        return [[self.space] if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(stretches, found)]
 
     def _learn(self, new: list[str]) -> None:
         a_ids = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        b_ids = [self._pieces(s) for s in new]
+        b_ids = self._pieces(new)
         raw = pa.array([s.encode() for s in new], pa.binary())
 
         def spelled(ids: pa.Array, table: pa.Array) -> pa.Array:
@@ -183,7 +180,7 @@ class Stretches:
         return parts
 
     def look_up(self, stretches: list[str]) -> np.ndarray:
-        if self.held > CACHE_BYTES:
+        if self.held > CACHE_BYTES or len(self.numbers) > CACHE_STRETCHES:
             self._forget()
         new = [s for s in stretches if s not in self.numbers]
         if new:
@@ -228,11 +225,16 @@ def blocks(ids: pa.Array, texts: pa.Array, known: Stretches, number: int) -> pa.
         return lists(np.array([0, len(values)]), values)
 
     columns = [
-        pa.array([number], pa.int64()), one(ids), *(one(pa.array(f)) for f in figures), one(pa.array(digests, pa.string())),
+        one(ids), *(one(pa.array(f)) for f in figures), one(pa.array(digests, pa.string())),
         one(pa.array(ends.astype(np.int32))), one(pa.array(at.astype(np.int32))),
-        one(pa.array(pair_ends.astype(np.int32))), one(pc.cast(pair_at, pa.int32())), one(pairs),
+        one(pa.array(pair_ends.astype(np.int32))), one(pc.cast(pair_at, pa.int32())),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=list(BLOCK))
+    payload = pa.BufferOutputStream()
+    with pa.ipc.new_stream(payload, pa.schema([(n, c.type) for n, c in zip(PAYLOAD, columns)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, names=PAYLOAD))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([payload.getvalue().to_pybytes()], pa.binary()), one(pairs)], names=["block", "payload", "pairs"]
+    )
 
 
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -273,7 +275,7 @@ def alignment(docs: DataFrame, byte_bpe_path: str, piece_model_path: str, block_
                 yield blocks(ids.slice(low, high - low), texts.slice(low, high - low), known, number)
                 number += 1
 
-    stored = materialize(texts(docs).mapInArrow(count, _ddl(BLOCK)), "alignment")
+    stored = materialize(texts(docs).mapInArrow(count, BLOCK), "alignment")
     pairs = stored.select("block", F.posexplode("pairs").alias("at", "pair")).select("block", "at", "pair.*")
     totals = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
     # One row per id of the second vocabulary: bounded whatever the table holds.
@@ -284,11 +286,13 @@ def alignment(docs: DataFrame, byte_bpe_path: str, piece_model_path: str, block_
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
+                held = pa.ipc.open_stream(batch["payload"][row].as_buffer()).read_next_batch()
+
                 def flat(name: str) -> pa.Array:
-                    return batch[name].slice(row, 1).flatten()
+                    return held[name].flatten()
 
                 ends, at, pair_ends = (flat(c).to_numpy().astype(np.int64) for c in ("ends", "stretches", "pair_ends"))
-                pair_at, looked = flat("pair_at").to_numpy(), flat("known")
+                pair_at, looked = flat("pair_at").to_numpy(), batch["known"].slice(row, 1).flatten()
                 columns = []
                 for name in ("best", "count"):
                     of_pair = np.zeros(len(looked), np.int64)
