@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dealt, materialize, repeated, texts
+from .common import cut_into, dealt, materialize, repeated, small_batches, texts
 from .hashing import mix
 
 CUT_BYTES = 24  # mean distance of cuts
@@ -124,7 +124,7 @@ def repeated_passages(
     total = firsts.agg(F.sum("n")).first()[0] or 0
     # A digest with a thousandth of all repeated chunks is cut into parts; there are few of them.
     part = max(1.0, total / 1000)
-    hot = firsts.filter(F.col("n") > part).select(F.col("digest").alias("_key"), F.ceil(F.col("n") / part).cast("int").alias("_parts"))
+    hot = cut_into(firsts.select(F.col("digest").alias("_key"), F.col("n").alias("count")), part)
     few = repeated(firsts.drop("n"), hot, "digest", "_part")
     twice = dealt(found, hot, "digest", "_part").join(few, ["digest", "_part"]).drop("_part")
     twice = twice.dropDuplicates(["doc_id", "tag", "bytes"])
@@ -160,22 +160,23 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     one row of cuts, so long ones join like short ones. Cuts inside a character of several bytes
     move outward to its edge on the kept side.
     """
-    removed = passages.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    removed = removed.agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept"))).alias("_cuts"))
-    removed = removed.filter(F.exists("_cuts", lambda c: ~c["kept"]))
-    tag = F.xxhash64(F.col("text").cast("string")).bitwiseAND(0x7FFF).cast("short")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
+    small_batches(docs.sparkSession)
+    removed = passages.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("same"))
+    removed = removed.agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept"))).alias("cuts"))
+    removed = removed.filter(F.exists("cuts", lambda c: ~c["kept"]))
     names, schema = docs.columns, docs.schema
+    # The row as one column, so that no name of its columns meets one of ours.
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.col("text").cast("string")).bitwiseAND(0x7FFF).cast("short").alias("tag"))
+    at = names.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
-            new = [_without(t, c) for t, c in zip(batch.column(at).to_pylist(), batch["_cuts"].to_pylist())]
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(new, pa.string())
+            columns = batch["row"].flatten()
+            columns[at] = pa.array([_without(t, c) for t, c in zip(columns[at].to_pylist(), batch["cuts"].to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(removed, same, "left").select(*names, "_cuts").mapInArrow(rewrite, schema)
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("same"))
+    return rows.join(removed, same, "left").select("row", "cuts").mapInArrow(rewrite, schema)
 
 
 def _without(text: str | None, passages: list[dict] | None) -> str | None:

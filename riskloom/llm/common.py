@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,46 +14,71 @@ from ..storage import materialize, release
 SPACE = r"\x20\x09-\x0D"
 
 
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have rows reach Python in batches of few megabytes, however long their texts.
+
+    Spark counts rows, ten thousand of them, and 64 MB as it is set at first; a session that sets other bytes keeps them.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id`` as long and ``text`` as string; other columns only if named."""
+    """``doc_id`` as long and ``text`` as string, in small batches for tasks; other columns only if named."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def frequent(large: DataFrame, on: str, share: int = 1000, total: int | None = None) -> DataFrame:
+Hot = dict[int, list]  # frequent keys by the number of parts to cut each into
+
+
+def cut_into(counts: DataFrame, part: float) -> Hot:
+    """Keys with more than ``part`` rows, from ``_key, count``, with a power of two of parts for each."""
+    found: Hot = {}
+    for key, n in counts.filter((F.col("count") > part) & F.col("_key").isNotNull()).select("_key", "count").collect():
+        found.setdefault(1 << math.ceil(math.log2(n / part)), []).append(bytes(key) if isinstance(key, bytearray) else key)
+    return found
+
+
+def frequent(large: DataFrame, on: str, share: int = 1000, total: int | None = None) -> Hot:
     """Keys that hold more than ``1 / share`` of a stored table, with the parts to cut each into.
 
-    There are fewer than ``share`` of them and fewer than ``2 * share`` parts, whatever the size
-    of the table, so the result may be broadcast and rows may be repeated for each part.
+    There are fewer than ``share`` of them and fewer than ``3 * share`` parts, whatever the size of the
+    table, so they are looked up in the plan, without a join, and rows may be repeated for each part.
     """
     part = max(1.0, (large.count() if total is None else total) / share)
-    counts = large.groupBy(F.col(on).alias("_key")).count().filter((F.col("count") > part) & F.col("_key").isNotNull())
-    hot = counts.select("_key", F.ceil(F.col("count") / part).cast("int").alias("_parts"))
-    # A row without a key matches nothing and keeps the plan the same where no key is frequent.
-    kind = large.schema[on].dataType
-    none = large.sparkSession.range(1).select(F.lit(None).cast(kind).alias("_key"), F.lit(1).alias("_parts"))
-    return hot.union(none)
+    return cut_into(large.groupBy(F.col(on).alias("_key")).count(), part)
+
+
+def _parts(hot: Hot, on: str) -> Column:
+    out = F.lit(1)
+    for parts, keys in hot.items():
+        out = F.when(F.col(on).isin(keys), parts).otherwise(out)
+    return out
 
 
-def dealt(large: DataFrame, hot: DataFrame, on: str, part: str) -> DataFrame:
+def dealt(large: DataFrame, hot: Hot, on: str, part: str) -> DataFrame:
     """Add the part of each row: rows of a frequent key spread by their other columns."""
     rest = [c for c in large.columns if c != on] or [on]
-    placed = F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_parts")), F.lit(0)).cast("int")
-    return large.join(F.broadcast(hot), F.col(on) == F.col("_key"), "left").withColumn(part, placed).drop("_key", "_parts")
+    return large.withColumn(part, F.pmod(F.xxhash64(*rest), _parts(hot, on)).cast("int"))
 
 
-def repeated(small: DataFrame, hot: DataFrame, on: str, part: str) -> DataFrame:
+def repeated(small: DataFrame, hot: Hot, on: str, part: str) -> DataFrame:
     """Repeat the rows of a frequent key for each of its parts."""
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    return small.join(F.broadcast(hot), F.col(on) == F.col("_key"), "left").withColumn(part, each).drop("_key", "_parts")
+    return small.withColumn(part, F.explode(F.sequence(F.lit(0), _parts(hot, on) - 1)))
 
 
-def join_uneven(large: DataFrame, small: DataFrame, on: str, total: int | None = None) -> DataFrame:
-    """Inner join of a stored ``large`` with ``small`` (few rows per key) when a key may hold most of ``large``.
+def join_uneven(large: DataFrame, small: DataFrame, on: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """Join of a stored ``large`` with ``small`` (few rows per key) when a key may hold most of ``large``.
 
     Rows with a null key join with nothing.
     """
     hot = frequent(large, on, total=total)
-    return dealt(large, hot, on, "_part").join(repeated(small, hot, on, "_part"), [on, "_part"]).drop("_part")
+    return dealt(large, hot, on, "_part").join(repeated(small, hot, on, "_part"), [on, "_part"], how).drop("_part")
 
 
 def number_rows(df: DataFrame, group: list[str], name: str, rows_per_task: int = 20_000) -> DataFrame:

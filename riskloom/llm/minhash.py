@@ -231,18 +231,18 @@ def first_of_each(docs: DataFrame, shingle: int = 5, similarity_percent: int = 8
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = grouped.filter("group is not null").groupBy("group").agg(F.min(place).alias("at"), F.count("*").alias("rows"))
     same_id = grouped.filter("group is not null").groupBy("doc_id", "text_hash").count().filter("count > 1")
-    first = first.select(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash")).join(
-        same_id.select(F.col("doc_id").alias("_same"), F.col("text_hash").alias("_text"), F.lit(True).alias("_repeated")),
-        F.col("_id").eqNullSafe(F.col("_same")) & (F.col("_hash") == F.col("_text")), "left",
-    ).drop("_same", "_text")
-    names = docs.columns
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    with_words = F.coalesce(F.col("text").rlike(f"[^{SPACE}]"), F.lit(False))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    stay = docs.filter(with_words).join(first, same).drop("_id", "_hash")
-    once = stay.filter("_repeated is null").select(names)
-    again = stay.filter("_repeated").dropDuplicates(["doc_id", "text"]).select(names)
-    return once.unionByName(again).unionByName(docs.filter(~with_words))
+    first = first.select(F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("hash")).join(
+        same_id.select(F.col("doc_id").alias("same"), F.col("text_hash").alias("as"), F.lit(True).alias("repeated")),
+        F.col("id").eqNullSafe(F.col("same")) & (F.col("hash") == F.col("as")), "left",
+    ).drop("same", "as")
+    # The row as one column, so that no name of its columns meets one of ours.
+    text = F.col("text").cast("string")
+    with_words = F.coalesce(text.rlike(f"[^{SPACE}]"), F.lit(False))
+    rows_of = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(text).alias("own_hash"), with_words.alias("words"))
+    stay = rows_of.filter("words").join(first, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    once = stay.filter("repeated is null").select("row")
+    again = stay.filter("repeated").withColumn("whole", F.col("row.text")).dropDuplicates(["own", "whole"]).select("row")
+    return once.unionByName(again).unionByName(rows_of.filter("not words").select("row")).select("row.*")
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import minhash
+from riskloom.llm import chunk_dedup, minhash
 from riskloom.llm.common import components, join_uneven, materialize, number_rows
 
 
@@ -124,3 +124,15 @@ def test_uneven_join_and_numbers(spark):
     numbered = number_rows(large.withColumn("g", F.when(F.col("k") == 7, F.lit(None)).otherwise(F.col("k") % 2)), ["g"], "n", 100)
     for _, rows in numbered.toPandas().groupby("g", dropna=False):
         assert sorted(rows["n"]) == list(range(len(rows)))
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["_id", "_hash", "_repeated", "_tag", "_cuts", "_part", "_row", "row", "own", "id", "hash", "words", "repeated", "same", "cuts", "tag"]
+    rows = [(i, f"one two three four five six seven {i % 3}", *range(len(names))) for i in range(9)] + [(9, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = minhash.first_of_each(docs, 3, 85)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 9]
+    assert minhash.near_duplicates(docs, 3, 85).count() == 10
+    cut = chunk_dedup.without_repeats(docs, chunk_dedup.repeated_passages(docs))
+    assert cut.columns == docs.columns and cut.count() == 10 and {r.words for r in cut.collect()} == {names.index("words")}
