@@ -27,7 +27,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins
 from .alignment import lists, offsets_of, slices
 from .common import join_uneven, materialize, texts
 
@@ -249,7 +248,7 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
     open_ = found.filter("contexts > 0")
     often = open_.groupBy("after").count().filter(F.col("count") > hot).select("after", F.lit(True).alias("hot"))
     often = materialize(often, "often")
-    asked = joins.join_uneven(open_, often, "after", "left").groupBy("block").agg(F.collect_list(F.struct("after", "place", "contexts", "hot")).alias("asked"))
+    asked = join_uneven(open_, often, "after", how="left").groupBy("block").agg(F.collect_list(F.struct("after", "place", "contexts", "hot")).alias("asked"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
