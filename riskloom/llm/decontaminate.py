@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 from .hashing import WordHashes, windows
 
 ERROR_RATE = 0.2  # word edits per item word
@@ -168,6 +168,7 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows, with all their columns, whose text holds no test item."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     out = docs
     for items in _blocks(benchmark, BLOCK_WORDS):

@@ -13,7 +13,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hash of each word met; forgets all words when it holds too many."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

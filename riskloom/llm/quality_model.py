@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import texts
+from .common import small_batches, texts
 
 TRAIN_ROWS = 12_000  # labelled rows, at most, that the driver fits on
 _SPACE = np.zeros(256, bool)
@@ -129,6 +129,7 @@ def keep_quality(docs: DataFrame, model: Trees, least: float = 0.7) -> DataFrame
     """
     if not len(model.roots):
         return docs
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

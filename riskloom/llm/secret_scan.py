@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small_batches, texts
 
 # The base patterns, in the order in which kinds are listed, with the least length of group ``n``.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -198,6 +198,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every secret in ``text`` masked; a null text stays null."""
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
