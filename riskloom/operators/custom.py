@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import fingerprint
@@ -44,3 +44,19 @@ def detect_with(files: DataFrame, rule: RuleSpec, check: Check) -> DataFrame:
     }
     stamp = fingerprint(F.col("file_path"), F.col("rule_id"), F.col("snippet"))
     return hits.withColumns(columns).withColumn("fingerprint", stamp).select(*FINDING_COLUMNS)
+
+
+def register_check(spark: SparkSession, name: str, check: Check) -> None:
+    """Make a Python check a table function of SQL: ``FROM files, LATERAL name(path, content)``.
+
+    It gives ``line_number, snippet, pos`` per hit, ``pos`` from 0 in the order of the check. Files pass in Arrow batches;
+    a file without path or content has no hits.
+    """
+
+    class Checked:
+        def eval(self, path: str, content: str):
+            if path is not None and content is not None:
+                for pos, (line, snippet) in enumerate(check(path, content)):
+                    yield line, snippet, pos
+
+    spark.udtf.register(name, F.udtf(Checked, returnType="line_number int, snippet string, pos int", useArrow=True))

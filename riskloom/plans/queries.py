@@ -24,7 +24,7 @@ from ..functions.identity import (
 from ..operators import audit, catalog, history, packages, policy, report, suppress
 from ..operators import findings as fnd
 from ..operators import score as sc
-from ..operators.custom import detect_with
+from ..operators.custom import detect_with, register_check
 from ..operators.detect import IGNORE_MARKER, detect
 from ..rules import CATALOG, SEVERITIES, RuleSpec, quick_rules, select_rules
 from ..rules.spec import SEVERITY_RANK
@@ -400,16 +400,27 @@ def custom_rule(spark, sf_dir):
 )
 def custom_check(spark, sf_dir):
     rule = RuleSpec("LEN001", "Long line", "INFO", "A line is very long.", "Break the line.", "")
-
-    def long_lines(path: str, content: str):
-        for number, line in enumerate(content.splitlines(), 1):
-            if len(line) > 200:
-                yield number, f"{len(line)} characters"
-
     found = detect_with(corpus.documents(spark, sf_dir), rule, long_lines)
     return found.select("scan_id", "file_path", "line_number", "snippet")
 
 
+def long_lines(path: str, content: str):
+    for number, line in enumerate(content.splitlines(), 1):
+        if len(line) > 200:
+            yield number, f"{len(line)} characters"
+
+
+@query("custom_table_function", ORACLES["custom_check"])
+def custom_table_function(spark, sf_dir):
+    # The same check as a table function of SQL.
+    register_check(spark, "riskloom_long_lines", long_lines)
+    corpus.documents(spark, sf_dir).createOrReplaceTempView("riskloom_documents")
+    return spark.sql(
+        "SELECT scan_id, path AS file_path, hit.line_number, hit.snippet "
+        "FROM riskloom_documents, LATERAL riskloom_long_lines(path, content) AS hit"
+    )
+
+
 # ---- finding lookups --------------------------------------------------------------------
 
 

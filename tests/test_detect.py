@@ -265,3 +265,22 @@ def test_names_beside_bounds_are_not_reported(scan):
     text = 'install_requires=["a1", "b1>=2", "c1" , >=\n"d1"\n, "e1"], x=["f1"]\nextras_require = {"g": ["h1",\n "i1"]}'
     rows = [r for r in scan(("setup.py", text)) if r.rule_id == "DEP104"]
     assert [(r.line_number, r.snippet) for r in rows] == [(3, '"e1"]'), (4, '"h1",'), (5, '"i1"]')]
+
+
+def test_a_check_as_table_function_gives_the_rows_of_the_check(spark, corpus):
+    from riskloom.operators.custom import detect_with, register_check
+    from riskloom.rules import RuleSpec
+
+    def check(path, content):
+        for number, line in enumerate(content.splitlines(), 1):
+            if "todo" in line:
+                yield number, f"{path}:{line}"
+
+    files = corpus(("a.py", "x\ntodo 1\ntodo 2"), ("b.py", ""), ("c.py", "todo é"), ("d.py", None), (None, "todo"))
+    rule = RuleSpec("TODO01", "To do", "INFO", "Open work.", "Do it.", "")
+    want = detect_with(files.filter("path IS NOT NULL AND content IS NOT NULL"), rule, check)
+    register_check(spark, "todo_lines", check)
+    files.createOrReplaceTempView("todo_files")
+    got = spark.sql("SELECT scan_id, path, h.* FROM todo_files, LATERAL todo_lines(path, content) AS h")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("scan_id", "file_path", "line_number", "snippet", "pos").collect()))
+    assert got.count() == 3
