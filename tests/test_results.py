@@ -203,6 +203,21 @@ def test_leak_audit_of_one_long_text(spark, corpus):
     assert [r.secret for r in leaks.collect()] == ["s3cret-value"]
 
 
+def test_only_windows_near_the_hits_become_rows(spark):
+    """A bitmap of the keys tests windows where they are cut; a full bitmap spares nothing and loses nothing."""
+    keys = spark.createDataFrame([(f"key-{i:012d}",) for i in range(200)] + [("é\u2028\U0001f600",)], "_key string")
+    texts = spark.createDataFrame(
+        [(0, "plain " * 20_000), (1, "x" * 505 + "key-000000000007" + "y" * 900), (2, "aé\u2028\U0001f600b"), (3, "key-000000000200")],
+        "_id long, text string",
+    )
+    met = {(r["_id"], r["_key"]) for r in audit.windows_met(texts, keys).collect()}
+    hits = {(1, "key-000000000007"), (2, "é\u2028\U0001f600")}
+    assert hits <= met and len(met) < 300
+    full = spark.range(64 * 20).selectExpr("concat('k', lpad(id, 15, '0')) AS _key")
+    assert len(audit.key_bitmap(full, 64).first().bits) == 1
+    assert audit.key_bitmap(keys.limit(0)).first().bits == [0]
+
+
 def test_determinism_and_corpus_audit(corpus):
     files = corpus(("a.py", "eval(x)"), ("b.py", "exec(x)"))
     assert audit.determinism_audit(detect(files), detect(files.repartition(3))).count() == 0
