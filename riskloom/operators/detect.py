@@ -524,13 +524,23 @@ def _cached_hits(
 ) -> tuple[Column, Column]:
     """The hits of a file, and the metadata of a hit's rule from a constant table.
 
-    Building the expression takes seconds of driver time, so scans in one application share it.
+    Building the expression takes seconds of driver time, so scans in one application share it, also
+    those with rules of their own besides the whole catalogue: only the latter are built anew.
     """
+    own = tuple(rule for rule in rules if rule not in _CATALOGUED)
+    if own and len(own) + len(CATALOG) == len(rules):
+        known, more = (_cached_hits(application, part, marker, strict_parity)[0] for part in (CATALOG, own))
+        none = F.array().cast(HIT)
+        moved = F.transform(more, lambda hit: hit.withField("rule", hit["rule"] + len(CATALOG)))
+        hits, rules = F.concat(F.coalesce(known, none), F.coalesce(moved, none)), CATALOG + own
+    else:
+        hits = _hits(rules, F.col("path"), F.col("content"), marker, strict_parity)
     table = literal_table(_rule_rows(rules), f"array<struct<{_struct_fields(_RULE_FIELDS)}>>")
-    hits = _hits(rules, F.col("path"), F.col("content"), marker, strict_parity)
     return hits, F.get(table, F.col("hit.rule"))
 
 
+_CATALOGUED = frozenset(CATALOG)
+
 _RULE_FIELDS = (
     "rule_ordinal int, rule_id string, rule_name string, severity int, severity_name string, category string, "
     "description string, fix string, guide_url string, owasp_id string, owasp_llm_id string, cwe_id string, "

@@ -23,6 +23,7 @@ from ..functions.identity import (
 )
 from ..operators import audit, catalog, history, packages, policy, report, suppress
 from ..operators import findings as fnd
+from ..operators import lines as line_rules
 from ..operators import score as sc
 from ..operators.custom import detect_with, register_check
 from ..operators.detect import IGNORE_MARKER, detect
@@ -319,6 +320,14 @@ scan_query("match_lines", **by_ids(*PLAIN))
 scan_query("match_lines_ci", **by_ids("DAT001"))
 scan_query("match_lines_guarded", **by_ids("CRY006", "PRI002", "DEP103"))
 scan_query("missing_in_window", **by_ids("AI002"))
+
+
+@query("missing_in_window_lines", ORACLES["missing_in_window"])
+def missing_in_window_lines(spark, sf_dir):
+    rule = by_ids("AI002")["rules"][0]
+    return line_rules.missing_in_window(tables.explode_lines(corpus.seeded(spark, sf_dir)), rule).select(*SHORT)
+
+
 scan_query("missing_in_file", **by_ids("DEP001", "GIT002", "GIT003", "GIT004", "GIT005"))
 scan_query("file_marker", **by_ids("GIT006"))
 scan_query("path_gated", **by_ids("DEP101", "DEP003"))

@@ -7,9 +7,11 @@ import time
 import pytest
 
 from riskloom.functions.text import one_pass, open_parts
+from riskloom.operators import lines as line_rules
 from riskloom.operators.detect import FINDING_COLUMNS, IGNORE_MARKER, detect
 from riskloom.plans.seeds import SEEDS
-from riskloom.rules import CATALOG, RuleSpec
+from riskloom.rules import CATALOG, RuleSpec, select_rules
+from riskloom.sources.tables import explode_lines
 
 BY_ID = {r.rule_id: r for r in CATALOG}
 
@@ -284,3 +286,42 @@ def test_a_check_as_table_function_gives_the_rows_of_the_check(spark, corpus):
     got = spark.sql("SELECT scan_id, path, h.* FROM todo_files, LATERAL todo_lines(path, content) AS h")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("scan_id", "file_path", "line_number", "snippet", "pos").collect()))
     assert got.count() == 3
+
+
+def windows_of(found):
+    return sorted((r.file_path, r.line_number, r.snippet, r.fingerprint) for r in found.collect())
+
+
+@pytest.mark.parametrize("block_lines", [1, 5, 12, 4096])
+def test_windows_over_a_table_of_lines(corpus, block_lines):
+    """Blocks of any size give what whole files give, at their edges too."""
+    rng = random.Random(block_lines)
+    kinds = ["x = 1", "client.chat.completions.create(", "    max_tokens=5,", "max_tokens", "=", " 7", "", "a.messages.stream(model)"]
+    files = [(f"f{i}.py", "\n".join(rng.choice(kinds) for _ in range(rng.randrange(80)))) for i in range(12)]
+    files += [("a.txt", "a.messages.create("), ("b.py", ""), ("c.py", "a.messages.create(\r\n" + "\r\n" * 9 + "max_tokens=1")]
+    rule = select_rules(rule_ids=["AI002"])[0]
+    rows = corpus(*files)
+    found = line_rules.missing_in_window(explode_lines(rows), rule, block_lines)
+    whole = windows_of(detect(rows, [rule]))
+    assert windows_of(found) == whole and len(whole) > 20
+
+
+def test_a_long_file_spreads_over_tasks(spark):
+    """Two million lines in blocks: one call in a hundred thousand lines, every other one with a limit."""
+    line = "CASE WHEN id % 100000 = 7 THEN 'x.messages.create(' WHEN id % 200000 = 16 THEN 'max_tokens=9' ELSE 'pass' END"
+    lines = spark.range(2_000_000).selectExpr("'s' AS scan_id", "'long.py' AS path", "cast(id + 1 AS int) AS line_number", f"{line} AS line")
+    rule = select_rules(rule_ids=["AI002"])[0]
+    found = line_rules.missing_in_window(lines, rule)
+    assert [n for _, n, _, _ in windows_of(found)] == list(range(100_008, 2_000_000, 200_000))
+    most = line_rules.in_blocks(lines, 2, 9).groupBy("_block").count().agg({"count": "max"}).first()[0]
+    assert most == line_rules.BLOCK_LINES + 11
+
+
+def test_own_rules_beside_the_catalogue(corpus):
+    """The catalogue's part is built once; hits, metadata and order are those of one list of rules."""
+    own = RuleSpec("OWN001", "Own", "LOW", "Own words.", "None.", "", patterns=("own word",), guards=("own word",))
+    files = corpus(("a.py", "eval(x)  # own word\nown word"), ("b.txt", "own word"), ("c.py", "exec(y)"), ("d.py", None))
+    rows = sorted((r.file_path, r.line_number, r.rule_id, r.message, r.rule_ordinal) for r in detect(files, (own, *CATALOG)).collect())
+    apart = detect(files, [own]).collect() + detect(files).collect()
+    assert rows == sorted((r.file_path, r.line_number, r.rule_id, r.message, r.rule_ordinal) for r in apart)
+    assert sum(r[2] == "OWN001" for r in rows) == 3
