@@ -2,7 +2,8 @@
 
 Points are groups of equal texts. A node is cut along the widest of the metadata dimensions at the
 weighted median, found from distributed histograms of bounded size that close in on the cut, until
-every leaf holds one shard's share of the bytes.
+every leaf holds one shard's share of the bytes. Groups too large to be a point, yet with room in a
+shard, are given one whole beforehand, and the tree fills what room they leave.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialize, number_rows, release
 
 ROW_BYTES = 8  # added to the UTF-8 length of each text
-PART_SHARE = 20  # a group of more than 1/20 of a shard is cut into parts
+POINT_SHARE = 20  # points of the tree weigh 1/20 of a shard at most, besides single rows
 BINS = 2048
 _LOW, _HIGH = 0, (1 << 62) - 1
 
@@ -37,9 +38,11 @@ def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = (
     """Shard of every row: ``doc_id, size, text_crc32, shard, slot``; sizes of shards come near equal.
 
     ``size`` is the text's UTF-8 length plus 8, a null text counting as empty. Equal texts form one
-    point with the metadata of their least row and go to one shard together, unless they hold more
-    than 1/20 of a shard: then they are dealt by row into parts below that. Dimensions that
-    ``docs`` lacks are left out; nulls in them sort first. Rows may repeat and ids may be null.
+    point with the metadata of their least row and go to one shard together. A group of more than 1/20 of a
+    shard takes its place first, the largest first, in the shard with least room that holds it; only one that
+    no shard has room for, as one beyond a whole shard, is dealt out in small parts, by id and metadata of its rows, so
+    rows equal in these stay together unless their id is null. How rows lie in files changes no shard of a row with
+    an id. Dimensions that ``docs`` lacks are left out; nulls in them sort first. Rows may repeat and ids may be null.
     ``slot`` numbers the rows of a shard from 0 without gaps. No rows give no rows.
     """
     used = tuple(c for c in dimensions if c in docs.columns)
@@ -51,34 +54,36 @@ def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = (
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
         *[v.alias(f"d{i}") for i, v in enumerate(values)],
-        F.monotonically_increasing_id().alias("row"),
     )
-    rows = materialize(rows, "rows")
-    sums = rows.agg(F.sum("size").alias("bytes")).first()
-    if sums["bytes"] is None:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    limit = max(1, sums["bytes"] // (shards * PART_SHARE))
-    # Points: sums per group, and parts of large groups. Copies of a text have one size, so rows per part are even.
+    # What deals out the rows of a group that must be cut; without an id, the place of the row.
     names = [f"d{i}" for i in range(len(used))]
-    place = F.struct(*names, "row")
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("deal", F.xxhash64("doc_id", *names, nameless)), "rows")
+    total = rows.agg(F.sum("size").alias("bytes")).first()["bytes"]
+    if total is None:
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    place = F.struct(*names, "deal")
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.min(place).alias("at"), F.max("size").alias("most"))
-    parts = F.least(F.ceil(F.col("bytes") / limit), F.floor(F.col("bytes") / F.col("most"))).cast("int")
-    groups = groups.select("group", "bytes", *[F.col(f"at.{d}").alias(d) for d in names], F.greatest(F.lit(1), parts).alias("parts"))
-    large = groups.filter("parts > 1").select("group", "parts")  # at most shards * 20 groups, so broadcast
-    rows = rows.join(F.broadcast(large), "group", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")
-    ).drop("parts")
+    groups = materialize(groups.select("group", "bytes", "most", *[F.col(f"at.{d}").alias(d) for d in names]), "groups")
+    limit = max(1, total // (shards * POINT_SHARE))
+    heavy = groups.filter(F.col("bytes") > limit).select("group", "bytes", "most").collect()  # fewer than shards * 20
+    whole, room = _whole_groups([(r["group"], r["bytes"]) for r in heavy], shards, total / shards)
+    # Copies of a text have one size, so rows per part are even.
+    plan = [(r["group"], max(1, min(-(-r["bytes"] // limit), r["bytes"] // r["most"])), whole.get(r["group"])) for r in heavy]
+    large = F.broadcast(docs.sparkSession.createDataFrame(plan, "group long, parts int, whole int"))
+    rows = rows.join(large, "group", "left")
+    given = rows.filter("whole is not null").withColumnRenamed("whole", "shard")
+    rows = rows.filter("whole is null").withColumn("part", F.coalesce(F.pmod("deal", "parts"), F.lit(0)).cast("int"))
     weights = rows.groupBy("group", "part").agg(F.sum("size").alias("bytes"))
-    at = groups.select("group", *names)
-    points = weights.join(at, "group")
+    points = weights.join(groups.select("group", *names), "group")
     tie = F.shiftrightunsigned(F.xxhash64("group", "part"), 32)
     points = materialize(points.withColumn("tie", tie).withColumn("node", F.lit(0)), "points")
 
-    # node -> (shards below it, first shard); every level cuts all nodes at once.
-    nodes = {0: (shards, 0, sums["bytes"])}
+    # node -> (shards below it, first shard, bytes); every level cuts all nodes at once.
+    nodes = {0: (shards, 0, total - sum(size for group, size, _ in heavy if group in whole))}
     while any(n > 1 for n, _, _ in nodes.values()):
         keys = _order_keys(points, names, nodes)
-        made = _cut(points.join(F.broadcast(keys), "node"), nodes)
+        made = _cut(points.join(F.broadcast(keys), "node"), nodes, room)
         old = points
         points = materialize(_descend(points.join(F.broadcast(keys), "node"), made).select(*old.columns), "points")
         release(old)
@@ -95,15 +100,26 @@ def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = (
     spark = docs.sparkSession
     leaf = spark.createDataFrame([(node, first) for node, (_, first, _) in nodes.items()], "node int, shard int")
     placed = points.join(F.broadcast(leaf), "node").select("group", "part", "shard")
-    out = _join_points(rows, placed)
-    return number_rows(out.select("doc_id", "size", "text_crc32", "shard"), ["shard"], "slot")
+    out = [part.select("doc_id", "size", "text_crc32", "shard") for part in (_join_points(rows, placed), given)]
+    return number_rows(out[0].union(out[1]), ["shard"], "slot")
+
+
+def _whole_groups(heavy: list[tuple[int, int]], shards: int, target: float) -> tuple[dict[int, int], list[float]]:
+    """``(shard of each group that keeps whole, bytes that are free in each shard)``, for few ``(group, bytes)``."""
+    room, whole = [target] * shards, {}
+    for group, size in sorted(heavy, key=lambda g: (-g[1], g[0])):
+        fitting = [shard for shard in range(shards) if room[shard] >= size]
+        if fitting:
+            whole[group] = min(fitting, key=lambda shard: (room[shard], shard))
+            room[whole[group]] -= size
+    return whole, room
 
 
 def _order_keys(points: DataFrame, names: list[str], nodes: dict) -> DataFrame:
     """Per open node the dimension of widest spread, relative to its spread over all points."""
     spread = points.groupBy("node").agg(*[F.struct(F.min(d), F.max(d)).alias(d) for d in names], F.lit(0).alias("_"))
     rows = {r["node"]: r for r in spread.collect()}  # one row per node: at most as many as shards
-    whole = [max(1, max(r[d][1] for r in rows.values()) - min(r[d][0] for r in rows.values())) for d in names]
+    whole = [max(1, max(r[d][1] for r in rows.values()) - min(r[d][0] for r in rows.values())) for d in names] if rows else []
     widest = []
     for node, (n, _, _) in nodes.items():
         if n > 1:
@@ -122,8 +138,8 @@ def _key(points: DataFrame):
     return F.shiftleft(value, 32).bitwiseOR(F.col("tie"))
 
 
-def _cut(points: DataFrame, nodes: dict) -> dict[int, tuple[int, int, int]]:
-    """Per open node ``(shards below the cut, cut key, bytes below)``.
+def _cut(points: DataFrame, nodes: dict, room: list[float]) -> dict[int, tuple[int, int, int]]:
+    """Per open node ``(shards below the cut, cut key, bytes below)``; ``room`` says what each shard has free.
 
     Each round sums the bytes of ``BINS`` equal ranges per node and goes on in the range that holds
     the wanted weight, until the range is one key or weighs next to nothing.
@@ -131,9 +147,10 @@ def _cut(points: DataFrame, nodes: dict) -> dict[int, tuple[int, int, int]]:
     spark = points.sparkSession
     keyed = points.withColumn("key", _key(points))
     state = {}
-    for node, (n, _, total) in nodes.items():
+    for node, (n, first, total) in nodes.items():
         if n > 1:
-            state[node] = {"low": _LOW, "high": _HIGH, "before": 0, "want": total * (n // 2) / n, "total": total, "n": n}
+            share = sum(room[first : first + n // 2]) / max(1e-9, sum(room[first : first + n]))
+            state[node] = {"low": _LOW, "high": _HIGH, "before": 0, "want": total * share, "total": total, "n": n}
     done = {}
     while state:
         edges = [(node, s["low"], max(1, -(-(s["high"] - s["low"] + 1) // BINS))) for node, s in state.items()]

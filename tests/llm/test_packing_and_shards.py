@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +88,38 @@ def test_shards_are_even_and_complete(documents):
     assert len(where["a pair of copies"]) == 1 and len(where["copies by four"]) == 1
 
 
+def test_groups_that_fit_stay_whole_however_rows_lie(documents):
+    """Shards of about 3,100 bytes: groups of up to nine tenths of one stay whole, sizes stay even, and files change nothing."""
+    rng = random.Random(8)
+    texts = [f"single {i} " + "x" * rng.randrange(40) for i in range(900)]
+    for i, n in enumerate([2, 3, 5, 9, 14, 20, 24, 28]):
+        texts += [f"group {i} " + "c" * 84] * n
+    texts += ["a hot text of a third of all rows " * 2] * 400
+    docs = documents(*texts)
+    found = {r.doc_id: (r.shard, r["size"]) for r in shards.kd_shards(docs, 24).collect()}
+    again = {r.doc_id: (r.shard, r["size"]) for r in shards.kd_shards(docs.repartition(7), 24).collect()}
+    assert found == again and len(found) == len(texts)
+    sizes = Counter()
+    where = {}
+    for i, (shard, size) in found.items():
+        sizes[shard] += size
+        where.setdefault(texts[i], set()).add(shard)
+    target = sum(sizes.values()) / 24
+    assert max(texts.count(t) * (len(t) + 8) for t in texts if t.startswith("group")) > 0.8 * target
+    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("a hot"))
+    assert len(sizes) == 24 and max(abs(size - target) for size in sizes.values()) < 0.1 * target
+
+
+def test_whole_groups_take_the_least_room_that_holds_them():
+    whole, room = shards._whole_groups([(1, 60), (2, 50), (3, 40), (4, 50), (5, 101), (6, 45)], 2, 100)
+    assert whole == {1: 0, 2: 1, 4: 1, 3: 0} and room == [0, 0]
+
+
+def test_shards_of_nothing_but_whole_groups(documents):
+    rows = shards.kd_shards(documents(*["one"] * 6, *["two"] * 6), 2).collect()
+    assert {r.shard for r in rows if r.doc_id < 6} != {r.shard for r in rows if r.doc_id >= 6} and len(rows) == 12
+
+
 def test_cuts_follow_the_widest_dimension(spark):
     rows = [(i, "x" * 100, float(i % 2) * 1000, i % 5) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, wide double, narrow int").withColumnRenamed("wide", "n_chars")
