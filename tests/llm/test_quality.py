@@ -51,6 +51,41 @@ def test_order_follows_rejections_per_cost_and_changes_no_verdict(documents):
     assert kept == other and [i for i in kept if kept[i]] == list(range(20))
 
 
+def test_a_rejected_text_never_reaches_a_later_rule(documents):
+    """A rule that fails when it is computed: texts rejected by the base or an earlier rule skip it."""
+    trap = quality_rules.Rule("trap", lambda: F.raise_error(F.lit("reached")).cast("boolean"), lambda: F.lit(10**9))
+    rules = (trap, *quality_rules.RULES)
+    short = ["too short", None, "", "a b c d e " * 30]
+    loud = [" ".join(f"W{i}###" for i in range(20, 60)) for _ in range(4)]
+    fine = " ".join(f"word{i}" for i in range(40))
+    counted = quality_rules.with_counts(documents(*short, *loud)).withColumn("base_failed", quality_rules._any(quality_rules.BASE))
+    assert [r.base_failed for r in counted.orderBy("doc_id").collect()] == [True] * 4 + [False] * 4
+    rows = quality_rules.quality_rules(documents(*short), rules).collect()
+    assert {r.rejected_by for r in rows} == {"base"}
+    with pytest.raises(Exception, match="reached"):
+        quality_rules.quality_rules(documents(*short, fine), rules).collect()
+    # Behind the others in the cascade, which all of these texts fail, the trap is not reached either.
+    order = [f["rule"] for f in quality_rules.rule_order(documents(*short, *loud))]
+    verdict = F
+    for rule in (*order, trap):
+        verdict = verdict.when(rule.rejects(), F.lit(rule.name))
+    named = counted.filter("not base_failed").select(verdict.alias("by")).collect()
+    assert {r.by for r in named} == {"symbols"}
+
+
+def test_texts_reach_only_the_rules_that_need_them(documents):
+    """Capitals and lines are counted inside the cascade and nowhere before it."""
+    plan = quality_rules.quality_rules(documents("a b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[A-Z]" in plan and all("[A-Z]" not in line.split("CASE WHEN")[0] for line in plan.split("\n"))
+
+
+def test_order_is_the_same_when_rows_repeat(documents):
+    docs = documents(*["W### X### " * 8 + str(i) for i in range(30)])
+    many = docs.union(docs).union(docs).repartition(5)
+    figures = [[(f["rule"].name, f["rejected"], f["cost"]) for f in quality_rules.rule_order(d)] for d in (docs, many)]
+    assert figures[0] == figures[1]
+
+
 def test_rules_run_no_python(documents):
     plan = quality_rules.quality_rules(documents("a b"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
