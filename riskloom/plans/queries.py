@@ -29,6 +29,7 @@ from ..operators.custom import detect_with, register_check
 from ..operators.detect import IGNORE_MARKER, detect
 from ..rules import CATALOG, SEVERITIES, RuleSpec, quick_rules, select_rules
 from ..rules.spec import SEVERITY_RANK
+from ..sources import documents as saved
 from ..sources import folder as folders
 from ..sources import state, tables
 from ..sources.tree import read_corpus
@@ -1107,6 +1108,17 @@ def report_json(spark, sf_dir):
     return report.report_json(scans, findings).select("scan_id", "part", "fragment")
 
 
+@query("report_documents", ORACLES["report_json"])
+def report_documents(spark, sf_dir):
+    # All documents through one folder, saved twice and read back.
+    _, scans, findings = kept(spark, sf_dir)
+    fragments = state.materialize(report.report_json(scans, findings), "documents")
+    folder = state.new_folder(spark, "documents")
+    saved.save_documents(fragments.filter(F.col("part") != report.BODY), folder)
+    saved.save_documents(fragments, folder)
+    return saved.read_documents(spark, folder).select("scan_id", "part", "fragment")
+
+
 @query("report_sarif", over_findings(
     "SELECT scan_id, rule_id, " + sql_rank(fnd.SARIF_LEVELS) + " AS level, message, file_path AS uri, CAST(line_number AS VARCHAR) AS start_line, "
     "snippet, owasp_id AS owasp, owasp_llm_id AS owasp_llm, cwe_id AS cwe, fingerprint, confidence FROM findings"))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from riskloom.operators.joins import is_bounded
 from riskloom.operators.sequence import with_neighbours
 from riskloom.rules import RuleSpec
-from riskloom.sources import state, tables
+from riskloom.sources import documents, state, tables
 
 SEVERITY = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
@@ -179,6 +179,35 @@ def test_written_documents_read_back(spark, runs, tmp_path):
     assert len(document["findings"]) == 4
 
 
+def test_documents_share_a_folder(spark, runs, tmp_path):
+    """Many scans in one folder, each document whole; a scan saved again is replaced, a failed save leaves nothing."""
+    path = str(tmp_path / "documents")
+
+    def texts(scan=None):
+        rows = sorted(documents.read_documents(spark, path, scan).collect(), key=lambda r: (r.file, r.line))
+        out = {}
+        for r in rows:
+            out[r.scan_id] = out.get(r.scan_id, "") + r.fragment
+        return {name: json.loads(text) for name, text in out.items()}
+
+    assert texts() == {}
+    whole = report.report_json(*runs)
+    documents.save_documents(whole.filter("scan_id <> 'r3'"), path)
+    first = texts()
+    assert "r3" not in first and len(first["r1"]["findings"]) == 4
+    assert [f["rule_id"] for f in first["r1"]["findings"]] == [f["rule_id"] for f in assemble(whole, "r1")["findings"]]
+    documents.save_documents(whole.filter("scan_id = 'r1' AND part <> 1").unionByName(whole.filter("scan_id = 'r3'")), path)
+    second = texts()
+    assert second["r1"]["findings"] == [] and set(second) == {*first, "r3"} and second["r2"] == first["r2"]
+    assert texts("r2") == {"r2": first["r2"]}
+    broken = whole.withColumn("fragment", F.when(F.col("part") == 2, F.lit("two\nlines")).otherwise(F.col("fragment")))
+    with pytest.raises(Exception, match="one line"):
+        documents.save_documents(broken, path)
+    assert texts() == second
+    documents.save_documents(whole.filter("scan_id = 'r2'"), path, mode="overwrite")
+    assert texts() == {"r2": first["r2"]}
+
+
 def test_script_safe_json(corpus):
     found = detect(corpus(("a.html", "x.innerHTML = 1 </script>")))
     assert "</script>" not in report.embed_json(found).first().document
