@@ -11,29 +11,41 @@ from riskloom.llm.queries import QUALITY_THRESHOLD, quality_training, tokenizer_
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; all, where no labels could be learned from."""
+    """Documents that the quality classifier does not reject; all, where no labels could be learned from.
+
+    Rows are judged one by one by their text, a null text as an empty one, whatever their id.
+    """
     model = quality_model.train(docs, quality_training(spark, sf_dir))
     return quality_model.keep_quality(docs, model, QUALITY_THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The smallest doc_id stays, a null one only if there is no other. Rows that repeat id and text become
+    one; rows whose text is null or holds no word are in no group and all stay.
+    """
     return minhash.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; rows are judged one by one and keep their columns."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts masked and lengths to match."""
+    """All documents, with secrets in their texts masked and lengths to match.
+
+    A null text stays null, with a null length; a table without lengths gets none.
+    """
     masked = secret_scan.mask_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences that need no padding."""
+    """Token pieces of all documents in sequences that need no padding; a null text is an empty one, every row a document of its own."""
     return packing.pack(docs, tokenizer_path())
 
 
