@@ -52,7 +52,7 @@ def parse_severities(raw: str | None) -> list[str] | None:
 def to_uri(path: Column) -> Column:
     """Absolute paths become percent-encoded file URIs, relative ones get forward slashes."""
     encoded = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
-    for code, char in (("%2F", "/"), ("%7E", "~")):
+    for code, char in (("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
         encoded = F.replace(encoded, F.lit(code), F.lit(char))
     return F.when(path.startswith("/"), F.concat(F.lit("file://"), encoded)).otherwise(
         F.replace(path, F.lit("\\"), F.lit("/"))

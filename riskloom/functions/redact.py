@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial, reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,9 +77,28 @@ def snippet(rule: RuleSpec, pattern: str, line: Column) -> Column:
 
 
 def redact_secrets(text: Column, rules: tuple[RuleSpec, ...] = CATALOG) -> Column:
-    """Mask every credential that a secret rule knows, whichever rule reported the text."""
+    """Mask every credential that a secret rule knows, whichever rule reported the text.
+
+    The regexes of a rule run over texts that hold one of its guards only.
+    """
     for rule in rules:
         if rule.category == "SEC":
-            for pattern in rule.patterns:
-                text = F.regexp_replace(text, java_regex(pattern), "[REDACTED]")
+            masked = partial(_mask_patterns, patterns=rule.patterns)
+            text = _where_guarded(text, rule.guards, masked) if rule.guards and not rule.ignore_case else masked(text)
+    return text
+
+
+def _mask_patterns(text: Column, patterns: tuple[str, ...]) -> Column:
+    for pattern in patterns:
+        text = F.regexp_replace(text, java_regex(pattern), "[REDACTED]")
     return text
+
+
+def _where_guarded(text: Column, guards: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """``change`` of texts that hold a guard. The text is bound once, so that masks nest without growing the plan."""
+
+    def guarded(t: Column) -> Column:
+        held = reduce(or_, [F.contains(t, F.lit(guard)) for guard in guards])
+        return F.when(held, change(t)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), guarded), F.lit(0))

@@ -27,7 +27,7 @@ from ..operators import lines as line_rules
 from ..operators import score as sc
 from ..operators.custom import detect_with, register_check
 from ..operators.detect import IGNORE_MARKER, detect
-from ..rules import CATALOG, SEVERITIES, RuleSpec, quick_rules, select_rules
+from ..rules import CATALOG, EXTENDED, SEVERITIES, RuleSpec, quick_rules, select_rules
 from ..rules.spec import SEVERITY_RANK
 from ..sources import documents as saved
 from ..sources import folder as folders
@@ -401,6 +401,12 @@ def custom_rule(spark, sf_dir):
     return detect(corpus.documents(spark, sf_dir), [TOKEN_RULE]).select(*SHORT)
 
 
+@query("generic_token", sql.prelude(EXTENDED[-1:]) + f"SELECT {columns(SHORT)} FROM findings")
+def generic_token(spark, sf_dir):
+    # The whole extended catalogue runs; its last rule is the one beyond the fixed ones.
+    return detect(corpus.seeded(spark, sf_dir), EXTENDED).filter("rule_id = 'SEC900'").select(*SHORT)
+
+
 @query(
     "custom_check",
     "WITH files AS (" + sql.corpus_columns(sql.document_files()) + "), lines AS (SELECT scan_id, path, "
@@ -821,6 +827,25 @@ def remove_suppression_report(spark, sf_dir):
     return suppress.removed_any(suppressions_of(findings), findings.filter("scan_id = 'run0'"))
 
 
+@query("save_suppressions", over_findings(
+    "SELECT fingerprint, 'known ' || min(rule_id) AS reason, 'ann' AS reviewer, '2024-02-01' AS date FROM findings "
+    "WHERE fingerprint IN (SELECT fingerprint FROM suppressions) "
+    "AND fingerprint NOT IN (SELECT fingerprint FROM findings WHERE scan_id = 'run0') GROUP BY fingerprint UNION ALL "
+    "SELECT fingerprint, min(scan_id) AS reason, 'bob' AS reviewer, '2024-03-01' AS date FROM findings "
+    "WHERE rule_id = 'CRY007' AND fingerprint NOT IN (SELECT fingerprint FROM suppressions) "
+    "AND fingerprint NOT IN (SELECT fingerprint FROM findings WHERE scan_id = 'run0') GROUP BY fingerprint", more=MARKED_SQL))
+def save_suppressions(spark, sf_dir):
+    # Two versions of a folder: the entries, then what was added to and removed from them.
+    findings = kept(spark, sf_dir)[2]
+    folder = state.new_folder(spark, "suppressions")
+    state.save_suppressions(suppressions_of(findings), folder)
+    new = findings.filter("rule_id = 'CRY007'").select(
+        "fingerprint", F.col("scan_id").alias("reason"), F.lit("bob").alias("reviewer"), F.to_date(F.lit("2024-03-01")).alias("date")
+    )
+    state.change_suppressions(spark, folder, new, findings.filter("scan_id = 'run0'"))
+    return state.load_saved_suppressions(spark, folder).withColumn("date", F.col("date").cast("string"))
+
+
 @query("load_suppressions", "SELECT sha256(text) AS fingerprint, 'doc ' || CAST(doc_id AS VARCHAR) AS reason, '2024-02-03' AS date "
     "FROM documents WHERE doc_id % 3 <> 0")
 def load_suppressions(spark, sf_dir):
@@ -1034,6 +1059,41 @@ def to_uri_query(spark, sf_dir):
     return docs.select("doc_id", to_uri(path).alias("uri"))
 
 
+@query(
+    "text_uris",
+    "SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, md5('file:///' || replace(url_encode(text), '%2F', '/')) AS uri_hash FROM documents UNION ALL "
+    "SELECT 'p' || CAST(page_id AS VARCHAR), md5('file:///' || replace(url_encode(url), '%2F', '/')) FROM pages UNION ALL "
+    "SELECT 't' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), md5(replace(text, chr(92), '/')) FROM conversations",
+)
+def text_uris(spark, sf_dir):
+    # Whole texts in four languages as names of files: what a URI must encode, they hold.
+    def named(table: str, key: Column, path: Column) -> DataFrame:
+        rows = corpus.table(spark, sf_dir, table)
+        return rows.select(key.alias("id"), F.md5(to_uri(path).cast("binary")).alias("uri_hash"))
+
+    text = F.col("text")
+    docs = named("documents", F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.lit("/"), text))
+    pages = named("pages", F.concat(F.lit("p"), F.col("page_id").cast("string")), F.concat(F.lit("/"), F.col("url")))
+    turns = named("conversations", F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")), text)
+    return docs.unionByName(pages).unionByName(turns)
+
+
+_NAMED = " ".join(f"WHEN '{name}' THEN {rank}" for name, rank in SEVERITY_RANK.items())
+
+
+@query(
+    "severity_words",
+    "WITH words AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), "
+    f"ranked AS (SELECT upper(word) AS name, CASE upper(word) {_NAMED} END AS rank FROM words) "
+    "SELECT name, rank, count(*) AS n FROM ranked GROUP BY ALL",
+)
+def severity_words(spark, sf_dir):
+    # Every word of every text is tried as a severity name, in the case in which it stands.
+    words = corpus.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    ranked = words.groupBy("word").agg(F.count("*").alias("n")).select(F.upper("word").alias("name"), severity_rank(F.col("word")).alias("rank"), "n")
+    return ranked.groupBy("name", "rank").agg(F.sum("n").alias("n"))
+
+
 @query("message_format", over_findings("SELECT rule_id, message, count(*) AS n FROM findings GROUP BY ALL", select_rules(rule_ids=("DEP104", "DEP105"))))
 def message_format(spark, sf_dir):
     return seeded(spark, sf_dir, rule_ids=("DEP104", "DEP105"))[2].groupBy("rule_id", "message").agg(F.count("*").alias("n"))

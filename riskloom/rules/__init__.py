@@ -33,6 +33,9 @@ _BY_ID = {rule.rule_id: rule for module in _MODULES for rule in module.RULES}
 
 CATALOG: tuple[RuleSpec, ...] = tuple(_BY_ID[rule_id] for rule_id in RULE_ORDER)
 
+# The catalogue and the rules that go beyond the fixed ones; they run last, so the order of the others stays.
+EXTENDED: tuple[RuleSpec, ...] = (*CATALOG, secrets.GENERIC_TOKEN)
+
 
 def select_rules(
     rules: Iterable[RuleSpec] = CATALOG,
@@ -64,4 +67,4 @@ def quick_rules(rules: Iterable[RuleSpec] = CATALOG) -> tuple[RuleSpec, ...]:
     return tuple(rule for rule in rules if re.fullmatch(r"(?:SEC|GIT)0\d{2}", rule.rule_id))
 
 
-__all__ = ["CATALOG", "RULE_ORDER", "SEVERITIES", "SEVERITY_RANK", "RuleSpec", "quick_rules", "select_rules"]
+__all__ = ["CATALOG", "EXTENDED", "RULE_ORDER", "SEVERITIES", "SEVERITY_RANK", "RuleSpec", "quick_rules", "select_rules"]

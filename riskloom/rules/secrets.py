@@ -18,6 +18,14 @@ def _secret(number: int, what: str, guards: tuple[str, ...], *patterns: str) ->
     )
 
 
+# Any provider's key in a plain assignment. The number keeps it out of quick scans.
+GENERIC_TOKEN = RuleSpec(
+    "SEC900", "Token assignment in source", "HIGH",
+    "A long hexadecimal token is written into the text, so everyone who can read it can use it.",
+    "Revoke the credential, then load its successor from a secret store.",
+    GUIDE, "A07:2021", None, "CWE-798", "medium", patterns=(r'token = "[0-9a-f]{32,}"',), guards=("token = ",),
+)
+
 RULES = [
     _secret(1, "OpenAI key", ("sk-proj-",), r"sk-proj-[A-Za-z0-9_\-]{40,}"),
     _secret(2, "AWS access key id", ("AKIA",), r"AKIA[0-9A-Z]{16}"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import severity_rank
-from ..storage import delete, materialize, new_folder, release, shared_folder
+from ..storage import children, delete, exists, materialize, new_folder, release, shared_folder
 
 SUPPRESSION_SCHEMA = "array<struct<fingerprint:string,reason:string,reviewer:string,date:string>>"
 PROFILE_SCHEMA = (
@@ -169,6 +169,75 @@ def load_suppressions(spark: SparkSession, path: str) -> DataFrame:
     return parse_suppressions(spark.read.text(path, wholetext=True))
 
 
+_SAVED_SUPPRESSIONS = "fingerprint string, reason string, reviewer string, date date"
+
+
+def save_suppressions(suppressions: DataFrame, path: str) -> str:
+    """Write all entries as a new version of a suppression folder; the name of the version.
+
+    Entries are written first and the row that names the version last, so a save that broke off shows
+    nothing and readers see a whole version. Older versions stay until :func:`prune_suppressions`.
+    """
+    version = uuid.uuid4().hex
+    columns = ["fingerprint", "reason", "reviewer", F.col("date").cast("date").alias("date")]
+    suppressions.select(*columns, F.lit(version).alias("version")).write.mode("append").partitionBy("version").parquet(f"{path}/entries")
+    named = suppressions.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
+    named.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def _versions(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The newest ``n`` versions, newest first."""
+    if not exists(spark, f"{path}/versions"):
+        return []
+    rows = spark.read.schema("version string, written_at timestamp").parquet(f"{path}/versions")
+    return [r.version for r in rows.orderBy(F.desc("written_at"), "version").limit(n).collect()]
+
+
+def load_saved_suppressions(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the newest version; none if nothing was saved yet. Only the folder of that version is read."""
+    newest = _versions(spark, path, 1)
+    if not newest:
+        return spark.createDataFrame([], _SAVED_SUPPRESSIONS)
+    entries = spark.read.schema(f"{_SAVED_SUPPRESSIONS}, version string").parquet(f"{path}/entries")
+    return entries.filter(F.col("version") == newest[0]).drop("version")
+
+
+def change_suppressions(
+    spark: SparkSession, path: str, add: DataFrame | None = None, remove: DataFrame | None = None
+) -> DataFrame:
+    """Add entries, then remove fingerprints, as one new version; per fingerprint to remove whether there was an entry.
+
+    Fails without a new version if somebody else saved one since this call began to read, so no
+    change of theirs is lost; two calls that end within the same moment are not told apart.
+    """
+    from ..operators.suppress import add_suppressions, remove_suppressions, removed_any
+
+    before = _versions(spark, path, 1)
+    entries = load_saved_suppressions(spark, path)
+    if add is not None:
+        entries = add_suppressions(entries, add)
+    gone = spark.createDataFrame([], "fingerprint string") if remove is None else remove
+    removed = materialize(removed_any(entries, gone), "removed")
+    entries = materialize(entries if remove is None else remove_suppressions(entries, gone), "entries")
+    if _versions(spark, path, 1) != before:
+        raise RuntimeError(f"the suppressions in {path} were changed meanwhile; run the change again")
+    save_suppressions(entries, path)
+    release(entries)
+    return removed
+
+
+def prune_suppressions(spark: SparkSession, path: str, keep: int = 10) -> int:
+    """Delete the entries of all but the newest ``keep`` versions and of broken saves; how many folders went."""
+    kept = _versions(spark, path, max(keep, 1))
+    if not kept:
+        return 0
+    old = [folder for folder in children(spark, f"{path}/entries") if folder.startswith("version=") and folder[8:] not in kept]
+    for folder in old:
+        delete(spark, f"{path}/entries/{folder}")
+    return len(old)
+
+
 # ---- profiles ---------------------------------------------------------------------------
 
 

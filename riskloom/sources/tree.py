@@ -86,8 +86,10 @@ def _read_ignore_file(root: str) -> tuple[set[str], set[str]]:
     try:
         with open(os.path.join(root, IGNORE_FILE), encoding="utf-8") as source:
             entries = [line.strip() for line in source]
-    except (OSError, UnicodeDecodeError):
+    except FileNotFoundError:
         return folders, names
+    except (OSError, UnicodeDecodeError) as problem:
+        raise ValueError(f"cannot read {IGNORE_FILE} in {root}: what it leaves out is unknown") from problem
     for entry in entries:
         if entry and not entry.startswith("#"):
             if "." in os.path.basename(entry.rstrip("/")) and not entry.endswith("/"):

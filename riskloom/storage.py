@@ -39,10 +39,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _located(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Delete a folder wherever the session's file systems keep it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = _located(spark, folder)
+    system.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    system, path = _located(spark, folder)
+    return system.exists(path)
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies directly in a folder; for folders of few entries."""
+    system, path = _located(spark, folder)
+    return sorted(status.getPath().getName() for status in system.listStatus(path))
 
 
 def release(*tables: DataFrame) -> None:

@@ -49,3 +49,12 @@ def test_selection():
     assert {r.category for r in quick_rules()} == {"SEC", "GIT"} and len(quick_rules()) == 23
     assert {r.severity for r in select_rules(severities=["LOW"])} == {"LOW"}
     assert len(select_rules()) == 77
+
+
+def test_general_token_rule(scan):
+    from riskloom.rules import CATALOG, EXTENDED, quick_rules
+
+    assert [r.rule_id for r in EXTENDED[len(CATALOG):]] == ["SEC900"] and EXTENDED[: len(CATALOG)] == CATALOG
+    assert "SEC900" not in {r.rule_id for r in quick_rules(EXTENDED)}
+    found = scan(("a.txt", 'token = "' + "a1" * 16 + '"\ntoken = "abc"\n'), rules=EXTENDED)
+    assert [(r.rule_id, r.line_number, r.snippet) for r in found] == [("SEC900", 1, "[REDACTED]")]

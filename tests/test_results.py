@@ -317,3 +317,50 @@ def test_null_projects_stay(spark, runs):
     assert sorted(map(str, history.diff_consecutive(nameless, found).collect())) == want
     scored = score.score(nameless, found)
     assert history.score_trend(scored).count() == scans.count()
+
+
+def test_saved_suppressions(spark, tmp_path):
+    folder = str(tmp_path / "known")
+    schema = "fingerprint string, reason string, reviewer string, date date"
+    day = datetime.date(2024, 1, 1)
+
+    def entries():
+        return {r.fingerprint: r.reason for r in state.load_saved_suppressions(spark, folder).collect()}
+
+    def rows(*pairs):
+        return spark.createDataFrame([(f, reason, "ann", day) for f, reason in pairs], schema)
+
+    def prints(*names):
+        return spark.createDataFrame([(n,) for n in names], "fingerprint string")
+
+    assert entries() == {} and state.prune_suppressions(spark, folder) == 0
+    assert state.change_suppressions(spark, folder, rows(("a", "first"), ("b", "first"))).count() == 0
+    removed = state.change_suppressions(spark, folder, rows(("a", "later"), ("c", "first")), prints("b", "x"))
+    assert {r.fingerprint: r.removed for r in removed.collect()} == {"b": True, "x": False}
+    assert entries() == {"a": "first", "c": "first"}
+    # A save that broke off leaves entries without a version.
+    rows(("z", "broken")).withColumn("version", F.lit("broken")).write.mode("append").partitionBy("version").parquet(f"{folder}/entries")
+    assert entries() == {"a": "first", "c": "first"}
+    state.change_suppressions(spark, folder, remove=prints("a", "c"))
+    assert entries() == {}
+    state.save_suppressions(rows(("d", "new")), folder)
+    # Of five folders (the empty version has none) and one broken, the two newest versions stay.
+    assert state.prune_suppressions(spark, folder, keep=2) == 3
+    assert entries() == {"d": "new"}
+
+
+def test_change_of_suppressions_by_two(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "known")
+    row = spark.createDataFrame([("a", "r", "ann", datetime.date(2024, 1, 1))], "fingerprint string, reason string, reviewer string, date date")
+    state.save_suppressions(row, folder)
+    real = state.materialize
+
+    def meanwhile(df, label):
+        if label == "entries":
+            state.save_suppressions(row, folder)
+        return real(df, label)
+
+    monkeypatch.setattr(state, "materialize", meanwhile)
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        state.change_suppressions(spark, folder, remove=row.select("fingerprint"))
+    assert state.load_saved_suppressions(spark, folder).count() == 1

@@ -176,3 +176,10 @@ def test_newest_scans_open_few_files_and_compaction_keeps_what_counts(spark, tmp
     assert [sorted(map(str, t.collect())) for t in state.load_history(spark, folder)] == before
     state.compact_history(spark, folder)
     assert [sorted(map(str, t.collect())) for t in state.load_history(spark, folder)] == before
+
+
+def test_unreadable_ignore_file_fails_the_scan(spark, tmp_path):
+    (tmp_path / "a.py").write_text("eval(x)")
+    (tmp_path / tables.IGNORE_FILE).write_bytes(b"\xff\xfe")
+    with pytest.raises(ValueError, match="cannot read"):
+        read_tree(spark, str(tmp_path)).count()
