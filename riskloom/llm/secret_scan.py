@@ -10,6 +10,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,12 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")  # equal to runs of 16 and more, found
 KINDS = ("assign", "access", "hex", "jwt", "key", "ssh")
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]{20,}")
+# Where a key may begin inside a run: after a separator that is also base64, with the first bytes that keys have.
+_INSIDE = re.compile(r"(?<=[/+_-])(?=M|AAAA|b3Blb)")
+# Lines of base64, of which the first is long; what belongs together is told by their lengths.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/]+={0,2})+")
+_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 # A header in PEM armour makes the body, with its line breaks, one candidate.
 _MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 # In JSON or source, breaks are escaped and strings of lines joined by marks.
@@ -64,7 +70,7 @@ def decoded(run: str) -> list[bytes]:
     return out
 
 
-def _der_length(data: bytes, at: int) -> tuple[int, int] | None:
+def _der_length(data: bytes | memoryview, at: int) -> tuple[int, int] | None:
     """Length and first byte of the value whose length field stands at ``at``."""
     if at >= len(data):
         return None
@@ -77,7 +83,7 @@ def _der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return int.from_bytes(data[at + 1 : at + 1 + size], "big"), at + 1 + size
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | memoryview) -> bool:
     """A SEQUENCE that spans all bytes and whose elements nest to the byte, with an INTEGER or SEQUENCE first."""
     if len(data) < 16 or data[0] != 0x30:
         return False
@@ -94,18 +100,61 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) >= 2 and tags[0] in (0x02, 0x30) and all(t in (2, 3, 4, 5, 6, 0x30, 0xA0, 0xA1) for t in tags)
 
 
-def is_ssh_key(data: bytes) -> bool:
+def is_ssh_key(data: bytes | memoryview) -> bool:
     """An OpenSSH container, or a blob of length-prefixed fields that starts with the key's kind."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if bytes(data[:15]) == b"openssh-key-v1\0":
         return True
-    at, fields = 0, []
+    if not bytes(data[4:16]).startswith(_SSH_KINDS):
+        return False
+    at, fields = 0, 0
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+        if at + 4 + size > len(data) or (not fields and size < 4):
             return False
-        fields.append(data[at + 4 : at + 4 + size])
+        fields += 1
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith(_SSH_KINDS)
+    return at == len(data) and fields >= 2
+
+
+def _kind(data: bytes | memoryview) -> str | None:
+    return "key" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def _key_inside(run: str) -> tuple[int, str] | None:
+    """The first place after a separator from which the rest of a run parses, and as what.
+
+    A run is decoded once for each of the four ways to group its characters, so many separators cost no more.
+    """
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    grouped: dict[int, memoryview] = {}
+    for m in _INSIDE.finditer(run):
+        step, rest = m.start() % 4, len(body) - m.start()
+        if rest < 24 or rest % 4 == 1:
+            continue
+        if step not in grouped:
+            grouped[step] = memoryview(base64.b64decode(body[step:] + "=" * (-(len(body) - step) % 4)))
+        if kind := _kind(grouped[step][m.start() // 4 * 3 :]):
+            return m.start(), kind
+    return None
+
+
+def _wrapped_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64 over several lines without armour: lines of one length, the last one possibly shorter."""
+    for m in _WRAPPED.finditer(text):
+        lines = list(_LINE.finditer(text, m.start(), m.end()))
+        first = 0
+        while first < len(lines) - 1:
+            width, last = len(lines[first][0]), first + 1
+            while last < len(lines) and len(lines[last][0]) == width and "=" not in lines[last - 1][0]:
+                last += 1
+            ends = [last + 1] if last < len(lines) and len(lines[last][0]) < width and "=" not in lines[last - 1][0] else []
+            for end in [*ends, last] if width >= 40 else []:
+                part = lines[first:end]
+                if len(part) > 1 and (kind := next(filter(None, map(_kind, decoded("".join(x[0] for x in part)))), None)):
+                    yield part[0].start(), part[-1].end(), kind
+                    last = end
+                    break
+            first = last
 
 
 def is_armoured_key(body: str) -> bool:
@@ -139,24 +188,34 @@ def is_token_header(part: str) -> bool:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded bytes parse as a token, a key in DER or an SSH key."""
     found = []
-    for m in _TOKEN.finditer(text):
-        if is_token_header(m[1]):
-            found.append((m.start(), m.end(), "jwt"))
-    begin = None
+    for m in _DOTTED.finditer(text):
+        parts, at, k = m[0].split("."), m.start(), 0
+        while k + 2 < len(parts):
+            held = 1
+            if len(parts[k]) >= 16 and len(parts[k + 1]) >= 2 and is_token_header(parts[k]):
+                held = 3
+                found.append((at, at + sum(map(len, parts[k : k + 3])) + 2, "jwt"))
+            at += sum(len(part) + 1 for part in parts[k : k + held])
+            k += held
+    begin, armoured = None, []
     for m in _MARK.finditer(text):
         if m[1] == "BEGIN":
             begin = m
         else:
             if begin and begin[2] == m[2] and is_armoured_key(text[begin.end() : m.start()]):
-                found.append((begin.start(), m.end(), "key"))
+                armoured.append((begin.start(), m.end(), "key"))
             begin = None
+    for span in _wrapped_keys(text):
+        k = bisect_right(armoured, span[0], key=lambda a: a[0])
+        if not k or armoured[k - 1][1] < span[1]:  # the armour already stands for what is inside
+            found.append(span)
     for m in _RUN.finditer(text):
-        for data in decoded(m[0]):
-            kind = "key" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
-            if kind:
-                found.append((m.start(), m.end(), kind))
-                break
-    return found
+        kind = next(filter(None, map(_kind, decoded(m[0]))), None)
+        if kind:
+            found.append((m.start(), m.end(), kind))
+        elif inside := _key_inside(m[0]):
+            found.append((m.start() + inside[0], m.end(), inside[1]))
+    return armoured + found
 
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:

@@ -239,6 +239,33 @@ def test_armour_in_source_and_with_headers():
         assert secret_scan.confirmed_spans(text) == [], text[:200]
 
 
+def test_tokens_and_keys_inside_longer_runs():
+    key = der(integer(b"\x00"), integer(bytes(range(1, 100))), integer(b"\x01\x00\x01"))
+    ssh = (7).to_bytes(4, "big") + b"ssh-rsa" + (3).to_bytes(4, "big") + b"\1\0\1" + (20).to_bytes(4, "big") + bytes(20)
+    header = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+    token = f"{header}.eyJzdWIiOiIxIn0.c2ln"
+    for before in ("", "a" * 20 + ".", "x.y.", "..", header[:-1] + "!.", f"{'b' * 17}.{'c' * 18}."):
+        text = f"see {before}{token} end"
+        assert (text.index(token), text.index(token) + len(token), "jwt") in secret_scan.confirmed_spans(text), text
+    assert [k for *_, k in secret_scan.confirmed_spans(f"{token}.{token}")] == ["jwt", "jwt"]
+    for data, kind in ((key, "key"), (ssh, "ssh"), (b"openssh-key-v1\0" + bytes(30), "ssh")):
+        one = base64.b64encode(data).decode()
+        for before in ("path/", "/a/b/c/", "ab/cde/", "name_", "x+y/MAAA/"):
+            text = f"{before}{one} end"
+            assert secret_scan.confirmed_spans(text) == [(len(before), len(before) + len(one), kind)], text
+    for width in (40, 64, 76):
+        one = base64.b64encode(key).decode()
+        lines = [one[i : i + width] for i in range(0, len(one), width)]
+        for joint in ("\n", "\r\n", "\n    "):
+            block = joint.join(lines)
+            for text in (block, f"key:\n{block}\nand so on", f"{'Q' * 52}\n{block}\nend"):
+                span = (text.index(lines[0]), text.index(lines[0]) + len(block), "key")
+                assert span in secret_scan.confirmed_spans(text), text
+                assert one[:20] not in secret_scan.mask(text)
+    assert secret_scan.confirmed_spans("\n".join(["A" * 64] * 50)) == []
+    assert secret_scan.confirmed_spans("/M" * 200_000 + "\n" + "/AAAAB3NzaC1yc2E" * 20_000 + "a." * 200_000) == []
+
+
 def test_masking_and_awkward_rows(awkward, no_documents, documents):
     assert secret_scan.mask('a token = "0123456789abcdef0123" b') == 'a [secret]" b'
     assert secret_scan.mask(None) is None and secret_scan.mask("") == ""
