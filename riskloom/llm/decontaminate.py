@@ -115,9 +115,12 @@ class _Pieces:
             for low, high in stretches:
                 distance, end = best_match(item, words[low:high])
                 if distance <= edits and (best is None or distance < best[0]):
-                    best = (distance, low + end)
+                    best = (distance, low, low + end)
             if best:
-                found.append((number, max(0, best[1] - len(item)), best[1], best[0]))
+                distance, low, end = best
+                # Read backwards from its end, the match starts where it is as good first.
+                length = best_match(item[::-1], words[max(low, end - len(item) - edits) : end][::-1])[1]
+                found.append((number, end - length, end, distance))
         return found
 
 
@@ -166,12 +169,20 @@ def contaminated(
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows, with all their columns, whose text holds no test item."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, drop_words: int = 1) -> DataFrame:
+    """The rows, with all their columns, whose text holds no test item of ``drop_words`` words or more.
+
+    Shorter items are found by :func:`contaminated` and drop nothing, as one word is no contamination.
+    Null and empty texts hold nothing and stay, repeated rows and ids are judged row by row, an empty
+    benchmark drops nothing, and columns of any name pass through.
+    """
     small_batches(docs.sparkSession)
     names = docs.columns
     out = docs
-    for items in _blocks(benchmark, BLOCK_WORDS):
+    for block in _blocks(benchmark, BLOCK_WORDS):
+        items = [item for item in block if len(item[1]) >= drop_words]
+        if not items:
+            continue
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index, hashes = _Pieces(items, error_rate, MIN_WORDS), WordHashes()
