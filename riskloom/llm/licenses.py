@@ -1,8 +1,9 @@
 """License scans by a positional index of rare words.
 
-Templates are word sequences. For each document the rarest words of the templates, by inverse
-document frequency over all documents, are looked up; their places and their places in the
-templates agree on where a template would start, and only those starts are verified.
+Templates are word sequences. Of the template words that a document holds, the rarest by inverse
+document frequency over all documents are looked up, as many as a match cannot all lose. Where their
+places in the text and in a template agree, up to the words that may be inserted or missing, the
+stretch is verified by its word edits and by the key phrases that must stand in it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
+from .decontaminate import best_match
 
 # Words after lower-casing A-Z are runs of digits, a-z and everything beyond ASCII.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -24,7 +26,7 @@ _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65
 
 @dataclass(frozen=True)
 class Template:
-    """``key_phrases`` must all stand at their places; ``share`` of the words must match in all."""
+    """``key_phrases`` must all stand in the match; at most ``1 - share`` edits per word may."""
 
     label: str
     text: str
@@ -73,59 +75,112 @@ TEMPLATES = (
     ),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("boost", "boost software license", ("boost software license",), 1.0),
+    Template(
+        "bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+        ("endorse or promote products", "prior written permission"),
+    ),
+    Template(
+        "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+        "the license",
+        ("apache license",),
+    ),
+    Template(
+        "mpl", "this source code form is subject to the terms of the mozilla public license v 2 0",
+        ("mozilla public license",),
+    ),
 )
 
+# Starts of published license identifiers and the label of each.
+IDENTIFIERS = {
+    "MIT": "mit", "Apache-2.0": "apache", "GPL-": "gpl", "LGPL-": "lgpl", "AGPL-": "agpl", "MPL-": "mpl", "EPL-": "epl",
+    "BSD-2-Clause": "bsd-2", "BSD-3-Clause": "bsd-3", "ISC": "isc", "Unlicense": "unlicense", "BSL-1.0": "boost", "CC0-1.0": "cc0",
+    "CC-BY-": "cc-by", "CC-BY-SA-": "cc-by-sa", "CC-BY-NC-": "cc-by-nc", "CC-BY-ND-": "cc-by-nd",
+}
+_TAG = "SPDX-License-Identifier"
+TEMPLATES += tuple(Template(label, f"{_TAG} {name}", (f"{_TAG} {name}",), 1.0) for name, label in IDENTIFIERS.items())
+
 
 def license_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
 class _Index:
-    """Postings of the rarest words of each template; which those are follows from document counts."""
+    """Postings of all template words, ranked by inverse document frequency over the corpus."""
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[bytes, int], n_docs: int, anchors: int):
-        self.templates, self.sequences, self.required = templates, [], []
+        self.templates, self.anchors = templates, anchors
+        self.sequences = [license_words(t.text) for t in templates]
+        self.phrases = [[license_words(p) for p in t.key_phrases] for t in templates]
+        self.edits = [len(s) - math.ceil(t.share * len(s)) for t, s in zip(templates, self.sequences)]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.votes = []
-        for number, template in enumerate(templates):
-            words = license_words(template.text)
-            self.sequences.append(words)
-            self.required.append([_place(words, license_words(p)) for p in template.key_phrases])
-            idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in words}
-            rare = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
-            # Full matches need one anchor; a template that may differ takes enough to survive any allowed difference.
-            allowed = len(words) - math.ceil(template.share * len(words))
-            chosen = rare[: max(allowed + 1, 1 if template.share >= 1 else min(anchors, len(words)))]
-            for i in chosen:
-                self.postings[words[i]].append((number, i))
-            self.votes.append(len(chosen) - allowed)
+        for number, sequence in enumerate(self.sequences):
+            for offset, word in enumerate(sequence):
+                self.postings[word].append((number, offset))
+        idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
+        self.rank = {w: i for i, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
 
     def search(self, words: list[bytes]) -> dict[int, list[tuple[int, float]]]:
-        """Starts of each template in a text with the share of words that match there."""
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for word in self.postings.keys() & set(words):
-            place = -1
-            for _ in range(words.count(word)):
-                place = words.index(word, place + 1)
-                for number, offset in self.postings[word]:
-                    votes[number, place - offset] += 1
+        """Starts of each template in a text, with the share of its words that need no edit there."""
+        held = sorted(self.postings.keys() & set(words), key=self.rank.__getitem__)
+        # A word that the text lacks takes one edit of each template that needs it.
+        room = [edits - len(sequence) for edits, sequence in zip(self.edits, self.sequences)]
+        for word in held:
+            for number, _ in self.postings[word]:
+                room[number] += 1
+        chosen: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
+        for word in held:  # the rarest first
+            for number, offset in self.postings[word]:
+                wanted = room[number] + 1 + (self.anchors if self.edits[number] else 0)
+                if room[number] >= 0 and len(chosen[number]) < wanted:
+                    chosen[number].append((word, offset))
+        places: dict[bytes, list[int]] = {}
         found = defaultdict(list)
-        for (number, start), n in sorted(votes.items()):
-            sequence = self.sequences[number]
-            if n < self.votes[number] or start < 0 or start + len(sequence) > len(words):
-                continue
-            here = words[start : start + len(sequence)]
-            if any(here[a:b] != sequence[a:b] for a, b in self.required[number]):
+        for number, pairs in sorted(chosen.items()):
+            if not pairs:
                 continue
-            share = sum(map(bytes.__eq__, here, sequence)) / len(sequence)
-            if share >= self.templates[number].share:
-                found[number].append((start, share))
+            for word, _ in pairs:
+                if word not in places:
+                    places[word] = _places(words, word)
+            met = sorted((place - offset, offset) for word, offset in pairs for place in places[word])
+            # Any match leaves all but ``room`` of the chosen words in place.
+            if matches := sorted(set(self._matches(number, met, len(pairs) - room[number], words))):
+                found[number] = matches
         return found
 
+    def _matches(self, number: int, met: list[tuple[int, int]], need: int, words: list[bytes]) -> Iterator[tuple[int, float]]:
+        sequence, edits = self.sequences[number], self.edits[number]
+        low = 0
+        while low < len(met):
+            start = met[low][0]
+            high = low
+            while high < len(met) and met[high][0] <= start + edits:  # inserted and missing words shift what follows
+                high += 1
+            if len({offset for _, offset in met[low:high]}) < need:
+                low += 1
+                continue
+            first = max(0, start - edits)
+            part = words[first : start + len(sequence) + 2 * edits] if edits else words[start : start + len(sequence)] if start >= 0 else []
+            if edits:
+                distance, end = best_match(sequence, part)
+                length = best_match(sequence[::-1], part[:end][::-1])[1]
+            else:
+                distance, end, length = int(part != sequence), len(part), len(part)
+            if distance <= edits and all(_places_of(phrase, part[end - length : end]) for phrase in self.phrases[number]):
+                yield first + end - length if edits else start, 1 - distance / len(sequence)
+            low = high
+
+
+def _places(words: list[bytes], word: bytes) -> list[int]:
+    out, at = [], -1
+    for _ in range(words.count(word)):
+        at = words.index(word, at + 1)
+        out.append(at)
+    return out
+
 
-def _place(words: list[bytes], phrase: list[bytes]) -> tuple[int, int]:
-    at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-    return at, at + len(phrase)
+def _places_of(phrase: list[bytes], words: list[bytes]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
 
 
 def _document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
@@ -147,11 +202,13 @@ def _document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[
     return {w.encode(): n for w, n in counts.items() if w is not None}, counts.get(None, 0)
 
 
-def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, anchors: int = 4) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, anchors: int = 2) -> DataFrame:
     """Licenses of each whole text: ``doc_id, n_words, places, labels, score``.
 
     ``places`` holds ``(label, base, start, share)`` of every verified place, in order of start.
-    ``score`` is the largest share of template words that match at a place, 0 without one.
+    ``score`` is the largest share at a place, 0 without one: 1 less the word edits per template word.
+    Of matches of one template that overlap the one with fewest edits counts. ``anchors`` more rare words
+    than a match needs are looked up, which spares verifications and changes no result.
     A null text counts as empty: no words, no places. Null, equal and repeated ids are scanned row
     by row; other columns are not read. Templates are a parameter, so the index is as small as they are.
     """

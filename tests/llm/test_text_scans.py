@@ -72,6 +72,17 @@ def test_short_items_and_scripts_without_spaces(spark, documents):
     assert found == {(0, 0): 0, (2, 1): 0, (4, 2): 0, (5, 2): 1, (7, 3): 0, (8, 4): 1, (9, 6): 0}
     clean = {r.doc_id for r in decontaminate.decontaminate(documents(*texts), bench).collect()}
     assert clean == {1, 3, 6, 10, 11}
+    longer = {r.doc_id for r in decontaminate.decontaminate(documents(*texts), bench, drop_words=5).collect()}
+    assert longer == {0, 1, 2, 3, 6, 9, 10, 11}
+
+
+def test_a_match_starts_where_its_first_word_stands(spark, documents):
+    item = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    more, less = item[:5] + ["new", "new"] + item[5:], item[:5] + item[7:]
+    texts = [" ".join(["x"] * 30 + words + ["y"] * 30) for words in (item, more, less)]
+    found = {r.doc_id: (r.first_word, r.end_word, r.distance) for r in decontaminate.contaminated(documents(*texts), bench).collect()}
+    assert found == {0: (30, 50, 0), 1: (30, 52, 2), 2: (30, 48, 2)}
 
 
 def test_pieces_cover_items():
@@ -133,6 +144,54 @@ def test_long_templates_survive_small_changes_but_not_a_missing_key_phrase(docum
     assert rows[2][0] == [] and rows[3][0] == []
 
 
+def test_templates_with_edits_equal_a_plain_search(documents):
+    rng = random.Random(21)
+    long = [(k, t) for k, t in enumerate(licenses.TEMPLATES) if t.share < 1]
+    rows = []
+    for n in range(300):
+        k, t = rng.choice(long)
+        words = t.text.split()
+        for _ in range(rng.randrange(0, 9)):
+            at = rng.randrange(len(words))
+            rng.choice([lambda: words.__setitem__(at, "other"), lambda: words.insert(at, rng.choice(["new", "the"])), lambda: len(words) > 1 and words.pop(at)])()
+        around = [rng.choice(["the", "software", "license", "x", "of", "permission"]) for _ in range(rng.randrange(80))]
+        cut = rng.randrange(len(around) + 1)
+        rows.append(around[:cut] + words + around[cut:])
+    index = licenses._Index(licenses.TEMPLATES, {b"the": 50, b"of": 40}, 60, 2)
+    n_found = 0
+    for words in rows:
+        words = [w.encode() for w in words]
+        found = index.search(words)
+        for k, t in long:
+            item = licenses.license_words(t.text)
+            edits = len(item) - -(-len(item) * 4 // 5)
+            if plain_distance(item, words) > edits:
+                assert k not in found
+            elif k in found:
+                n_found += 1
+                start, share = max(found[k], key=lambda f: f[1])
+                assert round((1 - share) * len(item)) == plain_distance(item, words)
+                assert plain_distance(item, words[start : start + len(item) + edits]) == plain_distance(item, words)
+            else:  # only a key phrase can be in the way
+                phrases = [licenses.license_words(p) for p in t.key_phrases]
+                assert plain_distance(item, words) > 0 and not all(licenses._places_of(p, words) for p in phrases)
+    assert n_found > 80
+
+
+def test_one_word_more_or_less_and_identifiers(documents):
+    mit = next(t for t in licenses.TEMPLATES if t.text.startswith("permission is hereby")).text
+    bsd = next(t for t in licenses.TEMPLATES if t.text.startswith("redistribution")).text
+    three = next(t for t in licenses.TEMPLATES if t.label == "bsd-3").text
+    texts = [
+        mit.replace("any person", "any living person"), mit.replace("associated ", ""), f"{mit} {mit}", bsd, f"{bsd}. {three}",
+        "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: BSD-2-Clause", "mit", "spdx license",
+    ]
+    rows = {r.doc_id: r for r in licenses.license_scan(documents(*texts)).collect()}
+    assert [rows[i].labels for i in range(10)] == [["mit"], ["mit"], ["mit"], ["bsd"], ["bsd", "bsd-3"], ["mit"], ["gpl"], ["bsd-2"], [], []]
+    assert [p["start"] for p in rows[2].places] == [0, len(mit.split())]
+    assert [p["start"] for p in rows[0].places + rows[1].places] == [0, 0]
+
+
 def test_licenses_on_awkward_rows(awkward, no_documents):
     rows = licenses.license_scan(awkward).collect()
     assert len(rows) == 10 and all(r.places == [] and r.score == 0 for r in rows)
