@@ -170,6 +170,51 @@ def test_out_of_fold_probabilities_are_less_sure_than_fitted_ones():
     assert ((fitted >= 0.5) == (y > 0.5)).mean() < 1 or chain.threshold > 0
 
 
+def test_words_chosen_in_tasks_equal_those_chosen_in_memory(spark, documents):
+    rows = toxic_rows(5, 500)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    chain = toxicity.train(documents(*rows), labels)
+    plain = toxicity.fit_chain([t for _, t in rows], np.array([i % 5 == 0 for i, _ in rows], float))
+    assert chain.vocabulary == plain.vocabulary and chain.threshold == plain.threshold
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, plain.weights)) and chain.held_out == plain.held_out
+
+
+def test_kinds_follow_the_words_of_toxic_documents():
+    rng = random.Random(6)
+    kinds = [["kroll", "vantz", "brubb"], ["sneff", "plonk", "drimm"], ["quarg", "thweb", "yolfe"]]
+    texts, truth = [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(400)}" for _ in range(30)]
+        if i % 4 == 0:
+            truth.append(i // 4 % 3)
+            words += rng.sample(kinds[truth[-1]], 2)
+        texts.append(" ".join(words))
+    y = np.array([i % 4 == 0 for i in range(600)], float)
+    chain = toxicity.fit_chain(texts, y)
+    p = chain.probabilities(chain.features(texts))
+    named = np.argmax(p[y > 0][:, :-1], axis=1)
+    pairs = {(int(a), b) for a, b in zip(named, truth)}
+    assert len(pairs) == 3 and len({a for a, _ in pairs}) == 3
+    assert p[y < 1][:, :-1].max() < 0.5
+    for category in chain.categories:
+        n, precision, recall = chain.held_out[category]
+        assert n >= 50 and precision > 0.95 and recall > 0.95
+    assert not toxicity.kinds_of(np.zeros((5, 4)), np.ones(5)).any() and toxicity.kinds_of(np.zeros((0, 0)), np.zeros(0)).shape == (0, 3)
+
+
+def test_held_out_figures_show_what_fitted_ones_hide():
+    rng = random.Random(8)
+    texts = [" ".join(f"t{rng.randrange(60)}" for _ in range(20)) for _ in range(200)]
+    y = np.array([rng.random() < 0.3 for _ in texts], float)
+    chain = toxicity.fit_chain(texts, y)
+    # Labels without a reason: what was fitted knows some of them, what was held out does not.
+    x = chain.features(texts)
+    fitted = chain.probabilities(x)[:, -1]
+    n, precision, recall = chain.held_out["toxic"]
+    assert n == y.sum() and ((fitted >= 0.5) & (y > 0)).sum() / n >= recall
+    assert recall < 0.5
+
+
 def test_toxicity_on_awkward_rows(awkward, no_documents, spark, documents):
     rows = toxic_rows(3, 100)
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows] + [(None, 1), (7, None)], "doc_id long, toxic int")
