@@ -7,6 +7,7 @@ and sequences of equal length lie in one bucket.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,21 +40,79 @@ def pieces(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
     return out
 
 
+# Characters whose words can be cut: letters of ASCII and Latin-1, digits, ASCII symbols but the apostrophe.
+_LETTERS, _SYMBOLS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_UNIT = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+")
+_PROBE = "Äb12ÿ3,+é.Zß:x?! <a|b> 7% Þorn/Öl __init__(self) naïve-Coöp"
+_SPACE, _LETTER, _DIGIT, _SYMBOL, _OTHER = range(5)
+# The kind of each byte; the two of a letter of Latin-1 are 0xC3 and one from 0x80 to 0xBF.
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[0x21:0x7F] = _SYMBOL
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_KINDS[0x27] = _OTHER
+
+
+def units(data: np.ndarray, ends: np.ndarray, cuts: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Stretches between ASCII white space of texts that end at ``ends`` of ``data``, and how many each text has.
+
+    With ``cuts``, those of nothing but letters of ASCII and Latin-1, digits and symbols are cut further:
+    into runs of letters, single digits and runs of symbols. A stretch with an apostrophe, with ``<|`` or
+    with any other character stays whole.
+    """
+    kind = _KINDS[data]
+    dark = kind != _SPACE
+    begins = ends[:-1][ends[:-1] < len(data)]
+    first = dark.copy()  # where a stretch starts
+    first[1:] &= ~dark[:-1]
+    first[begins] = dark[begins]
+    if cuts:
+        before, here = data[:-1], data[1:]
+        kind[1:][(before == 0xC3) & ((here == 0x97) | (here == 0xB7)) | (before == 0x3C) & (here == 0x7C)] = _OTHER
+        starts = np.flatnonzero(first)
+        others = np.append(np.int32(0), np.cumsum(kind == _OTHER, dtype=np.int32))
+        whole = others[np.append(starts[1:], len(data))] > others[starts]
+        change = np.flatnonzero(dark[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & ~first[1:]) + 1
+        change = change[~whole[np.searchsorted(starts, change, side="right") - 1]] if len(starts) else change
+        first[change] = True
+    starts = np.flatnonzero(first)
+    offsets = np.append(np.int32(0), np.cumsum(dark, dtype=np.int32))[np.append(starts, len(data))]
+    found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[dark])])
+    return found, np.diff(np.searchsorted(starts, ends))
+
+
 class WordEncoder:
-    """Ids of texts from ids of their stretches between ASCII white space, each encoded once.
+    """Ids of texts from ids of their units, each encoded once.
 
     The tokenizer drops white space and lets no token reach across it, so the ids of a text are
     those of its stretches, one after another. It also ignores the case of ASCII words, except in its
     special tokens. Other words stand as they are: it composes accents before it lowers letters, and
     some are composed with the small letter only.
+
+    In stretches that :func:`units` cuts, normalizing only lowers letters and the tokenizer cuts at the
+    same places, so their units go to its model at once. Where a probe shows other rules, nothing is cut.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.spelling = str.maketrans({c: self._spelled(c) for c in map(chr, range(0x21, 0x100)) if _UNIT.fullmatch(c)})
+        self.model = self.tokenizer.model
+        direct = [i for unit in _UNIT.findall(_PROBE) for i in self._direct(unit)]
+        self.cuts = direct == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
         self._forget()
 
+    def _spelled(self, letter: str) -> str:
+        """How the model is given a character."""
+        if self.tokenizer.pre_tokenizer is None:
+            return letter
+        return "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))
+
+    def _direct(self, unit: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(unit.lower().translate(self.spelling))]
+
     @classmethod
     def shared(cls, tokenizer_json: str) -> WordEncoder:
         """The encoder of this worker process: tasks that follow each other in it know its words."""
@@ -66,32 +125,42 @@ class WordEncoder:
         return known[tokenizer_json]
 
     def _forget(self) -> None:
-        self.known = {"": 0}
+        self.known = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = self.held = 0
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new words as one text; the place where a token starts tells its word."""
-        starts = np.cumsum([0, *[len(w) + 1 for w in new[:-1]]])
-        encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        places = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
-        sizes = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(new))
-        first, used = len(self.known), self.used + len(encoding.ids)
-        while first + len(new) > len(self.ends):
+        """Encode new words: units by the model, others as one text, whose tokens tell their word by where they start."""
+        units, others = [], new
+        if self.cuts:
+            units, others = [w for w in new if _UNIT.fullmatch(w)], [w for w in new if not _UNIT.fullmatch(w)]
+        ids, sizes = [], np.zeros(len(new), np.int64)
+        for i, unit in enumerate(units):
+            own = self._direct(unit)
+            ids += own
+            sizes[i] = len(own)
+        if others:
+            starts = np.cumsum([0, *[len(w) + 1 for w in others[:-1]]])
+            encoding = self.tokenizer.encode(" ".join(others), add_special_tokens=False)
+            places = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
+            sizes[len(units) :] = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(others))
+            ids += encoding.ids
+        first, used = len(self.known), self.used + len(ids)
+        while first + len(new) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : used] = encoding.ids
-        self.ends[first : first + len(new)] = self.used + np.cumsum(sizes)
-        self.known.update(zip(new, range(first, first + len(new))))
+        self.flat[self.used : used] = ids
+        self.ends[first + 1 : first + 1 + len(new)] = self.used + np.cumsum(sizes)
+        self.known.update(zip(units + others, range(first, first + len(new))))
         self.held += sum(map(len, new))
         self.used = used
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
-        """Number of each word, 0 for an empty one; words not met before are encoded together."""
+        """Number of each word; words not met before are encoded together."""
         plain = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<|"))
-        keys = pc.if_else(plain, pc.ascii_lower(words), words).to_pylist()
+        keys = pc.if_else(plain, pc.ascii_lower(words), words).to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._forget()
         fresh = set(keys).difference(self.known)
@@ -101,15 +170,17 @@ class WordEncoder:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where those of each end; none are added."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = pc.list_flatten(words).dictionary_encode()
+        raw = pc.cast(pc.fill_null(texts, ""), pa.binary())
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(raw).to_numpy())])
+        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+        words, counts = units(data, ends, self.cuts)
+        coded = words.dictionary_encode()
         at = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
-        starts, ends = self.ends[np.maximum(at - 1, 0)], self.ends[at]
-        sizes = np.where(at > 0, ends - starts, 0)
-        to = np.cumsum(sizes)
-        places = np.arange(int(sizes.sum())) + np.repeat(starts - (to - sizes), sizes)
-        of_text = np.cumsum(pc.list_value_length(words).to_numpy())
-        return self.flat[places], np.concatenate([[0], to])[of_text]
+        starts = self.ends[at]
+        sizes = self.ends[at + 1] - starts
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(to[-1]) + np.repeat(starts - to[:-1], sizes)
+        return self.flat[places], to[np.cumsum(counts)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without any added."""

@@ -47,6 +47,40 @@ def test_ids_of_decomposed_capitals(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_mixed_characters(tokenizer):
+    rng = random.Random(11)
+    odd = [*"aZéÉßÿÞ×÷ªµ¼²·", *"0_9'.,<|>-`~", "'s", "<|", "<|endoftext|>", " ", "\n", "\u0338", "\u0301", "\u0308", "漢", "œ", "Σ", "\x00", "\x1c", "\x7f", "\x85", "\xa0", "\xad", "ǅ", "İ"]
+    texts = ["".join(a + b for b in odd) for a in odd] + ["".join(rng.choices(odd, k=rng.randrange(40))) for _ in range(3000)] + [None, "", " "]
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        encoder = packing.WordEncoder(file.read())
+    assert encoder.cuts
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_words_are_met_once_whatever_stands_beside_them(tokenizer):
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        encoder = packing.WordEncoder(file.read())
+    text = "École (word) word, Word. word; \"word\" word=12 [école] <word> don't <|endoftext|>"
+    assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert {w for w in encoder.known if "word" in w} == {"word"}
+    assert "don't" in encoder.known and "<|endoftext|>" in encoder.known
+
+
+def test_other_rules_than_the_cuts_are_seen():
+    from tokenizers import Regex, models, normalizers, pre_tokenizers, trainers
+
+    other = Tokenizer(models.BPE(end_of_word_suffix="</w>"))
+    other.normalizer = normalizers.Lowercase()
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\S+"), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    trainer = trainers.BpeTrainer(vocab_size=400, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), end_of_word_suffix="</w>", show_progress=False)
+    other.train_from_iterator(["word, word. (word) x1 x2"] * 5, trainer)
+    encoder = packing.WordEncoder(other.to_str())
+    text = "Word, (word) x1\nword. É, x2"
+    assert not encoder.cuts
+    assert encoder.encode([text, text])[1].tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_are_a_binary_decomposition():
     for n in [*range(1, 5000, 7), 2048, 4096, 1 << 20]:
         parts = packing.pieces(n)
