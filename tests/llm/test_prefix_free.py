@@ -82,6 +82,20 @@ def test_awkward_rows(awkward, no_documents):
         prefix_free.without_repeated_strings(awkward, length=100)
 
 
+def test_passages_go_by_their_bytes_and_not_by_their_words(spark):
+    rows, sizes = [], {}
+    for k, size in enumerate((300, 399, 400, 401, 600)):
+        rng = random.Random(k)
+        passage = " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(130))[: size - 1] + "."
+        assert len(passage) == size and len(passage.split()) > 50
+        for i in range(3):  # other letters on either side, so that no copy reaches further
+            sizes[3 * k + i] = size
+            rows.append((3 * k + i, "xyz"[i] * 20 + str(k) + "UVW"[i] + passage + "KLM"[i] + str(k) + "rst"[i] * 20))
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == plain(rows, 400)
+    assert {i: (removed, spans) for i, _, removed, spans, _ in got} == {i: (n, 1) if n >= 400 else (0, 0) for i, n in sizes.items()}
+
+
 def test_combined_suffix_arrays_find_each_split():
     rng = random.Random(5)
     for _ in range(30):
