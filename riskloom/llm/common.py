@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,32 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(compute: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function of a task's batches, with memory that they left unused given back to the system.
+
+    Worker processes outlive their tasks, and the pool of Arrow and the C library keep what they once took.
+    """
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+    def each(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def run(batches: Batches) -> Batches:
+        yield from compute(each(batches))
+        release()
+
+    return run
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` as long and ``text`` as string, in small batches for tasks; other columns only if named."""
     small_batches(docs.sparkSession)

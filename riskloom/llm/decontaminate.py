@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import lean, small_batches, texts
 from .hashing import WordHashes, windows
 
 ERROR_RATE = 0.2  # word edits per item word
@@ -193,5 +193,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
                     clean.append(not index.search(words, hashes.of(words)))
                 yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(lean(keep), docs.schema)
     return out

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, dealt, frequent, join_uneven, materialize, release, repeated, texts
+from .common import SPACE, components, dealt, frequent, join_uneven, lean, materialize, release, repeated, texts
 from .hashing import LOWER, WordHashes, windows
 
 ROWS = 5  # minima in a band
@@ -249,7 +249,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int)
     """``doc_id, text_hash, n_shingles, group`` per row, stored; the group is null without shingles."""
     bands = n_bands(similarity_percent / 100, rows)
     hashed = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    signed = materialize(hashed.mapInArrow(_signer(shingle, bands, rows), _SIGNED), "signed")
+    signed = materialize(hashed.mapInArrow(lean(_signer(shingle, bands, rows)), _SIGNED), "signed")
     nodes = signed.filter("n_shingles > 0").groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"),
         F.first(F.struct("bands", "signature")).alias("print"),
@@ -271,7 +271,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int)
         wanted.alias("w"), (F.col("d.text_hash") == F.col("w.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
     )
     found = found.select("w.set_key", "w.signature", "d.text").dropDuplicates(["set_key"])
-    sets = materialize(found.mapInArrow(_members(shingle), "set_key binary, signature binary, members binary"), "sets")
+    sets = materialize(found.mapInArrow(lean(_members(shingle)), "set_key binary, signature binary, members binary"), "sets")
 
     verify = _verifier(similarity_percent, bands * rows)
 
@@ -285,7 +285,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity_percent: int, rows: int)
         for side, of in sides.items():
             placed = placed.join(of, [side, f"_{side}"])
         columns = ["a", "b", "a_signature", "b_signature", "a_members", "b_members"]
-        return placed.select(columns).mapInArrow(verify, "a binary, b binary")
+        return placed.select(columns).mapInArrow(lean(verify), "a binary, b binary")
 
     # One pivot per bucket, the set of most reach, meets all members.
     top = members.groupBy("bucket").agg(F.max(F.struct("reach", "set_key")).alias("top"))

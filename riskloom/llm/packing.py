@@ -16,13 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows, texts
+from .alignment import slices
+from .common import lean, number_rows, texts
 
 CONTEXT = 2048
 END = 1
-BUFFER = 4096  # texts of a batch whose words are looked up together
-CACHE_WORDS = 1_000_000  # words that a worker process knows before it forgets them all
-CACHE_BYTES = 12 << 20  # and bytes of them
+PART_BYTES = 1 << 19  # text of a batch whose words are looked up together; a longer text is a part of its own
+CACHE_WORDS = 300_000  # words that a worker process knows before it forgets those it met least
+CACHE_BYTES = 4 << 20  # and bytes of them
 
 
 def pieces(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
@@ -82,6 +83,13 @@ def units(data: np.ndarray, ends: np.ndarray, cuts: bool = True) -> tuple[pa.Arr
     return found, np.diff(np.searchsorted(starts, ends))
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """The array with zeros behind, if it is shorter than ``size``."""
+    if len(values) >= size:
+        return values
+    return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+
+
 class WordEncoder:
     """Ids of texts from ids of their units, each encoded once.
 
@@ -102,7 +110,11 @@ class WordEncoder:
         self.model = self.tokenizer.model
         direct = [i for unit in _UNIT.findall(_PROBE) for i in self._direct(unit)]
         self.cuts = direct == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
-        self._forget()
+        self.known = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)  # lookups that held a word; those long past count less
+        self.used = self.held = 0
 
     def _spelled(self, letter: str) -> str:
         """How the model is given a character."""
@@ -125,16 +137,25 @@ class WordEncoder:
         return known[tokenizer_json]
 
     def _forget(self) -> None:
-        self.known = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.used = self.held = 0
+        """Keep the words that were met most, as many as fill half of the cache."""
+        words = np.array(list(self.known), object)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        keep = np.argsort(-self.met[: len(words)], kind="stable")[: CACHE_WORDS // 2]
+        keep = np.sort(keep[np.cumsum(lengths[keep]) <= CACHE_BYTES // 2])
+        sizes = np.diff(self.ends[: len(words) + 1])
+        ends = np.append(0, np.cumsum(sizes[keep]))
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], sizes[keep])]
+        self.ends, self.met = ends, self.met[keep] >> 1
+        self.known = dict(zip(words[keep].tolist(), range(len(keep))))
+        self.used, self.held = int(ends[-1]), int(lengths[keep].sum())
 
     def _learn(self, new: list[str]) -> None:
         """Encode new words: units by the model, others as one text, whose tokens tell their word by where they start."""
         units, others = [], new
         if self.cuts:
-            units, others = [w for w in new if _UNIT.fullmatch(w)], [w for w in new if not _UNIT.fullmatch(w)]
+            units, others = [], []
+            for word in new:
+                (units if _UNIT.fullmatch(word) else others).append(word)
         ids, sizes = [], np.zeros(len(new), np.int64)
         for i, unit in enumerate(units):
             own = self._direct(unit)
@@ -147,10 +168,8 @@ class WordEncoder:
             sizes[len(units) :] = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(others))
             ids += encoding.ids
         first, used = len(self.known), self.used + len(ids)
-        while first + len(new) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.ends, self.met = _room(self.ends, first + len(new) + 1), _room(self.met, first + len(new))
+        self.flat = _room(self.flat, used)
         self.flat[self.used : used] = ids
         self.ends[first + 1 : first + 1 + len(new)] = self.used + np.cumsum(sizes)
         self.known.update(zip(units + others, range(first, first + len(new))))
@@ -166,7 +185,9 @@ class WordEncoder:
         fresh = set(keys).difference(self.known)
         if fresh:
             self._learn(sorted(fresh))
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        numbers = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        self.met[numbers] += 1
+        return numbers
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where those of each end; none are added."""
@@ -201,8 +222,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, e
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.shared(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, BUFFER):
-                part = batch.slice(low, BUFFER)
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64)
+            for low, high in slices(sizes + 16, PART_BYTES):
+                part = batch.slice(low, high - low)
                 rows = []
                 found, ends = encoder.encode_all(part["text"])
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), np.split(found, ends[:-1])):
@@ -216,7 +238,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, e
                     names=["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
 
-    return texts(docs).mapInArrow(split, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return texts(docs).mapInArrow(lean(split), "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
 def in_sequences(pieces: DataFrame) -> DataFrame:

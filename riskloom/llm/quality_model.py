@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import small_batches, texts
+from .common import lean, small_batches, texts
 
 TRAIN_ROWS = 12_000  # labelled rows, at most, that the driver fits on
 _SPACE = np.zeros(256, bool)
@@ -138,4 +138,4 @@ def keep_quality(docs: DataFrame, model: Trees, least: float = 0.7) -> DataFrame
             scores = model.probability(_matrix(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])))
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(select, docs.schema)
+    return docs.mapInArrow(lean(select), docs.schema)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import lean, small_batches, texts
 
 # The base patterns, in the order in which kinds are listed, with the least length of group ``n``.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -267,4 +267,4 @@ def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             columns[at] = pa.array([mask(t, mark) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(rewrite, docs.schema)
+    return docs.mapInArrow(lean(rewrite), docs.schema)

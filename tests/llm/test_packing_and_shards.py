@@ -1,8 +1,11 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,6 +100,62 @@ def test_cache_forgets_and_still_agrees(tokenizer, monkeypatch):
             assert encoder.encode([text, "again " + (text or "")])[0].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_cache_keeps_the_words_met_most_and_holds_its_bounds(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 600)
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        encoder = packing.WordEncoder(file.read())
+    learned, plain = Counter(), encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: learned.update(new) or plain(new))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [a + b + c for a in letters for b in letters for c in "xyz"]
+    for low in range(0, len(rare), 20):
+        text = " ".join(["often", "don't", *rare[low : low + 20], "<|endoftext|>"])
+        assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 60 + 23 and encoder.held == sum(map(len, encoder.known)) <= 600 + len(text)
+        assert encoder.used == encoder.ends[len(encoder.known)]
+    assert [learned[w] for w in ("often", "don't", "<|endoftext|>", rare[0])] == [1, 1, 1, 1]
+
+
+def test_parts_of_a_batch_are_bounded_by_bytes(spark, documents, tokenizer, monkeypatch):
+    texts = [None, "", "a b c", "word, " * 200, "x" * 300, None, "é" * 90, *[f"row {i} of many" for i in range(40)]]
+    whole = packing.token_pieces(documents(*texts), queries.tokenizer_path()).collect()
+    seen = []
+    plain = packing.WordEncoder.encode_all
+    monkeypatch.setattr(packing.WordEncoder, "encode_all", lambda self, part: seen.append(part) or plain(self, part))
+    monkeypatch.setattr(packing, "PART_BYTES", 256)
+    task = []
+    monkeypatch.setattr(packing, "texts", lambda docs: type("Rows", (), {"mapInArrow": lambda self, f, schema: task.append(f)})())
+    packing.token_pieces(None, queries.tokenizer_path())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    rows = [tuple(r.values()) for out in task[0](iter([batch, batch.slice(0, 0)])) for r in out.to_pylist()]
+    assert sorted(rows) == sorted((r.doc_id, r.start, r.length, bytes(r.ids), r.doc_tokens) for r in whole)
+    assert all(len(part) == 1 or sum(len((t or "").encode()) + 16 for t in part.to_pylist()) <= 256 for part in seen)
+
+
+def test_memory_left_by_a_task_is_given_back():
+    code = """
+import re
+import pyarrow as pa
+from riskloom.llm.common import lean
+
+def held():
+    return sum(map(int, re.findall(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())))
+
+def compute(batches):
+    for batch in batches:
+        columns = [pa.array([str(i) * 20 for i in range(20_000)]) for _ in range(20)]
+        yield batch.slice(len(columns))
+
+before = held()
+for _ in lean(compute)(iter([pa.RecordBatch.from_pydict({"a": [1]})] * 3)):
+    pass
+print((held() - before) >> 10)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(run.stdout) < 60
+
+
 def test_packing_on_awkward_rows(awkward, no_documents):
     rows = packing.pack(awkward, queries.tokenizer_path()).collect()
     assert sum(r.start == 0 for r in rows) == 10
