@@ -12,6 +12,9 @@ phrases, the suffix array of the parse (what follows, sorted, with common prefix
 the dictionary (phrases sorted by their ends, with common suffix lengths) are combined: for each
 split of the match into phrase end and parse suffix, places whose neighbours agree on both
 sides are repeated.
+
+Words are parsed beside the bytes, each one symbol of 64 bits, for passages that have many words in few
+bytes. Their rows travel with those of the bytes; places of words count from ``WORDS_AT`` on.
 """
 
 from __future__ import annotations
@@ -29,13 +32,23 @@ from pyspark.sql import functions as F
 
 from .alignment import lists, offsets_of, slices
 from .common import join_uneven, materialize, texts
+from .hashing import mix
 
 LENGTH = 400  # bytes of a match
 TRIGGER = 16  # bytes of a rolling hash
 SPAN = 192  # window starts among which one is a trigger
 BLOCK_BYTES = 1 << 19  # text of a block; a longer text is a block of its own
+WORDS = 50  # words of a match; a passage of more shows even if its last word grew together with what follows
+WORD_TRIGGER = 8  # words of a rolling hash
+WORD_SPAN = 32  # word starts among which one is a trigger
+WORD_BYTES = 8  # of a word's symbol
+WORDS_AT = 1 << 40  # place of a block's first word; bytes stand before
 HOT_CONTEXTS = 20_000  # different contexts of one parse suffix that are combined in one task
 _MULTIPLIER = 0x9E3779B1
+_WORD_MULTIPLIER = 0x9E3779B97F4A7C15
+_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_WORD_MULTIPLIER))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 
 
 def rolling_hashes(data: np.ndarray, size: int = TRIGGER) -> np.ndarray:
@@ -62,15 +75,43 @@ def window_least(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def triggers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``start, stop`` of each word in texts that end at ``ends`` of ``data``, and the words before each end."""
+    inked = np.zeros(len(data) + 1, bool)
+    inked[:-1] = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)  # no word reaches over it
+    edge[ends] = True
+    left = np.concatenate([[False], inked[:-1]])
+    start = np.flatnonzero(inked & (edge | ~left))
+    stop = np.flatnonzero(left & (edge | ~inked))
+    return start, stop, np.searchsorted(start, ends)
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A symbol for each word: a hash of its bytes, from sums of powers over all of ``data``."""
+    powers = np.full(len(data) + 1, _WORD_MULTIPLIER, np.uint64)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[data] * powers[:-1], out=sums[1:])
+    back = np.full(len(data) + 1, pow(_WORD_MULTIPLIER, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.cumprod(back, out=back)
+    return mix((sums[stop] - sums[start]) * back[start])
+
+
+def triggers(
+    data: np.ndarray, ends: np.ndarray, length: int = LENGTH, span: int = SPAN, size: int = TRIGGER
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``at, far, near`` of each trigger in texts that end at ``ends`` of ``data``.
 
-    It is the trigger of the strings of ``length`` bytes that start ``near`` to ``far`` bytes before it.
+    It is the trigger of the strings of ``length`` bytes that start ``near`` to ``far`` bytes before it. ``data``
+    may also be symbols of words, which are then counted instead of bytes.
     """
     none = np.empty(0, np.int64)
     if len(data) < length:
         return none, none, none
-    h = rolling_hashes(data).astype(np.uint64)
+    h = rolling_hashes(data, size).astype(np.uint64)
     least = window_least((h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), span)[: len(data) - length + 1]
     trigger = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.diff(ends)
@@ -88,12 +129,15 @@ def triggers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, span: int
     return of[first], of[first] - start[first], of[first] - start[last]
 
 
-def digests(raw: bytes, at: np.ndarray, far: np.ndarray, near: np.ndarray, length: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each trigger: digest of what follows in every string it serves, and of its whole context."""
+def digests(raw: bytes, at: np.ndarray, far: np.ndarray, near: np.ndarray, length: int, span: int, unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Of each trigger: digest of what follows in every string it serves, and of its whole context.
+
+    Symbols take ``unit`` bytes of ``raw``.
+    """
     digest = xxhash.xxh3_64_intdigest
-    known = length - span + 1
-    after = np.fromiter((digest(raw[m : m + known]) for m in at.tolist()), np.uint64, len(at))
-    places = zip((at - far).tolist(), (at - near + length).tolist(), (far * span + near).tolist())
+    known = (length - span + 1) * unit
+    after = np.fromiter((digest(raw[m : m + known]) for m in (at * unit).tolist()), np.uint64, len(at))
+    places = zip(((at - far) * unit).tolist(), ((at - near + length) * unit).tolist(), (far * span + near).tolist())
     whole = np.fromiter((digest(raw[a:b], s) for a, b, s in places), np.uint64, len(at))
     return after.view(np.int64), whole.view(np.int64)
 
@@ -114,21 +158,23 @@ def common_prefixes(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def combine(group: np.ndarray, before: list[bytes], after: list[bytes], near: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Which strings of the contexts are repeated: row by context, column by bytes before the trigger.
+def combine(
+    group: np.ndarray, before: list[bytes], after: list[bytes], near: np.ndarray, n: np.ndarray, length: int, unit: int = 1
+) -> np.ndarray:
+    """Which strings of the contexts are repeated: row by context, column by symbols (of ``unit`` bytes) before the trigger.
 
     ``group`` are the parse suffixes that contexts share; ``n`` says how often a context stands.
-    Context ``i`` serves the strings from ``near[i]`` to ``len(before[i])`` bytes before its trigger.
+    Context ``i`` serves the strings from ``near[i]`` symbols before its trigger to all of ``before[i]``.
     """
     size = len(before)
-    far = np.fromiter(map(len, before), np.int64, size)
+    far = np.fromiter(map(len, before), np.int64, size) // unit
     order = sorted(range(size), key=lambda i: (group[i], after[i]))  # suffix array of the parse
-    parse = common_prefixes([after[i] for i in order])
+    parse = common_prefixes([after[i] for i in order]) // unit
     parse[1:][group[order][1:] != group[order][:-1]] = -1
     parse[0] = -1
     turned = [b[::-1] for b in before]
     ends = sorted(range(size), key=turned.__getitem__)  # suffix array of the dictionary
-    phrase = common_prefixes([turned[i] for i in ends])
+    phrase = common_prefixes([turned[i] for i in ends]) // unit
     phrase[0] = -1
     order, ends = np.array(order), np.array(ends)
     found = np.zeros((size, int(far.max(initial=0)) + 1), bool)
@@ -154,8 +200,11 @@ def _unpacked(batch: pa.RecordBatch, row: int) -> tuple[bytes, np.ndarray]:
     return raw, offsets_of(batch["sizes"].slice(row, 1).flatten().to_numpy())
 
 
-def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int = SPAN, block_bytes: int = BLOCK_BYTES, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``docs``.
+def without_repeated_strings(
+    docs: DataFrame, length: int = LENGTH, span: int = SPAN, block_bytes: int = BLOCK_BYTES, hot: int = HOT_CONTEXTS,
+    words: int = WORDS, word_span: int = WORD_SPAN,
+) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept, n_repeated_words`` of every row of ``docs``.
 
     ``kept`` are the UTF-8 bytes that no string of ``length`` bytes covers which also starts anywhere else in
     the table, in any text; such strings may overlap each other and even themselves. Strings never cross rows,
@@ -163,11 +212,16 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
     rows of their own (two equal long rows lose everything, both); other columns are not read, and no rows
     give none.
 
+    ``n_repeated_words`` counts the words ``[^\\x20\\x09-\\x0D]+`` that a sequence of ``words`` words covers which
+    also starts anywhere else, in however few bytes and with any spaces between; nothing is removed for it.
+
     Texts lie in compressed blocks, which are shuffled whole; between tasks travel a row per trigger, and
     contexts of the few triggers that their digests leave open. Digests have 128 bits together where they decide.
     """
     if not 0 < span <= min(1024, length - TRIGGER + 1):
         raise ValueError("a match must hold all windows among which a trigger is chosen, 1024 at most")
+    if not 0 < word_span <= min(1024, words - WORD_TRIGGER + 1):
+        raise ValueError("a match must hold all words among which a trigger is chosen, 1024 at most")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -191,8 +245,17 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
         for batch in batches:
             for row in range(batch.num_rows):
                 raw, ends = _unpacked(batch, row)
-                at, far, near = triggers(np.frombuffer(raw, np.uint8), ends, length, span)
-                after, whole = digests(raw, at, far, near, length, span)
+                data = np.frombuffer(raw, np.uint8)
+                start, stop, word_ends = words_of(data, ends)
+                codes = word_codes(data, start, stop)
+                served = triggers(data, ends, length, span)
+                by_word = triggers(codes, word_ends, words, word_span, WORD_TRIGGER)
+                after, whole = (
+                    np.concatenate(c)
+                    for c in zip(digests(raw, *served, length, span), digests(codes.tobytes(), *by_word, words, word_span, WORD_BYTES))
+                )
+                at = np.concatenate([served[0], by_word[0] + WORDS_AT])
+                far, near = (np.concatenate(c) for c in zip(served[1:], by_word[1:]))
                 block = np.full(len(at), batch["block"][row].as_py())
                 # where the trigger stands and which strings it serves, in one number
                 place = at << 20 | far << 10 | near
@@ -253,12 +316,20 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw, _ = _unpacked(batch, row)
+                raw, ends = _unpacked(batch, row)
                 asked = batch["asked"].slice(row, 1).flatten()
                 place = asked.field("place").to_numpy()
                 at, far, near = place >> 20, place >> 10 & 1023, place & 1023
-                before = [raw[m - f : m] for m, f in zip(at.tolist(), far.tolist())]
-                after = [raw[m : m + length - k] for m, k in zip(at.tolist(), near.tolist())]
+                by_word = at >= WORDS_AT
+                spelt = b""
+                if by_word.any():
+                    data = np.frombuffer(raw, np.uint8)
+                    spelt = word_codes(data, *words_of(data, ends)[:2]).tobytes()
+                unit, size = np.where(by_word, WORD_BYTES, 1), np.where(by_word, words, length)
+                middle = (at - np.where(by_word, WORDS_AT, 0)) * unit
+                of = [spelt if w else raw for w in by_word.tolist()]
+                before = [t[a:m] for t, a, m in zip(of, (middle - far * unit).tolist(), middle.tolist())]
+                after = [t[m:b] for t, m, b in zip(of, middle.tolist(), (middle + (size - near) * unit).tolist())]
                 for low in range(0, len(place), 4096):
                     part = slice(low, low + 4096)
                     yield pa.RecordBatch.from_arrays(
@@ -274,9 +345,15 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
         names = ["suffix", "block", "place", "n", "before", "after"]
 
         def result(held: pa.RecordBatch) -> pa.RecordBatch:
-            place, n = held["place"].to_numpy(), held["n"].to_numpy()
-            flags = combine(held["suffix"].to_numpy(), held["before"].to_pylist(), held["after"].to_pylist(), place & 1023, n, length)
-            spans = [(b, (m >> 20) - y, (m >> 20) - x) for b, m, f in zip(held["block"].to_pylist(), place.tolist(), flags) for x, y in zip(*runs(f))]
+            spans = []
+            by_word = held["place"].to_numpy() >> 20 >= WORDS_AT
+            for mine, size, unit in ((~by_word, length, 1), (by_word, words, WORD_BYTES)):
+                if not mine.any():
+                    continue
+                part = held.filter(pa.array(mine))
+                place, n = part["place"].to_numpy(), part["n"].to_numpy()
+                flags = combine(part["suffix"].to_numpy(), part["before"].to_pylist(), part["after"].to_pylist(), place & 1023, n, size, unit)
+                spans += [(b, (m >> 20) - y, (m >> 20) - x) for b, m, f in zip(part["block"].to_pylist(), place.tolist(), flags) for x, y in zip(*runs(f))]
             columns = zip(*spans) if spans else ([], [], [])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "first", "last"])
 
@@ -300,9 +377,11 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
         for batch in batches:
             for block, place, n, before, after in zip(*(batch[c].to_pylist() for c in ("block", "place", "n", "before", "after"))):
                 text = before + after
-                starts = np.arange(len(before) - (place & 1023) + 1)
-                own = [xxhash.xxh3_128_digest(text[s : s + length]) for s in starts.tolist()]
-                first = (place >> 20) - len(before)
+                unit, size = (WORD_BYTES, words * WORD_BYTES) if place >> 20 >= WORDS_AT else (1, length)
+                far = len(before) // unit
+                starts = np.arange(far - (place & 1023) + 1)
+                own = [xxhash.xxh3_128_digest(text[s : s + size]) for s in (starts * unit).tolist()]
+                first = (place >> 20) - far
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.binary()), pa.array([block] * len(own), pa.int64()), pa.array(starts + first), pa.array([n] * len(own), pa.int64())],
                     names=["string", "block", "first", "n"],
@@ -317,17 +396,27 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
     whole = found.filter("repeated").select("block", (trigger - far).alias("first"), (trigger - near).alias("last"))
     removed = whole.union(spans).union(single).groupBy("block").agg(F.collect_list(F.struct("first", "last")).alias("removed"))
 
+    def covered(first: np.ndarray, last: np.ndarray, size: int, total: int) -> np.ndarray:
+        edges = np.zeros(total + 1, np.int32)
+        np.add.at(edges, first, 1)
+        np.add.at(edges, last + size, -1)
+        return np.cumsum(edges)[:total] > 0
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 raw, ends = _unpacked(batch, row)
-                spans = batch["removed"].slice(row, 1).flatten()
-                edges = np.zeros(len(raw) + 1, np.int32)
-                if len(spans):
-                    np.add.at(edges, spans.field("first").to_numpy(), 1)
-                    np.add.at(edges, spans.field("last").to_numpy() + length, -1)
-                gone = np.cumsum(edges)[: len(raw)] > 0
                 data = np.frombuffer(raw, np.uint8)
+                spans = batch["removed"].slice(row, 1).flatten()
+                none = np.empty(0, np.int64)
+                first, last = (spans.field(k).to_numpy() if len(spans) else none for k in ("first", "last"))
+                by_word = first >= WORDS_AT
+                gone = covered(first[~by_word], last[~by_word], length, len(raw))
+                n_words = np.zeros(len(ends) - 1, np.int64)
+                if by_word.any():
+                    word_ends = words_of(data, ends)[2]
+                    shared = covered(first[by_word] - WORDS_AT, last[by_word] - WORDS_AT, words, int(word_ends[-1]))
+                    n_words = np.diff(np.concatenate([[0], np.cumsum(shared)])[word_ends])
                 kept, counts, n_spans = [], [], []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                     mark = gone[a:b]
@@ -335,8 +424,8 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH, span: int =
                     counts.append(b - a - len(kept[-1]))
                     n_spans.append(len(runs(mark)[0]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(row, 1).flatten(), pa.array(np.diff(ends)), pa.array(counts, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                    [batch["doc_id"].slice(row, 1).flatten(), pa.array(np.diff(ends)), pa.array(counts, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64())],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_repeated_words"],
                 )
 
-    return blocks.join(removed, "block", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return blocks.join(removed, "block", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_repeated_words long")

@@ -115,7 +115,7 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_free.without_repeated_strings(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

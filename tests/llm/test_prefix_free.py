@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -96,6 +97,59 @@ def test_passages_go_by_their_bytes_and_not_by_their_words(spark):
     assert {i: (removed, spans) for i, _, removed, spans, _ in got} == {i: (n, 1) if n >= 400 else (0, 0) for i, n in sizes.items()}
 
 
+def plain_words(rows, size):
+    """Every sequence of ``size`` words counted, one by one."""
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    counts = Counter(tuple(ws[p : p + size]) for _, ws in split for p in range(len(ws) - size + 1))
+    return sorted(
+        (str(i), len({q for p in range(len(ws) - size + 1) if counts[tuple(ws[p : p + size])] > 1 for q in range(p, p + size)}))
+        for i, ws in split
+    )
+
+
+@pytest.mark.parametrize("words, span", [(50, 32), (12, 5)])
+def test_repeated_words_equal_counting_every_sequence(spark, words, span):
+    rows = texts(words, 400) + [(2000, "  one\n" + "two \t" * 30), (2001, " "), (2002, "\x1c\u00a0 " * 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_words(rows, words)
+    assert sum(n > 0 for _, n in want) > 60
+    for options in ({}, {"block_bytes": 3000}, {"hot": 3}, {"hot": 2, "block_bytes": 2000}):
+        got = prefix_free.without_repeated_strings(docs, words=words, word_span=span, **options).collect()
+        assert sorted((str(r.doc_id), r.n_repeated_words) for r in got) == want
+    with pytest.raises(ValueError):
+        prefix_free.without_repeated_strings(docs, words=words, word_span=words)
+
+
+def test_passages_of_over_50_words_in_few_bytes_show(spark):
+    rng = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 8))) for _ in range(n))
+
+    rows, want = [], {}
+    for k, size in enumerate((30, 49, 51, 60, 64)):
+        passage = words(size)
+        assert len(passage) < 400
+        for i in range(2):
+            rows.append((2 * k + i, f"{words(80)} {i}\n{passage}\n{i + 5} {words(90)}"))
+            want[2 * k + i] = size if size > 50 else 0
+    rows += [(100 + i, words(200)) for i in range(10)]
+    got = prefix_free.without_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeated_words for r in got} == want | {100 + i: 0 for i in range(10)}
+    assert not any(r.n_removed for r in got)
+
+
+def test_words_are_told_apart_by_their_bytes():
+    raws = ["ab ba abc", "", "c ab", "ab", " été  ab\x0b"]
+    data = np.frombuffer("".join(raws).encode(), np.uint8)
+    ends = np.cumsum([0, *(len(r.encode()) for r in raws)])
+    start, stop, word_ends = prefix_free.words_of(data, ends)
+    found = [bytes(data[a:b]).decode() for a, b in zip(start, stop)]
+    assert found == ["ab", "ba", "abc", "c", "ab", "ab", "été", "ab"] and word_ends.tolist() == [0, 3, 3, 5, 6, 8]
+    codes = prefix_free.word_codes(data, start, stop).tolist()
+    assert len(set(codes)) == 5 and codes[0] == codes[4] == codes[5] == codes[7]
+
+
 def test_combined_suffix_arrays_find_each_split():
     rng = random.Random(5)
     for _ in range(30):
